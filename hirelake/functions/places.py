@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hirelake import fixed
 from hirelake.functions.text import ascii_fold
-from hirelake.functions.words import contains_any, word_any
+from hirelake.functions.words import bind, contains_any, word_any
 
 # Markers this short must stand alone as words.
 WORD_MARKER_CHARS = 3
@@ -21,7 +21,8 @@ def has_foreign_marker(
     """A foreign place is named.  Long markers match anywhere in the folded
     text ("indiana" holds "india"); short ones only as whole words, in the
     raw or the folded text."""
-    folded = ascii_fold(location) if folded is None else folded
+    if folded is None:
+        return bind(ascii_fold(location), lambda x: has_foreign_marker(location, markers, x))
     markers = list(markers)
     short = [m for m in markers if len(m) <= WORD_MARKER_CHARS]
     long = [m for m in markers if len(m) > WORD_MARKER_CHARS]
@@ -37,7 +38,11 @@ def looks_domestic(
     folded: Column | None = None,
 ) -> Column:
     """No foreign marker, and a country phrase, a state code word or a city."""
-    folded = ascii_fold(location) if folded is None else folded
+    if folded is None:
+        return bind(
+            ascii_fold(location),
+            lambda x: looks_domestic(location, phrases, states, cities, markers, x),
+        )
     named = contains_any(folded, phrases) | word_any(folded, states) | contains_any(folded, cities)
     return ~has_foreign_marker(location, markers, folded) & named
 

@@ -139,7 +139,7 @@ def url_id(url: Column, pattern: str = fixed.STRUCTURED_ID_PATTERN) -> Column:
 def safe_url(url: Column) -> Column:
     """Trimmed http(s) URL, "#" for anything else."""
     url = F.trim(url)
-    return F.when(F.lower(url).rlike("^https?://"), url).otherwise(F.lit("#"))
+    return F.when(url.rlike("(?i)^https?://"), url).otherwise(F.lit("#"))
 
 
 def snippet(text: Column, max_len: int = 200) -> Column:

@@ -8,23 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hirelake import fixed
-from hirelake.functions.words import captures, contains_any
+from hirelake.functions.words import bind, captures, contains_any
 
 _INT_MAX = float(2**31 - 1)
 
 
 def digits_to_int(text: Column) -> Column:
     """Digits as INT; numbers past the type's range stay at its maximum."""
-    return F.least(text.try_cast("double"), F.lit(_INT_MAX)).try_cast("int")
+    number = text.try_cast("double")
+    return F.when(number > _INT_MAX, F.lit(_INT_MAX)).otherwise(number).cast("int")
 
 
 def required_years(text: Column, patterns: Iterable[str] = fixed.REQUIRED_YEARS) -> Column:
     """Largest number of years any pattern finds, NULL when none does."""
-    plain = F.translate(text, "\xa0\u200b", "  ")
-    found = captures(plain, patterns, "(?iU)")
-    # The patterns all need a digit, so texts without one skip them.
-    years = F.array_max(F.transform(found, digits_to_int))
-    return F.when(plain.rlike("(?U)\\d"), years)
+    # One cheap search spares most texts the four expensive ones.
+    needed = "(?i)year|yoe" if patterns is fixed.REQUIRED_YEARS else "(?U)\\d"
+
+    def largest(plain: Column) -> Column:
+        return F.array_max(F.transform(captures(plain, patterns, "(?iU)"), digits_to_int))
+
+    return F.when(text.rlike(needed), bind(F.translate(text, "\xa0\u200b", "  "), largest))
 
 
 def infer_seniority(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import add, or_
 
@@ -11,14 +11,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Filters and conditional branches do not share common subexpressions, so a
+    lowered or cleaned text used by many tests is bound to a lambda variable.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
     """True when any term is a substring; short-circuits inside codegen."""
     return reduce(or_, [text.contains(t) for t in terms], F.lit(False))
 
 
-def hits(text: Column, terms: Iterable[str]) -> Column:
-    """How many distinct terms are substrings."""
-    found = [text.contains(t).cast("int") for t in dict.fromkeys(terms)]
+def hits(text: Column, terms: Iterable[str], distinct: bool = True) -> Column:
+    """How many (distinct) terms are substrings."""
+    terms = dict.fromkeys(terms) if distinct else terms
+    found = [text.contains(t).cast("int") for t in terms]
     return reduce(add, found, F.lit(0))
 
 

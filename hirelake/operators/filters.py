@@ -2,25 +2,26 @@
 
 Each ``drop_*`` function is a boolean column, true where the listing is to be
 dropped.  All of them are row-wise, so one pass without a shuffle applies the
-lot; text is lowered and folded once by ``with_filter_text``.
+lot, and each text is lowered and folded once.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake import fixed
 from hirelake.functions.company import company_group
-from hirelake.functions.dates import age_days
+from hirelake.functions.dates import instant
 from hirelake.functions.places import has_foreign_marker, is_remote, looks_domestic
 from hirelake.functions.text import ascii_fold
 from hirelake.functions.titles import infer_seniority, is_wanted_role, required_years
-from hirelake.functions.words import contains_any, hits
+from hirelake.functions.words import bind, contains_any, hits
 from hirelake.schema import Preferences, Vocabulary
 
 
@@ -28,16 +29,20 @@ def search_intent(title: Column, description: Column, queries=(), vocab: Vocabul
     """Kept when a query phrase occurs in title and description, when two
     distinct query words occur in the title, or a generic word does."""
     vocab = vocab or Vocabulary()
-    title, description = F.lower(title), F.lower(description)
     phrases = [q.strip().lower() for q in queries if q.strip()]
-    tests = []
+    tokens = dict.fromkeys(t for q in phrases for t in re.findall(fixed.QUERY_TOKEN, q))
+    terms = [t for t in tokens if len(t) >= 3 and t not in vocab.query_stopwords]
+
+    def in_title(low: Column) -> Column:
+        generic = contains_any(low, vocab.generic_title_words)
+        return generic | (hits(low, terms) >= 2) if terms else generic
+
+    # The title decides most rows before the description is lowered.
+    found = bind(F.lower(title), in_title)
     if phrases:
-        tests.append(contains_any(F.concat(title, F.lit(" "), description), phrases))
-        tokens = dict.fromkeys(t for q in phrases for t in re.findall(fixed.QUERY_TOKEN, q))
-        terms = [t for t in tokens if len(t) >= 3 and t not in vocab.query_stopwords]
-        tests.append(hits(title, terms) >= 2)
-    tests.append(contains_any(title, vocab.generic_title_words))
-    return reduce(or_, tests)
+        text = F.lower(F.concat(title, F.lit(" "), description))
+        found = found | bind(text, lambda low: contains_any(low, phrases))
+    return found
 
 
 def matching_intent(df: DataFrame, queries=(), vocab: Vocabulary | None = None) -> DataFrame:
@@ -50,7 +55,7 @@ def drop_companies(company: Column, excluded, vocab: Vocabulary | None = None) -
     if not names:
         return F.lit(False)
     group = company_group(company, vocab.company_groups, vocab.legal_suffix)
-    return F.lower(company).isin(names) | group.isin(names)
+    return F.coalesce(F.lower(company).isin(names) | group.isin(names), F.lit(False))
 
 
 def drop_generic_urls(url: Column, parts=fixed.GENERIC_URL_PARTS) -> Column:
@@ -93,7 +98,10 @@ def drop_seniority(title_lower: Column, allowed, vocab: Vocabulary | None = None
 
 
 def drop_stale(posted_date: Column, as_of, max_age_days: int = fixed.STALE_AFTER_DAYS) -> Column:
-    return F.coalesce(age_days(posted_date, as_of) > max_age_days, F.lit(False))
+    """More whole days old than allowed.  Written as a comparison with a
+    literal instant, so that old row groups of a Parquet scan are skipped."""
+    latest = instant(as_of) - F.make_dt_interval(F.lit(max_age_days + 1))
+    return F.coalesce(posted_date <= latest, F.lit(False))
 
 
 def drop_places(
@@ -108,7 +116,11 @@ def drop_places(
     vocab = vocab or Vocabulary()
     if (country or "").lower() != "us":
         return F.lit(False)
-    folded = ascii_fold(location_lower) if folded is None else folded
+    if folded is None:
+        return bind(
+            ascii_fold(location_lower),
+            lambda x: drop_places(location_lower, country, include_remote, vocab, x),
+        )
     foreign = has_foreign_marker(location_lower, vocab.foreign_markers, folded)
     domestic = looks_domestic(
         location_lower, vocab.domestic_phrases, vocab.state_codes, vocab.domestic_cities,
@@ -120,55 +132,76 @@ def drop_places(
     return (location_lower != "") & dropped
 
 
-def with_filter_text(df: DataFrame) -> DataFrame:
-    """Add the lowered and folded texts the predicates share."""
-    return df.withColumns(
-        {
-            "_title": F.lower("title"),
-            "_company": F.lower("company"),
-            "_description": F.lower("description"),
-            "_location": F.lower(F.coalesce("location", F.lit(""))),
-        }
-    ).withColumn("_place", ascii_fold(F.col("_location")))
+Test = Callable[[Callable[[str], Column]], Column]
 
 
-def predicates(prefs: Preferences, as_of, vocab: Vocabulary | None = None) -> dict[str, Column]:
-    """All drop tests over ``with_filter_text`` columns, in reporting order."""
-    vocab = vocab or Vocabulary()
+def _tests(prefs: Preferences, as_of, vocab: Vocabulary) -> dict[str, Test]:
+    """Drop tests by name, in reporting order.  Each takes a lookup of columns
+    by name; ``_title`` and the like are the lowered texts."""
     return {
-        "company": drop_companies(F.col("company"), prefs.excluded_companies, vocab),
-        "generic_url": drop_generic_urls(F.col("url"), vocab.generic_url_parts),
-        "early_career": drop_early_career(F.col("_title"), vocab.early_career_title),
-        "phrase": drop_phrases(F.col("_description"), F.col("_company"), prefs.excluded_company_types),
-        "years": drop_over_years(F.col("yoe_required"), F.col("description"), prefs.max_years),
-        "role": drop_other_roles(F.col("_title"), vocab),
-        "mismatch": drop_mismatch(F.col("_description"), vocab.mismatch_phrases),
-        "seniority": drop_seniority(F.col("_title"), prefs.seniority_levels, vocab),
-        "stale": drop_stale(F.col("posted_date"), as_of, prefs.max_age_days),
-        "place": drop_places(
-            F.col("_location"), prefs.country, prefs.include_remote, vocab, F.col("_place")
-        ),
+        "company": lambda c: drop_companies(c("company"), prefs.excluded_companies, vocab),
+        "generic_url": lambda c: drop_generic_urls(c("url"), vocab.generic_url_parts),
+        "early_career": lambda c: drop_early_career(c("_title"), vocab.early_career_title),
+        "phrase": lambda c: drop_phrases(c("_description"), c("_company"), prefs.excluded_company_types),
+        "years": lambda c: drop_over_years(c("yoe_required"), c("description"), prefs.max_years),
+        "role": lambda c: drop_other_roles(c("_title"), vocab),
+        "mismatch": lambda c: drop_mismatch(c("_description"), vocab.mismatch_phrases),
+        "seniority": lambda c: drop_seniority(c("_title"), prefs.seniority_levels, vocab),
+        "stale": lambda c: drop_stale(c("posted_date"), as_of, prefs.max_age_days),
+        "place": lambda c: drop_places(c("_location"), prefs.country, prefs.include_remote, vocab),
     }
 
 
+def _lowered(name: str) -> Column:
+    return F.lower(F.coalesce(F.col(name.removeprefix("_")), F.lit("")))
+
+
+def _kept_by(tests: dict[str, Test], names: Sequence[str], *texts: str) -> Column:
+    """None of the named tests drops the row; ``texts`` are lowered once."""
+
+    def kept(bound: Column | None) -> Column:
+        def column(name: str) -> Column:
+            return bound[name] if name in texts else F.col(name)
+
+        return reduce(and_, [~tests[n](column) for n in names])
+
+    if not texts:
+        return kept(None)
+    return bind(F.struct(*[_lowered(n).alias(n) for n in texts]), kept)
+
+
 def with_drop_reason(df: DataFrame, prefs: Preferences, as_of, vocab: Vocabulary | None = None) -> DataFrame:
     """Add ``reason``: the first test that drops the row, NULL for kept rows."""
-    named = [F.when(test, F.lit(name)) for name, test in predicates(prefs, as_of, vocab).items()]
-    return with_filter_text(df).select(*df.columns, F.coalesce(*named).alias("reason"))
+    tests = _tests(prefs, as_of, vocab or Vocabulary())
+    texts = ("_title", "_company", "_description", "_location")
+
+    def first(bound: Column) -> Column:
+        def column(name: str) -> Column:
+            return bound[name] if name in texts else F.col(name)
+
+        return F.coalesce(*[F.when(test(column), F.lit(name)) for name, test in tests.items()])
+
+    reason = bind(F.struct(*[_lowered(n).alias(n) for n in texts]), first)
+    return df.withColumn("reason", reason)
 
 
 def filter_listings(df: DataFrame, prefs: Preferences, as_of, vocab: Vocabulary | None = None) -> DataFrame:
     """Rows no test drops.
 
-    The tests that need one column only come first in the conjunction and the
-    regular-expression test over whole descriptions last, since evaluation
-    stops at the first failing one.
+    The conjunction stops at the first failing test, so the cheap ones come
+    first: plain comparisons, which also reach the scan, then short texts,
+    then whole descriptions, then the regular expressions over them.
     """
-    tests = predicates(prefs, as_of, vocab)
-    order = ["generic_url", "stale", "role", "early_career", "seniority", "company", "place",
-             "phrase", "mismatch", "years"]
-    kept = reduce(lambda a, b: a & b, [~tests[name] for name in order])
-    return with_filter_text(df).where(kept).select(*df.columns)
+    tests = _tests(prefs, as_of, vocab or Vocabulary())
+    return df.where(
+        _kept_by(tests, ["stale"])
+        & _kept_by(tests, ["generic_url"])
+        & _kept_by(tests, ["role", "early_career", "seniority"], "_title")
+        & _kept_by(tests, ["company"])
+        & _kept_by(tests, ["place"], "_location")
+        & _kept_by(tests, ["phrase", "mismatch"], "_description", "_company")
+        & _kept_by(tests, ["years"])
+    )
 
 
 def filter_reasons(df: DataFrame, prefs: Preferences, as_of, vocab: Vocabulary | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from hirelake import fixed
 from hirelake.functions.places import WORD_MARKER_CHARS
 from hirelake.functions.text import SPACE_RUN
 from hirelake.functions.titles import digits_to_int
-from hirelake.functions.words import captures, quote
+from hirelake.functions.words import bind, captures, quote
 
 
 def strip(text: Column) -> Column:
@@ -25,15 +25,17 @@ def strip(text: Column) -> Column:
 def extract_skills(text: Column, vocabulary: Iterable[str] = fixed.SKILL_VOCABULARY) -> Column:
     """Vocabulary terms in the text, sorted.  Short terms must stand as words,
     longer ones match anywhere ("java" is in "javascript")."""
-    low = F.lower(text)
 
-    def found(term: str) -> Column:
+    def found(low: Column, term: str) -> Column:
         if len(term) <= WORD_MARKER_CHARS:
             return low.rlike(rf"(?U)\b{quote(term)}\b")
         return low.contains(term)
 
     terms = sorted(set(vocabulary))
-    return F.array_compact(F.array(*[F.when(found(t), F.lit(t)) for t in terms]))
+    return bind(
+        F.lower(text),
+        lambda low: F.array_compact(F.array(*[F.when(found(low, t), F.lit(t)) for t in terms])),
+    )
 
 
 def explicit_years(text: Column, patterns: Iterable[str] = fixed.EXPLICIT_YEARS) -> Column:
@@ -68,26 +70,28 @@ def work_years(text: Column, current_year: int) -> Column:
     what follows.  Overlapping ranges are merged before they are summed.
     """
 
-    def read(acc: Column, raw: Column) -> Column:
-        line = strip(raw)
+    def outside(line: Column) -> Column:
+        """Whether the line opens (true) or ends (false) an excluded part."""
         size = F.length(line)
-        header = (
-            (size > 0) & (size < fixed.SECTION_HEADER_BELOW) & ~line.rlike(r"(?U)\d{4}")
-        )
-        outside = (
+        header = (size > 0) & (size < fixed.SECTION_HEADER_BELOW) & ~line.rlike(r"(?U)\d{4}")
+        return (
             F.when(header & line.rlike("(?iU)" + fixed.NON_WORK_SECTION), F.lit(True))
             .when(line.rlike("(?iU)" + fixed.INTERN_WORD), F.lit(True))
-            .when(header & (size < fixed.SECTION_RESET_BELOW), F.lit(False))
-            .otherwise(acc["outside"])
-        )
-        added = F.when(outside, acc["ranges"]).otherwise(
-            F.concat(acc["ranges"], _year_ranges(line, current_year))
+            .when((size < fixed.SECTION_RESET_BELOW) & header, F.lit(False))
         )
-        return F.struct(outside.alias("outside"), added.alias("ranges"))
 
     nothing = F.array().cast("array<struct<a:int,b:int>>")
-    start = F.struct(F.lit(False).alias("outside"), nothing.alias("ranges"))
-    ranges = F.aggregate(F.split(text, "\n"), start, read, lambda acc: F.array_sort(acc["ranges"]))
+
+    def read(line: Column) -> Column:
+        dated = line.rlike(r"\d{4}\s*[-–—]")
+        ranges = F.when(dated, _year_ranges(line, current_year)).otherwise(nothing)
+        return F.struct(outside(line).alias("outside"), ranges.alias("ranges"))
+
+    def collect(acc: Column, line: Column) -> Column:
+        skip = F.coalesce(line["outside"], acc["outside"])
+        more = ~skip & (F.size(line["ranges"]) > 0)
+        kept = F.when(more, F.concat(acc["ranges"], line["ranges"])).otherwise(acc["ranges"])
+        return F.struct(skip.alias("outside"), kept.alias("ranges"))
 
     def cover(acc: Column, r: Column) -> Column:
         gained = F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], acc["until"]))
@@ -95,11 +99,15 @@ def work_years(text: Column, current_year: int) -> Column:
             (acc["years"] + gained).alias("years"), F.greatest(acc["until"], r["b"]).alias("until")
         )
 
-    nobody = F.struct(F.lit(0).alias("years"), F.lit(0).alias("until"))
-    total = F.when(
-        F.size(ranges) > 0, F.aggregate(ranges, nobody, cover, lambda acc: acc["years"])
-    )
-    return F.when(text.rlike(fixed.YEAR_RANGE), total)
+    def total(ranges: Column) -> Column:
+        nobody = F.struct(F.lit(0).alias("years"), F.lit(0).alias("until"))
+        merged = F.aggregate(ranges, nobody, cover, lambda acc: acc["years"])
+        return F.when(F.size(ranges) > 0, merged)
+
+    start = F.struct(F.lit(False).alias("outside"), nothing.alias("ranges"))
+    lines = F.transform(F.transform(F.split(text, "\n"), strip), read)
+    ranges = F.aggregate(lines, start, collect, lambda acc: F.array_sort(acc["ranges"]))
+    return F.when(text.rlike(fixed.YEAR_RANGE), bind(ranges, total))
 
 
 def extract_titles(text: Column, patterns: Iterable[str] = fixed.JOB_TITLES) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from hirelake.functions.dates import age_days
 from hirelake.functions.numbers import round1
 from hirelake.functions.places import is_remote, looks_domestic
 from hirelake.functions.titles import required_years
-from hirelake.functions.words import contains_any, hits, quote
+from hirelake.functions.words import bind, contains_any, hits, quote
 from hirelake.schema import Preferences, Profile, Vocabulary
 
 
@@ -28,7 +31,7 @@ def skill_score(text: Column, skills) -> Column:
     skills = [s.lower() for s in skills]
     if not skills:
         return F.lit(fixed.NEUTRAL_SKILL_SCORE)
-    found = F.size(F.filter(F.array(*map(F.lit, skills)), lambda s: F.contains(text, s)))
+    found = bind(text, lambda low: hits(low, skills, distinct=False))
     return F.least(found.cast("double") / len(skills) * 100.0 * fixed.SKILL_SCALE, F.lit(100.0))
 
 
@@ -36,7 +39,12 @@ def matching_skills(text: Column, skills) -> Column:
     """Skills found in the lowered text, as written and in their own order."""
     if not skills:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*map(F.lit, skills)), lambda s: F.contains(text, F.lower(s)))
+    return bind(
+        text,
+        lambda low: F.array_compact(
+            F.array(*[F.when(low.contains(s.lower()), F.lit(s)) for s in skills])
+        ),
+    )
 
 
 def company_score(company: Column, targets, vocab: Vocabulary | None = None) -> Column:
@@ -44,19 +52,26 @@ def company_score(company: Column, targets, vocab: Vocabulary | None = None) ->
     A blank company is inside every target."""
     vocab = vocab or Vocabulary()
     targets = [t.lower() for t in targets]
-    low = F.lower(company)
-    group = company_group(company, vocab.company_groups, vocab.legal_suffix)
     if not targets:
         return F.lit(0.0)
-    array = F.array(*map(F.lit, targets))
-    match = contains_any(low, targets) | contains_any(group, targets)
-    match = match | F.exists(array, lambda t: F.contains(t, low) | F.contains(t, group))
-    return F.when(match, F.lit(100.0)).otherwise(F.lit(0.0))
+    group = company_group(company, vocab.company_groups, vocab.legal_suffix)
+
+    def match(names: Column) -> Column:
+        tests = [
+            names[n].contains(t) | F.contains(F.lit(t), names[n]) for n in ("low", "group") for t in targets
+        ]
+        return reduce(or_, tests)
+
+    found = bind(F.struct(F.lower(company).alias("low"), group.alias("group")), match)
+    return F.when(found, F.lit(100.0)).otherwise(F.lit(0.0))
 
 
 def location_score(location: Column, prefs: Preferences, vocab: Vocabulary | None = None) -> Column:
     vocab = vocab or Vocabulary()
-    place = F.lower(location)
+    return bind(F.lower(location), lambda place: _place_score(place, prefs, vocab))
+
+
+def _place_score(place: Column, prefs: Preferences, vocab: Vocabulary) -> Column:
     score = F.when(place == "", F.lit(30.0))
     if prefs.include_remote:
         score = score.when(is_remote(place, vocab.remote_words), F.lit(90.0))
@@ -77,7 +92,11 @@ def location_score(location: Column, prefs: Preferences, vocab: Vocabulary | Non
 def years_score(yoe_required: Column, description: Column, max_years: int) -> Column:
     """Closer to the maximum from below is better, above it costs 15 a year.
     A stated zero is a value here."""
-    years = F.coalesce(yoe_required, required_years(description))
+    stated = F.coalesce(yoe_required, required_years(description))
+    return bind(stated, lambda years: _years_score(years, max_years))
+
+
+def _years_score(years: Column, max_years: int) -> Column:
     near = F.lit(1.0) - F.abs(F.lit(max_years) - years).cast("double") / max(max_years, 1)
     over = F.greatest(F.lit(0.0), F.lit(60.0) - (years - max_years).cast("double") * 15.0)
     return (
