@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,16 +20,26 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Lists longer than this become one array literal: a chain of tests as long as
+# the list would be rewritten by every optimizer pass.
+_CHAIN = 4
+
+
 def contains_any(text: Column, terms: Iterable[str]) -> Column:
-    """True when any term is a substring; short-circuits inside codegen."""
-    return reduce(or_, [text.contains(t) for t in terms], F.lit(False))
+    """True when any term is a substring; stops at the first hit.  ``text``
+    should be a plain or bound column."""
+    terms = list(dict.fromkeys(terms))
+    if len(terms) <= _CHAIN:
+        return reduce(or_, [text.contains(t) for t in terms], F.lit(False))
+    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
 
 
 def hits(text: Column, terms: Iterable[str], distinct: bool = True) -> Column:
     """How many (distinct) terms are substrings."""
-    terms = dict.fromkeys(terms) if distinct else terms
-    found = [text.contains(t).cast("int") for t in terms]
-    return reduce(add, found, F.lit(0))
+    terms = list(dict.fromkeys(terms) if distinct else terms)
+    if not terms:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)))
 
 
 def quote(word: str) -> str:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +53,14 @@ def company_score(company: Column, targets, vocab: Vocabulary | None = None) ->
         return F.lit(0.0)
     group = company_group(company, vocab.company_groups, vocab.legal_suffix)
 
+    wanted = F.array(*map(F.lit, targets))
+
     def match(names: Column) -> Column:
-        tests = [
-            names[n].contains(t) | F.contains(F.lit(t), names[n]) for n in ("low", "group") for t in targets
-        ]
-        return reduce(or_, tests)
+        return F.exists(
+            wanted,
+            lambda t: F.contains(names["low"], t) | F.contains(t, names["low"])
+            | F.contains(names["group"], t) | F.contains(t, names["group"]),
+        )
 
     found = bind(F.struct(F.lower(company).alias("low"), group.alias("group")), match)
     return F.when(found, F.lit(100.0)).otherwise(F.lit(0.0))

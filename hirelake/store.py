@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelake.operators.browse import within_days
 from hirelake.schema import SEEN, SEEN_STORED
 
+_MONTH = "yyyy-MM"
+
 
 @dataclass(frozen=True)
 class SeenTable:
-    """Parquet folder partitioned by the day first seen and the run.
+    """Parquet folder partitioned by the month first seen and the run.
 
-    The day serves pruning for date filters.  A run owns its partitions and
-    rewrites them when it is repeated, so a run that died half-way can simply
-    be started again.
+    The month serves pruning for date ranges; days within it are skipped by
+    the files' own statistics.  A run owns its partitions and rewrites them
+    when it is repeated, so a run that died half-way can simply be started
+    again.
     """
 
     spark: SparkSession
@@ -31,23 +36,39 @@ class SeenTable:
                 raise
             return self.spark.createDataFrame([], SEEN_STORED)
 
-    def read(self, except_run: str | None = None) -> DataFrame:
-        """Stored listings; a run reads the table without its own rows."""
+    def read(
+        self, except_run: str | None = None, seen_from: date | None = None, seen_to: date | None = None
+    ) -> DataFrame:
+        """Stored listings, without those of one run, first seen in a range of
+        days.  Both limits prune partitions."""
         rows = self._stored()
         if except_run is not None:
             rows = rows.where(F.col("run_id") != except_run)
+        if seen_from or seen_to:
+            rows = rows.where(within_days("first_seen", seen_from, seen_to))
+        if seen_from:
+            rows = rows.where(F.col("seen_month") >= f"{seen_from:%Y-%m}")
+        if seen_to:
+            rows = rows.where(F.col("seen_month") <= f"{seen_to:%Y-%m}")
         return rows.select(*SEEN.names)
 
-    def append(self, rows: DataFrame, run_id: str) -> None:
-        """Store the rows of a run.  Their keys must be new; see ``mark_seen``."""
+    def append(self, rows: DataFrame, run_id: str, rebalance: bool = False) -> None:
+        """Store the rows of a run.  Their keys must be new; see ``mark_seen``.
+
+        A run sees one day, so its rows go straight to files.  ``rebalance``
+        is for imports that span many months: rows are first brought together
+        by month, large months split over several tasks.
+        """
         stored = rows.select(
             *SEEN.names,
-            F.to_date("first_seen").alias("seen_date"),
+            F.date_format("first_seen", _MONTH).alias("seen_month"),
             F.lit(run_id).alias("run_id"),
         )
+        if rebalance:
+            stored = stored.hint("rebalance", "seen_month")
         (
             stored.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("seen_date", "run_id")
+            .partitionBy("seen_month", "run_id")
             .parquet(self.path)
         )

@@ -63,9 +63,9 @@ def _(t):
 
 
 @query("column_filters", f"""WITH {SEEN} SELECT {_SHOWN_SQL} FROM seen
-WHERE {_like('company', '#00000001')} AND {_like('location', 'africa')} AND source = 'n'""")
+WHERE {_like('company', '#0000000_1')} AND {_like('location', 'a')} AND source = 'n'""")
 def _(t):
-    query_ = b.BrowseQuery.from_params({"company": " #00000001", "location": "africa", "source": "n"})
+    query_ = b.BrowseQuery.from_params({"company": " #0000000_1", "location": "a", "source": "n"})
     return _shown(t.seen.where(b.condition(query_)))
 
 
@@ -132,7 +132,7 @@ def _items_sql(name: str) -> str:
     _, size, sort, direction = _PAGES[name]
     return f"""SELECT '{name}' AS request, position, {_SHOWN_SQL} FROM (
       SELECT *, row_number() OVER (ORDER BY {order_sql(sort, direction)}) AS position FROM seen WHERE {_WHERE[name]})
-    JOIN (SELECT page AS at FROM ({_summary_sql(name)})) ON (position - 1) // {size} = at - 1"""
+    JOIN (SELECT page AS wanted FROM ({_summary_sql(name)})) ON (position - 1) // {size} = wanted - 1"""
 
 
 @query("query_jobs", f"WITH {SEEN} " + " UNION ALL ".join(_items_sql(n) for n in _REQUESTS))

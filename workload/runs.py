@@ -96,7 +96,7 @@ fresh AS (SELECT * FROM wanted_first WHERE unique_key NOT IN (SELECT unique_key
 def stored_table(t: Tables) -> SeenTable:
     """A seen table holding the view ``seen``."""
     table = SeenTable(t.spark, fresh_path(t.spark, "seen"))
-    table.append(t.seen, "history")
+    table.append(t.seen, "history", rebalance=True)
     return table
 
 
