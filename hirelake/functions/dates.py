@@ -7,6 +7,8 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hirelake.functions.words import bind
+
 # Accepted text shapes and output formats.
 ISO_SHAPE = (
     r"^\d{4}-\d{2}-\d{2}"
@@ -32,13 +34,16 @@ def instant(at: datetime | date | str | Column) -> Column:
 
 
 def _from_iso(text: Column) -> Column:
-    text = F.trim(text)
-    # Hour-only times and offsets without a colon are not read by the parser.
-    whole = F.regexp_replace(text, r"^([^T ]+[T ]\d{2})(?=$|Z|[+-])", "$1:00")
-    whole = F.regexp_replace(whole, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    whole = F.regexp_replace(whole, ",", ".")
-    whole = F.when(F.length(text) <= 10, text).otherwise(whole)
-    return F.when(text.rlike(ISO_SHAPE), F.try_to_timestamp(whole))
+    def read(iso: Column) -> Column:
+        # Hour-only times, offsets without a colon and decimal commas are not
+        # read as they are; they take the longer way.
+        longer = F.regexp_replace(iso, r"^(.{10}[T ]\d{2})(?=$|Z|[+-])", "$1:00")
+        longer = F.regexp_replace(longer, r"([+-]\d{2})(\d{2})$", "$1:$2")
+        longer = F.translate(longer, ",", ".")
+        parsed = F.coalesce(F.try_to_timestamp(iso), F.try_to_timestamp(longer))
+        return F.when(iso.rlike(ISO_SHAPE), parsed)
+
+    return bind(F.trim(text), read)
 
 
 def _from_seconds(value: Column) -> Column:

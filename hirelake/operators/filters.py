@@ -101,7 +101,7 @@ def drop_stale(posted_date: Column, as_of, max_age_days: int = fixed.STALE_AFTER
     """More whole days old than allowed.  Written as a comparison with a
     literal instant, so that old row groups of a Parquet scan are skipped."""
     latest = instant(as_of) - F.make_dt_interval(F.lit(max_age_days + 1))
-    return F.coalesce(posted_date <= latest, F.lit(False))
+    return posted_date.isNotNull() & (posted_date <= latest)
 
 
 def drop_places(

@@ -25,25 +25,31 @@ def _nested(path: Sequence[str]) -> T.DataType:
 def split_records(raw: DataFrame, path: Sequence[str], schema: str) -> DataFrame:
     """One row per element of the payload's array at ``path``.
 
-    Adds ``record_text``, the parsed ``record`` and ``record_ok``.  Elements
-    are read one by one, so a broken element spoils neither its neighbours nor
-    its payload; a payload that is no such array yields no rows.
+    Adds ``record_text`` and the parsed ``record``, NULL when it is broken.
+    Elements are read one by one, so a broken element spoils neither its
+    neighbours nor its payload; a payload that is no such array yields no rows.
+
+    Records are parsed before they are exploded: tests on a record then stay
+    above the explode and do not parse it again.
     """
     array = reduce(lambda c, n: c[n], path, F.from_json("payload", _nested(path)))
     full = T.StructType.fromDDL(schema).add(BAD, T.StringType())
-    record = F.from_json("record_text", full, {"columnNameOfCorruptRecord": BAD})
-    return (
-        raw.withColumn("record_text", F.explode(array))
-        .withColumn("record", record)
-        .withColumn("record_ok", F.col("record").isNotNull() & F.col(f"record.{BAD}").isNull())
-    )
+
+    def read(text: Column) -> Column:
+        record = F.from_json(text, full, {"columnNameOfCorruptRecord": BAD})
+        return F.struct(text.alias("record_text"), record.alias("record"))
+
+    others = [c for c in raw.columns if c != "payload"]
+    rows = raw.select(*others, F.inline(F.transform(array, read)))
+    good = F.col("record").isNotNull() & F.col(f"record.{BAD}").isNull()
+    return rows.withColumn("record_ok", good)
 
 
 def good_and_rejected(raw: DataFrame, path: Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """Records that parse, and the texts of those that do not."""
     rows = split_records(raw, path, schema)
     good = rows.where("record_ok").drop("record_ok", "record_text")
-    return good, rows.where("NOT record_ok").drop("record_ok", "record", "payload")
+    return good, rows.where("NOT record_ok").drop("record_ok", "record")
 
 
 def good_records(raw: DataFrame, path: Sequence[str], schema: str) -> DataFrame:

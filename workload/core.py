@@ -78,7 +78,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._spread(table) if name in ("lineitem", "documents", "pages") else table
+
+    def _spread(self, table: DataFrame) -> DataFrame:
+        """A small file is one task however many cores there are; spread its
+        rows.  Tables with enough splits, as any large one, are left alone."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
     def listings_of(self, lineitem: DataFrame) -> DataFrame:
         """Order lines as listings; lines with equal keys are duplicates."""
