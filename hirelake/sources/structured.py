@@ -56,7 +56,7 @@ def _deep_posting():
     def first(bodies) -> str | None:
         for body in bodies:
             try:
-                payload = json.loads(body)
+                payload = json.loads(body, parse_constant=lambda _: None)
             except ValueError:
                 continue
             for item in in_order(payload):
@@ -119,8 +119,9 @@ def _country(item: Column) -> Column:
     """Countries of one address: a text, a named object or a list."""
     path = "$.address.addressCountry"
     one = F.try_variant_get(item, path, "string")
+    named = F.try_variant_get(item, path + ".name", "string")
     return F.coalesce(
-        F.array(F.try_variant_get(item, path + ".name", "string")),
+        F.when(named.isNotNull(), F.array(named)),
         F.try_variant_get(item, path, "array<string>"),
         F.when(~one.startswith("{"), F.array(one)),
     )
