@@ -266,6 +266,44 @@ def stats(seen: DataFrame, as_of) -> DataFrame:
     )
 
 
+def json_bundle(seen: DataFrame, params: Mapping[str, Any] | None, as_of) -> DataFrame:
+    """One row, column ``json``: statistics, filter choices, the result page
+    with its labels and the summary.  Everything in it is bounded: a page, the
+    facet limits and single rows."""
+    answer = query_jobs(seen, params)
+
+    def part(name: str, df: DataFrame, body: Column) -> DataFrame:
+        return df.agg(F.to_json(body).alias("json")).select(F.lit(name).alias("name"), "json")
+
+    items = browse_items(answer.items)
+    shown = F.struct(*[c for c in items.columns])
+    in_order = F.array_sort(F.collect_list(F.struct("position", shown.alias("item"))))
+    page = F.struct(F.transform(in_order, lambda x: x["item"]).alias("items"))
+    choices = facets(seen)
+    of = F.array_sort(F.collect_list(F.struct("facet", "position", "value")))
+
+    def values(facet: str) -> Column:
+        mine = F.filter(of, lambda x: x["facet"] == facet)
+        return F.transform(mine, lambda x: x["value"]).alias(facet)
+
+    choice = F.struct(*[values(n) for n in fixed.FACET_LIMITS])
+
+    def single(df: DataFrame) -> Column:
+        return F.struct(*[F.first(c).alias(c) for c in df.columns])
+
+    counts, total = answer.summary, stats(seen, as_of)
+    parts = [
+        part("stats", total, single(total)), part("filters", choices, choice),
+        part("page", items, page), part("summary", counts, single(counts)),
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    texts = [
+        F.concat(F.lit(f'"{n}":'), F.max(F.when(F.col("name") == n, F.col("json"))))
+        for n in ("stats", "filters", "page", "summary")
+    ]
+    return rows.agg(F.concat(F.lit("{"), F.concat_ws(",", *texts), F.lit("}")).alias("json"))
+
+
 def title_case(text: Column) -> Column:
     """Every run of letters capitalised, also after digits and hyphens."""
     runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))

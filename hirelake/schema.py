@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+from typing import Any
 
 from pyspark.sql import types as T
 
@@ -68,6 +69,20 @@ class Preferences:
     skills: tuple[str, ...] = ()
     results_per_day: int = 10
 
+    @classmethod
+    def from_mapping(cls, settings: Mapping[str, Any]) -> Preferences:
+        """Preferences of a parsed settings file; keys it does not know are
+        ignored, missing ones keep their defaults."""
+        given = dict(settings)
+        if "max_yoe_required" in given:
+            given["max_years"] = given["max_yoe_required"]
+        known = {f.name for f in fields(cls)}
+        return cls(**{
+            name: tuple(value) if isinstance(value, list) else value
+            for name, value in given.items()
+            if name in known and value is not None
+        })
+
 
 @dataclass(frozen=True)
 class Vocabulary:

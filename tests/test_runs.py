@@ -13,6 +13,7 @@ from hirelake.operators.digest import source_counts, source_summary
 from hirelake.operators.order import with_position
 from hirelake.operators.ranking import rank_diverse, remaining_by_score
 from hirelake.plans.daily import run_daily
+from hirelake.plans.outputs import write_outputs
 from hirelake.schema import LISTING, SEEN
 from hirelake.session import fresh_path, shared_dir
 from hirelake.sources import union_sources
@@ -108,6 +109,11 @@ def test_daily_run(spark, listings):
     assert first.scored.count() == 3 and [r["rank"] for r in first.top.orderBy("rank").collect()] == [1, 2]
     assert first.summary().first().asDict() == {"shown": 2, "scanned": 4, "new": 3, "filtered_out": 1, "all_time_jobs": 3, "all_time_companies": 3}
     assert first.report().count() == 1 and first.digest().count() == 2 and first.sources().first().source_summary == "s: 4"
+    folder = fresh_path(spark, "outputs")
+    write_outputs(first, folder, 5)
+    assert spark.read.json(f"{folder}/digest").count() == 2 and spark.read.json(f"{folder}/report").count() == 1
+    assert spark.read.json(f"{folder}/summary").first().scanned == 4
+    assert {r.reason: r.listings for r in first.reasons().collect()} == {"kept": 4}
     second = run(batch(listings, "3", "4"), "r2")
     assert {r.job_id for r in second.scored.collect()} == {"4"} and table.read().count() == 4
     # Repeating a run, even the whole of it, adds nothing.
@@ -240,6 +246,23 @@ def test_browse_labels(spark):
     assert (two.source_label, two.score_label, two.score_band, two.posted_label) == ("My-Board2X", "66.2", "medium", "2026-01-01 05:00")
 
 
+def test_json_bundle(spark):
+    import json
+
+    seen = seen_frame(spark, dict(company="b", score=1.0), dict(company="A", score=2.0), dict(company=None, score=3.0, title=""))
+    bundle = json.loads(b.json_bundle(seen, {"sort": "score", "page_size": 2}, AS_OF).first().json)
+    assert bundle["stats"] == {"total_seen": 3, "added_today": 3, "unique_companies": 2}
+    assert bundle["filters"] == {"company": ["A", "b"], "location": ["l"], "source": ["s"]}
+    assert [i["unique_key"] for i in bundle["page"]["items"]] == ["k2", "k1"] and bundle["summary"]["has_next"] is True
+    empty = json.loads(b.json_bundle(seen, {"q": "zzz"}, AS_OF).first().json)
+    assert empty["page"]["items"] == [] and empty["summary"]["filtered_count"] == 0
+
+
+def test_preferences_of_a_settings_file():
+    prefs = Preferences.from_mapping({"max_yoe_required": 6, "country": "US", "skills": ["a"], "email": {}, "excluded_companies": None})
+    assert prefs == Preferences(max_years=6, country="US", skills=("a",))
+
+
 def test_sources_together(listings):
     both = union_sources(listings(listing(source="b")), listings(listing(source="a"), listing(source="b")).drop("team"))
     assert {r.source: r.listings for r in source_counts(both).collect()} == {"a": 1, "b": 2}

@@ -8,6 +8,7 @@ from hirelake.operators.boards import (
     surviving_slugs, validate_slugs, validation_totals,
 )
 from hirelake.fixed import SLUG_IGNORED, SLUG_PATTERNS
+from hirelake.plans.intake import intake
 from hirelake.sources import (
     jsonld_postings, normalize_amazon, normalize_ashby, normalize_greenhouse, normalize_lever,
     normalize_microsoft, normalize_structured, page_cutoff, sitemap_entries,
@@ -167,6 +168,21 @@ def test_sitemap(spark):
     assert [r.url[-1] for r in sitemap_entries(df, max_entries=1).collect()] == ["1"]
 
 
+def test_intake(spark):
+    lever = raw(spark, [{"id": "1", "text": "Data person"}, {"id": "2", "text": "Cook"}, {"id": "3", "text": "Chef", "descriptionPlain": "Site Cook"}])
+    greenhouse = raw(spark, {"jobs": [{"id": 4, "title": "Site cook"}]})
+    microsoft = raw(spark, {"data": {"positions": [position(), position(id=2, name="Cook")]}})
+    page = lambda n: (f"https://m/profile/job_details/{n}", ld({**POST, "title": f"Developer {n}"}))
+    pages = spark.createDataFrame([page(5), page(6)], "url string, html string")
+    xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://m/profile/job_details/5</loc></url></urlset>'
+    sitemaps = spark.createDataFrame([("a", xml)], "sitemap_id string, xml string")
+    details = spark.createDataFrame([("1", '{"data": {"jobDescription": "more"}}')], "position_id string, payload string")
+    landed = {"lever": lever, "greenhouse": greenhouse, "microsoft": microsoft}
+    rows = intake(landed, ["site cook"], details=details, pages=pages, sitemaps=sitemaps).collect()
+    assert {(r.source, r.job_id) for r in rows} == {("lever", "1"), ("lever", "3"), ("greenhouse", "4"), ("microsoft", "1"), ("meta", "5")}
+    assert {r.description for r in rows if r.source == "microsoft"} == {"more"}
+
+
 def test_page_cutoff_equals_the_page_by_page_walk(spark):
     import random
 

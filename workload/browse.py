@@ -184,6 +184,27 @@ def _(t):
     return b.stats(t.seen, "1999-07-04T09:30:00")
 
 
+@query("json_bundle", f"""WITH {SEEN}, hit AS (SELECT *, row_number() OVER (ORDER BY {order_sql('score', 'desc')}) AS position
+  FROM seen WHERE {_search('gear')})
+SELECT (SELECT count(*) FROM seen) AS total, (SELECT count(*) FROM hit) AS filtered, CAST(30 AS INTEGER) AS items,
+  (SELECT unique_key FROM hit WHERE position = 31) AS first_item, (SELECT title FROM hit WHERE position = 60) AS last_label,
+  CAST((SELECT least(500, count(DISTINCT company)) FROM seen) AS INTEGER) AS companies""")
+def _(t):
+    bundle = b.json_bundle(t.seen, {"q": "gear", "sort": "score", "page": 2, "page_size": 30}, "1999-07-04")
+
+    def at(path: str):
+        return F.get_json_object("json", path)
+
+    return bundle.select(
+        at("$.stats.total_seen").cast("bigint").alias("total"),
+        at("$.summary.filtered_count").cast("bigint").alias("filtered"),
+        F.json_array_length(at("$.page.items")).alias("items"),
+        at("$.page.items[0].unique_key").alias("first_item"),
+        at("$.page.items[29].title_label").alias("last_label"),
+        F.json_array_length(at("$.filters.company")).alias("companies"),
+    )
+
+
 @query("browse_items", rf"""WITH {SEEN}, page AS (SELECT unique_key,
     CASE WHEN l % 5 = 0 THEN '' ELSE title END AS title, CASE WHEN l % 5 = 1 THEN NULL ELSE company END AS company,
     CASE WHEN l % 5 = 2 THEN '' ELSE location END AS location, CASE WHEN l % 5 = 3 THEN NULL ELSE source || 'ab-c1d' END AS source,

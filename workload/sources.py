@@ -11,6 +11,7 @@ from hirelake.operators.boards import (
     validate_slugs, validation_totals,
 )
 from hirelake.operators.digest import source_counts
+from hirelake.plans.intake import intake
 from hirelake.sources import (
     jsonld_postings, normalize_amazon, normalize_ashby, normalize_greenhouse, normalize_lever,
     normalize_microsoft, normalize_structured, page_cutoff, sitemap_entries, union_sources,
@@ -146,6 +147,10 @@ def _(t):
 
 
 def _positions(t: Tables) -> DataFrame:
+    return normalize_microsoft(_raw_positions(t))
+
+
+def _raw_positions(t: Tables) -> DataFrame:
     even, n = F.col("even"), F.col("l_partkey") % 3
     record = _json(
         id=F.when(even, F.col("job_id")), atsJobId=F.concat(F.lit("ats-"), "job_id"), name=F.col("title"),
@@ -158,8 +163,7 @@ def _positions(t: Tables) -> DataFrame:
         displayJobId=F.col("l_orderkey"), isHot=F.lit(True),
         standardizedLocations=F.array(F.col("location")),
     )
-    raw = _line(t).select(_wrapped(record, '{"data": {"positions": [', "]}}").alias("payload"))
-    return normalize_microsoft(raw)
+    return _line(t).select(_wrapped(record, '{"data": {"positions": [', "]}}").alias("payload"))
 
 
 _POSITION_SQL = """SELECT *, CASE WHEN l_partkey % 2 = 0 THEN location ELSE company || ', ' || location END AS p_location,
@@ -320,6 +324,19 @@ def _(t):
     return source_counts(union_sources(t.line.select("title", "source"), t.documents.select("source", "lang")))
 
 
+@query("intake", f"""WITH {LINE}, p AS ({_POSITION_SQL})
+SELECT source, count(*) AS listings, count(DISTINCT title) AS titles FROM (
+  SELECT 'lever' AS source, title FROM line WHERE contains(lower(title || ' ' || description), 'cold gear') OR (contains(lower(title), 'cold') AND contains(lower(title), 'gear'))
+  UNION ALL SELECT 'microsoft', title FROM p WHERE contains(lower(title || ' ' || p_description), 'cold gear')) GROUP BY source""")
+def _(t):
+    record = _json(id=F.col("job_id"), text=F.col("title"), descriptionPlain=F.col("description"))
+    lever = _line(t).select("company", _wrapped(record, "[", "]").alias("payload"))
+    both = intake({"lever": lever, "microsoft": _raw_positions(t)}, ["cold gear"])
+    return both.groupBy("source").agg(
+        F.count(F.lit(1)).alias("listings"), F.count_distinct("title").alias("titles")
+    )
+
+
 _HOSTS = [r"https?://(?:[a-z]+\.)?([a-z0-9-]+)\.example\.(?:com|net)", r'href="/([A-Za-z0-9_-]+)"']
 
 
