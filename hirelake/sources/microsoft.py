@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hirelake import fixed
 from hirelake.functions.dates import parse_instant
@@ -132,7 +131,12 @@ def enrich_with_details(
         "team": pick("team", filled(d["department"], F.col("team"))),
         "metadata": pick("metadata", F.map_concat(untouched, override)),
     }
-    joined = summaries.join(position_details(raw_details), "position_id", "left")
+    # Summaries without an id have no details; given keys of their own they
+    # spread over the tasks instead of meeting in one.
+    no_id = F.concat(F.lit("\x00"), F.col("job_id"))
+    keyed = summaries.withColumn("_id", F.coalesce(F.nullif(F.col("position_id"), F.lit("")), no_id))
+    details = position_details(raw_details).withColumnRenamed("position_id", "_id")
+    joined = keyed.join(details, "_id", "left")
     return joined.select(*[columns.get(c, F.col(c)) for c in summaries.columns])
 
 
