@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from hirelake import fixed
 from hirelake.functions.text import ascii_fold

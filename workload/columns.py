@@ -13,8 +13,8 @@ from hirelake.functions.places import has_foreign_marker, looks_domestic
 from hirelake.functions.text import ascii_fold, clean_html, compact_text, safe_url, snippet, url_id
 from hirelake.functions.titles import infer_seniority, required_years
 from workload.core import (
-    DOC, DOC_AS_OF, LINE, LINE_VOCAB, SENIORITY_SQL, YEARS_SQL, age_sql, list_sql, query,
-    round1_sql, stamp, stamp_sql,
+    LINE, LINE_VOCAB, SENIORITY_SQL, YEARS_SQL, age_sql, list_sql, query,
+    round1_sql, stamp,
 )
 
 CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(
