@@ -260,7 +260,7 @@ def _(t):
 
 
 @query("norm_structured", r"""WITH p AS (SELECT *, page_id % 6 AS n,
-    trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS page_title
+    trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS page_title
   FROM pages WHERE page_id % 6 NOT IN (4, 5))
 SELECT CASE WHEN n <> 1 THEN 'Job & ' || page_id ELSE page_title END AS title, 'Meta' AS company,
   'Main & 1st, Paris, FR' AS location, url,
