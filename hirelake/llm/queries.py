@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import sharding, urls
+from hirelake.llm import decontaminate, quality, sharding, simhash, urls
 from hirelake.llm.common import read
 
 SHARDS = 40
@@ -20,9 +20,24 @@ def op4_urls(spark, sf_dir):
     return urls.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op4_urls": op4_urls,
+    "op6_simhash": op6_simhash,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_quality": op9_quality,
 }
 
 URLS_SQL = r"""
@@ -45,4 +60,74 @@ SELECT p.page_id, p.host, p.path,
 FROM parts p
 """
 
-ORACLES = {"op4_urls": URLS_SQL}
+CONTAMINATION_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, w, least(len(w), 13) AS n
+  FROM (SELECT item_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM items)
+), sizes AS (SELECT DISTINCT n FROM items), grams AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs CROSS JOIN sizes)
+), hits AS (
+  SELECT g.r, g.n, g.i, x.item_id FROM grams g JOIN windows x ON g.n = x.n AND g.gram = x.gram
+), words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+QUALITY_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), grams AS (
+  SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM docs)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams) WHERE c > 1
+), repeats AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r
+), lines AS (
+  SELECT r, host, t, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+         trim(regexp_replace(lower(l), '[\x20\x09-\x0D0-9]+', ' ', 'g')) AS line
+  FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS l FROM docs)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), hosts AS (SELECT host, count(DISTINCT t) AS every FROM lines GROUP BY host),
+often AS (
+  SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line, every
+  HAVING count(DISTINCT t) > 20 AND 100 * count(DISTINCT t) > 20 * every
+), lost AS (SELECT r, sum(n) AS gone FROM lines SEMI JOIN often USING (host, line) GROUP BY r),
+same AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
+base AS (
+  SELECT docs.r, doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(same.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(gone, 0) AS BIGINT) AS n_frequent_words
+  FROM docs LEFT JOIN same USING (r) LEFT JOIN repeats USING (r) LEFT JOIN lost USING (r)
+)
+SELECT * EXCLUDE (r), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+       AND NOT (n_frequent_words > 0 AND (n_words - n_frequent_words < 20
+                OR 100 * (n_words - n_frequent_words) < 30 * n_words)) AS kept
+FROM base
+"""
+
+ORACLES = {"op4_urls": URLS_SQL, "op7_decontaminate": CONTAMINATION_SQL, "op9_quality": QUALITY_SQL}

@@ -56,24 +56,30 @@ class DigestRules:
         table = {}
         for rule, verdict in rules:
             host, path = split_rule(rule)
-            table[host + path] = (rule, verdict)
+            table[host + path] = f"{host}{path}\0{rule}\0{verdict}".encode()
             if len(table) > MAX_RULES:
                 raise ValueError(f"more than {MAX_RULES} rules; split the list and apply each part")
         ordered = sorted((xxhash.xxh64_intdigest(k.encode()), k) for k in table)
-        texts = [k.encode() for _, k in ordered]
+        entries = [table[k] for _, k in ordered]
+        self.rules = len(table)
         self.paths = tuple(sorted({len(split_rule(k)[1]) for k in table}))
         self.labels = max((split_rule(k)[0].count(".") + 1 for k in table), default=0)
-        self.kept = [table[k] for _, k in ordered]
-        digests = np.array([d for d, _ in ordered], np.uint64)
-        ends = np.cumsum([0, *(len(t) for t in texts)], dtype=np.int64)
-        content = hashlib.sha256(b"\0".join(texts)).hexdigest()[:16]
-        folder = os.path.realpath(tempfile.mkdtemp())
-        self.names = tuple(f"{content}-{part}" for part in ("digests", "ends", "texts"))
-        for name, data in zip(self.names, (digests.tobytes(), ends.tobytes(), b"".join(texts))):
-            with open(os.path.join(folder, name), "wb") as file:
-                file.write(data)
-            if data:
-                spark.sparkContext.addFile(os.path.join(folder, name))
+        parts = {
+            "digests": np.array([d for d, _ in ordered], np.uint64).tobytes(),
+            "ends": np.cumsum([0, *(len(e) for e in entries)], dtype=np.int64).tobytes(),
+            "entries": b"".join(entries),
+        }
+        content = hashlib.sha256(b"\n".join(entries)).hexdigest()[:24]
+        self.names = tuple(f"{content}-{part}" for part in parts)
+        folder = os.path.join(os.path.realpath(tempfile.gettempdir()), f"rules-{content}")
+        os.makedirs(folder, exist_ok=True)
+        for name, data in zip(self.names, parts.values() if table else ()):
+            path = os.path.join(folder, name)
+            if not os.path.exists(path):
+                with tempfile.NamedTemporaryFile(dir=folder, delete=False) as file:
+                    file.write(data)
+                os.replace(file.name, path)
+            spark.sparkContext.addFile(path)
 
     def candidates(self, host: str, path: str) -> list[str]:
         """Every text a fitting rule could have, longest first."""
@@ -82,12 +88,12 @@ class DigestRules:
         texts = {h + path[:n] for h in hosts for n in self.paths if n <= len(path)}
         return sorted(texts, key=lambda t: (-len(t), t))
 
-    def search(self, texts: list[str]) -> np.ndarray:
-        """Position of each text among the rules, or -1."""
-        found = np.full(len(texts), -1)
-        if not self.kept or not texts:
+    def search(self, texts: list[str]) -> list[tuple[str, str] | None]:
+        """Rule and verdict that each text stands for, if any."""
+        found = [None] * len(texts)
+        if not self.rules or not texts:
             return found
-        digests, ends, bodies = (
+        digests, ends, entries = (
             np.memmap(SparkFiles.get(name), kind, "r")
             for name, kind in zip(self.names, (np.uint64, np.int64, np.uint8))
         )
@@ -97,23 +103,24 @@ class DigestRules:
         for i in inside[digests[at[inside]] == asked[inside]]:
             place = at[i]
             while place < len(digests) and digests[place] == asked[i]:
-                if bodies[ends[place]:ends[place + 1]].tobytes() == texts[i].encode():
-                    found[i] = place
+                text, rule, verdict = entries[ends[place]:ends[place + 1]].tobytes().decode().split("\0")
+                if text == texts[i]:
+                    found[i] = (rule, verdict)
                     break
                 place += 1
         return found
 
     def judge(self, hosts: Iterable[str], paths: Iterable[str]) -> list[tuple[str | None, str]]:
-        """Rule and verdict of each url up to the last one with a candidate."""
-        texts, rows = [], []
+        """Rule and verdict of each url."""
+        texts, rows, best = [], [], []
         for row, (host, path) in enumerate(zip(hosts, paths)):
             own = self.candidates(host, path)
             texts += own
             rows += [row] * len(own)
-        best = [(None, UNLISTED)] * (rows[-1] + 1 if rows else 0)
-        found = self.search(texts)
-        for i in reversed(np.flatnonzero(found >= 0)):  # the first, so longest, is set last
-            best[rows[i]] = self.kept[found[i]]
+            best.append((None, UNLISTED))
+        for row, found in reversed(list(zip(rows, self.search(texts)))):  # the first, so longest, is set last
+            if found:
+                best[row] = found
         return best
 
 
@@ -130,9 +137,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], url: str = "
 
     @F.pandas_udf("rule string, verdict string")
     def judge(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        best = table.judge(host, path)
-        best += [(None, UNLISTED)] * (len(host) - len(best))
-        return pd.DataFrame(best, columns=["rule", "verdict"]).astype(object)
+        return pd.DataFrame(table.judge(host, path), columns=["rule", "verdict"]).astype(object)
 
     parts = pages.select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     judged = parts.withColumn("judged", judge("host", "path"))
