@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import decontaminate, quality, sharding, simhash, urls
+from hirelake.llm import decontaminate, quality, repeats, sharding, simhash, urls
 from hirelake.llm.common import read
 
 SHARDS = 40
@@ -16,6 +16,10 @@ def op1_shards(spark, sf_dir):
     return sharding.assign_shards(read(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_repeats(spark, sf_dir):
+    return repeats.repeated_bytes(read(spark, sf_dir, "documents"))
+
+
 def op4_urls(spark, sf_dir):
     return urls.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -34,6 +38,7 @@ def op9_quality(spark, sf_dir):
 
 QUERIES = {
     "op1_shards": op1_shards,
+    "op2_repeats": op2_repeats,
     "op4_urls": op4_urls,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
