@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hirelake.llm import decontaminate, quality, repeats, sharding, simhash, urls
+from hirelake.llm import decontaminate, quality, repeats, secrets, sharding, simhash, tokens, urls
 from hirelake.llm.common import read
 
 SHARDS = 40
+VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
 URL_RULES = (
     ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
     ("net/es/", "block"), ("net/fr/", "block"),
@@ -20,6 +21,10 @@ def op2_repeats(spark, sf_dir):
     return repeats.repeated_bytes(read(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark, sf_dir):
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op4_urls(spark, sf_dir):
     return urls.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -32,6 +37,10 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_tokens(spark, sf_dir, vocabulary=VOCABULARY):
+    return tokens.token_counts(read(spark, sf_dir, "documents"), vocabulary)
+
+
 def op9_quality(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"))
 
@@ -39,9 +48,11 @@ def op9_quality(spark, sf_dir):
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_repeats": op2_repeats,
+    "op3_secrets": op3_secrets,
     "op4_urls": op4_urls,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
+    "op8_tokens": op8_tokens,
     "op9_quality": op9_quality,
 }
 
