@@ -57,23 +57,24 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Data
     bodies = docs.select(text_key(text).alias("_key"), normal(F.col(text)).alias("_body"))
     found = None
     for (block,) in sorted(grams.select("block").distinct().collect()):  # at most (WINDOW + 1) // 2 values
-        own = grams.where(F.col("block") == block)
-        known = own.select("gram").distinct()
+        known = grams.where(F.col("block") == block).select("gram").distinct()
         if known.count() <= BROADCAST_GRAMS:
             known = F.broadcast(known)
         cut = F.regexp_extract_all(F.concat("_body", F.lit(" ")), F.lit(r"\G(?:[^ ]++ ){%d}" % block), F.lit(0))
-        blocks = bodies.select("_key", F.posexplode(cut).alias("at", "words"))
-        hashed = blocks.select("_key", "at", F.xxhash64(F.rtrim("words")).alias("gram")).join(known, "gram", "left_semi")
-        lines = hashed.join(own, "gram").select("_key", "item", (F.col("at") * block - F.col("offset")).alias("shift"))
-        found = lines if found is None else found.union(lines)
+        blocks = bodies.select("_key", "_body", F.posexplode(cut).alias("at", "words"))
+        hit = F.struct(F.lit(block).alias("block"), (F.col("at") * block).alias("at"), "gram")
+        hits = blocks.withColumn("gram", F.xxhash64(F.rtrim("words"))).join(known, "gram", "left_semi").select("_key", "_body", hit.alias("hit"))
+        found = hits if found is None else found.union(hits)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "_key binary, item long, shift int")
-    candidates = materialize(found.distinct(), "benchmark-candidates")
-    texts = docs.select(text_key(text).alias("_key"), F.col(text).alias("_text")).join(
-        candidates.select("_key").distinct(), "_key", "left_semi"
-    ).dropDuplicates(["_key"])
+        found = docs.sparkSession.createDataFrame([], "_key binary, _body string, hit struct<block:int,at:int,gram:long>")
+    # Texts with a hit go on with it, so no other text is ever moved.
+    texts = materialize(
+        found.groupBy("_key").agg(F.first("_body").alias("_body"), F.collect_set("hit").alias("hits")), "benchmark-hits"
+    )
+    lines = texts.select("_key", F.explode("hits").alias("hit")).select("_key", "hit.*").join(grams, ["block", "gram"])
+    candidates = lines.select("_key", "item", (F.col("at") - F.col("offset")).alias("shift")).distinct()
     pairs = (
-        candidates.join(texts.select("_key", F.split(normal(F.col("_text")), " ").alias("_words")), "_key")
+        candidates.join(texts.select("_key", F.split("_body", " ").alias("_words")), "_key")
         .join(items, "item")
         .withColumn("low", F.greatest(F.lit(0), -F.col("shift")))
         .withColumn("high", F.least(F.size("words"), F.size("_words") - F.col("shift")))
