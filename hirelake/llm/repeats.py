@@ -30,7 +30,9 @@ from hirelake.session import materialize
 LENGTH = 400
 GRAM = 128
 #: Distinct surroundings of one anchor in one index; an anchor with more is dealt over several.
-INDEX_ROWS = 512
+INDEX_ROWS = 2048
+#: Of strings that meet across indexes, every so many share the digest of the bytes all have in common.
+GRID = 16
 #: Bytes of surroundings one bucket is meant to hold.
 BUCKET_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -241,34 +243,56 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, inde
     )
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
-        """Marks of one bucket; of divided anchors also one row for each distinct string."""
+        """Marks of one bucket, and of divided anchors the strings that other indexes may know.
+
+        Those are the strings that this index met once, and one of each kind
+        that it met more often, in groups of GRID neighbouring starts with the
+        digest of what the whole group has in common.
+        """
         out = []
+        seen: set[bytes] = set()
         for row, starts in enumerate(marked(rows["body"].tolist(), length)):
             anchor, around, low = (rows[n].iat[row] for n in ("anchor", "around", "low"))
             if len(starts):
                 for a, b in zip(*_runs(starts)):
-                    out.append((anchor, around, low + a, low + b, None))
-            if rows["parts"].iat[row] > 1:
-                body, own = rows["body"].iat[row], set(starts.tolist())
-                for s in range(len(body) - length + 1):
-                    digest = hashlib.blake2b(body[s : s + length], digest_size=16).digest()
-                    mine = s not in own
-                    out.append((anchor, around if mine else 0, low + s if mine else None, None, digest))
-        marks = pd.DataFrame(out, columns=["anchor", "around", "low", "high", "digest"]).drop_duplicates()
+                    out.append((anchor, around, low + a, low + b, None, None))
+            if rows["parts"].iat[row] == 1:
+                continue
+            body, own, last = rows["body"].iat[row], set(starts.tolist()), len(rows["body"].iat[row]) - length
+            # Groups are counted from the anchor, so equal strings fall into equal groups.
+            for group in range(low // GRID, (low + last) // GRID + 1):
+                strings = []
+                for at in range(max(group * GRID, low), min(group * GRID + GRID - 1, low + last) + 1):
+                    digest = hashlib.blake2b(body[at - low : at - low + length], digest_size=16).digest()
+                    if at - low not in own or digest not in seen:
+                        seen.add(digest)
+                        strings.append({"at": at if at - low not in own else None, "digest": digest})
+                # All strings of a group hold the bytes from its last start to its first end.
+                core = body[max(0, group * GRID + GRID - 1 - low) : group * GRID + length - low]
+                if strings:
+                    out.append((anchor, around, None, None, hashlib.blake2b(core, digest_size=16).digest(), strings))
+        marks = pd.DataFrame(out, columns=["anchor", "around", "low", "high", "core", "strings"])
         return marks.astype({"low": "Int32", "high": "Int32"})
 
     bucket = F.pmod(F.xxhash64("anchor", "part"), F.lit(buckets))
     marks = materialize(
-        pieces.groupBy(bucket.alias("bucket")).applyInPandas(index, "anchor long, around long, low int, high int, digest binary"),
+        pieces.groupBy(bucket.alias("bucket")).applyInPandas(
+            index, "anchor long, around long, low int, high int, core binary, strings array<struct<at:int,digest:binary>>"
+        ),
         "repeat-marks",
     )
-    inside = marks.where("digest IS NULL").select("anchor", "around", "low", "high")
-    # A divided anchor's strings that no index saw twice, but several indexes saw.
-    strings = marks.where("digest IS NOT NULL")
-    shared = strings.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    across = strings.where("low IS NOT NULL").join(shared, "digest", "left_semi").select("anchor", "around", "low", F.col("low").alias("high"))
-    spans = whole.union(inside).union(across).groupBy("anchor", "around").agg(
-        F.collect_set(F.struct("low", "high")).alias("marks")
+    inside = marks.where("core IS NULL").select("anchor", "around", "low", "high").distinct()
+    # Strings of a divided anchor that no index saw twice, but several indexes saw.
+    apart = marks.where("core IS NOT NULL").select("anchor", "around", "core", "strings")
+    common = apart.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    strings = apart.join(common, "core", "left_semi").select("anchor", "around", F.explode("strings").alias("s"))
+    shared = strings.groupBy("s.digest").agg(F.count("*").alias("n")).where("n > 1")
+    across = strings.select("anchor", "around", "s.*").where("at IS NOT NULL").join(shared, "digest", "left_semi").select(
+        "anchor", "around", F.col("at").alias("low"), F.col("at").alias("high")
+    )
+    spans = materialize(
+        whole.union(inside).union(across).groupBy("anchor", "around").agg(F.collect_set(F.struct("low", "high")).alias("marks")),
+        "repeat-spans",
     )
     placed = found.join(spans, ["anchor", "around"]).select("key", "place", "marks")
     return placed.groupBy("key").agg(F.collect_set(F.struct("place", "marks")).alias("found"))
