@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hirelake.llm import decontaminate, quality, repeats, secrets, sharding, simhash, tokens, urls
+from hirelake.llm import decontaminate, pii, quality, repeats, secrets, sharding, simhash, tokens, urls
 from hirelake.llm.common import read
 
 SHARDS = 40
@@ -45,6 +45,10 @@ def op9_quality(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op10_personal(spark, sf_dir):
+    return pii.find_personal(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_repeats": op2_repeats,
@@ -54,6 +58,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_tokens": op8_tokens,
     "op9_quality": op9_quality,
+    "op10_personal": op10_personal,
 }
 
 URLS_SQL = r"""
