@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from hirelake.llm import decontaminate, pii, quality, repeats, secrets, sharding, simhash, tokens, urls
+from pyspark.sql import functions as F
+
+from hirelake.llm import decontaminate, mixing, pii, quality, repeats, secrets, sharding, simhash, tokens, urls
 from hirelake.llm.common import read
 
 SHARDS = 40
@@ -29,6 +31,12 @@ def op4_urls(spark, sf_dir):
     return urls.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_mix(spark, sf_dir):
+    rates = mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    chances = (F.round(F.get("p", F.lit(d)), 6).alias(f"p_{name}") for d, name in enumerate(mixing.DOMAINS))
+    return rates.select("doc_id", "tokens", *chances, F.round("rate", 6).alias("rate"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -54,6 +62,7 @@ QUERIES = {
     "op2_repeats": op2_repeats,
     "op3_secrets": op3_secrets,
     "op4_urls": op4_urls,
+    "op5_mix": op5_mix,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_tokens": op8_tokens,
