@@ -26,7 +26,7 @@ TARGETS = (0.045, 0.001, 0.95, 0.004)
 #: Hashed words that the classifier may look at.
 FEATURES = 1 << 16
 #: Labelled documents the classifier is fitted on: those with the smallest hashes of their ids.
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 4_000
 #: A word is looked at if it tells a label apart by so many standard deviations.
 TELLING = 4.0
 DESCENTS, DECAY = 400, 1e-3
