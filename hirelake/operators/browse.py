@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
+from math import isnan
 from operator import and_
 from typing import Any
 
@@ -117,6 +118,9 @@ def within_days(column: str, start: date | None = None, end: date | None = None)
 
 
 def within_scores(low: float | None = None, high: float | None = None) -> Column:
+    # NaN compares with nothing; as a bound it lets no listing through.
+    if any(bound is not None and isnan(bound) for bound in (low, high)):
+        return F.lit(False)
     tests = [F.col("score").isNotNull()]
     if low is not None:
         tests.append(F.col("score") >= low)

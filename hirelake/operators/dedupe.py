@@ -36,8 +36,8 @@ def filter_new(df: DataFrame, seen: DataFrame, order: Sequence[Column | str]) ->
 
 
 def is_seen(df: DataFrame, seen: DataFrame) -> DataFrame:
-    """Add the flag ``seen``.  The stored keys are unique."""
-    stored = seen.select("unique_key", F.lit(True).alias("seen"))
+    """Add the flag ``seen``; a key stored twice flags a listing once."""
+    stored = seen.select("unique_key").distinct().withColumn("seen", F.lit(True))
     joined = with_key(df).join(stored, "unique_key", "left")
     return joined.withColumn("seen", F.coalesce("seen", F.lit(False)))
 

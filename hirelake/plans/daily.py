@@ -81,6 +81,8 @@ def run_daily(
     ``order`` decides which copy of a listing counts, ``ties`` the order of
     equal scores.  A backfill scores listings again although they are stored;
     a dry run stores nothing.  Everything scored is stored, not only the top.
+    A run id that is used again scores its own listings again and stores those
+    it has not stored yet.
     """
     before = table.read(except_run=run_id)
     scored = score_new(raw, None if backfill else before, profile, prefs, as_of, order, vocab)

@@ -27,13 +27,13 @@ LISTING = _struct(
 # One landed response of a job board or search endpoint.
 RAW_PAYLOAD = _struct(company=_S, slug=_S, payload=_S)
 
-# One stored listing; seen_month and run_id are the partition columns.
+# One stored listing; attempt and seen_month are the partition columns.
 SEEN = _struct(
     unique_key=_S, title=_S, company=_S, location=_S, url=_S, source=_S,
     posted_date=_TS, first_seen=_TS, score=T.DoubleType(), description=_S,
 )
 SEEN_STORED = T.StructType(
-    SEEN.fields + [T.StructField("seen_month", _S), T.StructField("run_id", _S)]
+    SEEN.fields + [T.StructField("attempt", _S), T.StructField("seen_month", _S)]
 )
 
 

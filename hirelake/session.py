@@ -17,16 +17,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A context whose checkpoint folder was set in code counts as well.  Only a
-    local session with neither gets a folder of its own: on a cluster a
-    driver-local path would be invisible to the executors.
+    Only a local session without that setting gets a folder of its own, as the
+    context's checkpoint folder; on a cluster a driver-local path would be
+    invisible to the executors.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = context.getConf().get("spark.checkpoint.dir")
     if not named:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="hirelake-"))
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="hirelake-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import date
 
@@ -13,62 +14,78 @@ from hirelake.operators.browse import within_days
 from hirelake.schema import SEEN, SEEN_STORED
 
 _MONTH = "yyyy-MM"
+_COMMITTED = "attempt string, run_id string, number long, replaces boolean"
 
 
 @dataclass(frozen=True)
 class SeenTable:
-    """Parquet folder partitioned by the month first seen and the run.
+    """Parquet folder of write attempts, each partitioned by the month first seen.
 
+    An attempt has a folder of its own and counts once its commit, one small
+    file, is there; what a run that died has left is never read.  A key that
+    is stored stays: writing under a run's name again adds the keys the run
+    has not stored yet, whatever the month, and touches no other run.  Only
+    ``replace`` takes a run's earlier rows away, all of them and no others.
     The month serves pruning for date ranges; days within it are skipped by
-    the files' own statistics.  A run owns its partitions and rewrites them
-    when it is repeated, so a run that died half-way can simply be started
-    again.
+    the files' own statistics.
     """
 
     spark: SparkSession
     path: str
 
-    def _stored(self) -> DataFrame:
+    def _folder(self, name: str, schema) -> DataFrame:
         try:
-            return self.spark.read.schema(SEEN_STORED).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], SEEN_STORED)
+            return self.spark.createDataFrame([], schema)
+
+    def _live(self) -> DataFrame:
+        """(attempt, run_id) of commits that no later one of their run replaced."""
+        commits = self._folder("commits", _COMMITTED)
+        last = commits.groupBy("run_id").agg(F.max(F.when(F.col("replaces"), F.col("number"))).alias("since"))
+        return commits.join(last, "run_id").where("since IS NULL OR number >= since").select("attempt", "run_id")
 
     def read(
         self, except_run: str | None = None, seen_from: date | None = None, seen_to: date | None = None
     ) -> DataFrame:
         """Stored listings, without those of one run, first seen in a range of
         days.  Both limits prune partitions."""
-        rows = self._stored()
+        live = self._live()
         if except_run is not None:
-            rows = rows.where(F.col("run_id") != except_run)
+            live = live.where(F.col("run_id") != except_run)
+        return self._rows(live, seen_from, seen_to)
+
+    def _rows(self, live: DataFrame, seen_from: date | None = None, seen_to: date | None = None) -> DataFrame:
+        rows = self._folder("rows", SEEN_STORED)
         if seen_from or seen_to:
             rows = rows.where(within_days("first_seen", seen_from, seen_to))
         if seen_from:
             rows = rows.where(F.col("seen_month") >= f"{seen_from:%Y-%m}")
         if seen_to:
             rows = rows.where(F.col("seen_month") <= f"{seen_to:%Y-%m}")
-        return rows.select(*SEEN.names)
+        return rows.join(live.select("attempt"), "attempt", "left_semi").select(*SEEN.names)
 
-    def append(self, rows: DataFrame, run_id: str, rebalance: bool = False) -> None:
-        """Store the rows of a run.  Their keys must be new; see ``mark_seen``.
+    def append(self, rows: DataFrame, run_id: str, rebalance: bool = False, replace: bool = False) -> None:
+        """Store the rows of a run; their keys must be new to other runs, see ``mark_seen``.
 
+        Keys the run itself has stored are left alone, so a repeat adds nothing.
         A run sees one day, so its rows go straight to files.  ``rebalance``
         is for imports that span many months: rows are first brought together
         by month, large months split over several tasks.
         """
-        stored = rows.select(
-            *SEEN.names,
-            F.date_format("first_seen", _MONTH).alias("seen_month"),
-            F.lit(run_id).alias("run_id"),
-        )
+        of_run = self._folder("commits", _COMMITTED).where(F.col("run_id") == run_id)
+        number = of_run.agg(F.max("number")).first()[0]
+        if number is not None and not replace:
+            own = self._rows(self._live().where(F.col("run_id") == run_id))
+            rows = rows.join(own.select("unique_key"), "unique_key", "left_anti")
+        stored = rows.select(*SEEN.names, F.date_format("first_seen", _MONTH).alias("seen_month"))
         if rebalance:
             stored = stored.hint("rebalance", "seen_month")
-        (
-            stored.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("seen_month", "run_id")
-            .parquet(self.path)
+        attempt = uuid.uuid4().hex
+        stored.write.partitionBy("seen_month").parquet(f"{self.path}/rows/attempt={attempt}")
+        commit = [(run_id, (number or 0) + 1, replace)]
+        self.spark.createDataFrame(commit, "run_id string, number long, replaces boolean").coalesce(1).write.parquet(
+            f"{self.path}/commits/attempt={attempt}"
         )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hirelake.operators.dedupe import seen_rows
@@ -13,6 +14,12 @@ from hirelake.schema import Preferences, Profile, Vocabulary
 from hirelake.store import SeenTable
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of a streaming query, as Spark writes it into the checkpoint."""
+    text = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()
+    return text[0]
+
+
 def start_daily_stream(
     raw: DataFrame,
     table: SeenTable,
@@ -29,14 +36,16 @@ def start_daily_stream(
     """Filter, deduplicate, score and store every micro-batch of ``raw``.
 
     The seen table is the state: a key stored by an earlier batch is not new.
-    The batch number names the run, so a batch that is replayed after a
-    failure rewrites its own partition and adds nothing twice.  ``as_of`` may
-    be a function of the batch number.  ``on_run`` receives ranked results.
+    The query's own id, which its checkpoint keeps, and the batch number name
+    the run: a batch that is replayed after a failure adds nothing twice, and a
+    query with a new checkpoint, or another query on the same table, never
+    meets the runs of this one.  ``as_of`` may be a function of the batch
+    number.  ``on_run`` receives ranked results.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         at = as_of(number) if callable(as_of) else as_of
-        run_id = f"batch-{number}"
+        run_id = f"{_query_id(batch.sparkSession, checkpoint)}-batch-{number}"
         if on_run is not None:
             on_run(run_daily(batch, table, profile, prefs, at, run_id=run_id, order=order, vocab=vocab))
             return

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hirelake import fixed
 from hirelake.operators import browse as b
+from hirelake.operators.order import with_position
 from hirelake.session import materialize
 from workload.core import SEEN, query, round1_sql, stamp, stamp_sql
 
@@ -89,11 +90,11 @@ _SORTS = [(sort, direction) for sort in fixed.SORT_FIELDS for direction in ("asc
 
 @query("sort_jobs", f"WITH {SEEN} " + " UNION ALL ".join(
     f"""(SELECT '{s}' AS sort, '{d}' AS direction, row_number() OVER (ORDER BY {order_sql(s, d)}) AS position, unique_key
-    FROM seen ORDER BY position LIMIT 20)""" for s, d in _SORTS))
+    FROM seen)""" for s, d in _SORTS))
 def _(t):
     seen = materialize(t.seen, "seen")
     pages = [
-        b.page_items(seen, b.BrowseQuery(sort=s, direction=d, page_size=20), 1).select(
+        with_position(b.sort_jobs(seen, s, d), b.sort_order(s, d)).select(
             F.lit(s).alias("sort"), F.lit(d).alias("direction"), "position", "unique_key"
         )
         for s, d in _SORTS

@@ -78,14 +78,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return self._spread(table) if name in ("lineitem", "documents", "pages") else table
-
-    def _spread(self, table: DataFrame) -> DataFrame:
-        """A small file is one task however many cores there are; spread its
-        rows.  Tables with enough splits, as any large one, are left alone."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def listings_of(self, lineitem: DataFrame) -> DataFrame:
         """Order lines as listings; lines with equal keys are duplicates."""
@@ -120,17 +113,16 @@ class Tables:
 
     @cached_property
     def doc(self) -> DataFrame:
-        """Documents as listings.  Companies are the hundred customers whose
-        key is a document number modulo 100."""
-        customers = self.customer.where(F.col("c_custkey").between(0, 99))
+        """Documents as listings.  Event and document numbers meet; the company
+        is the customer who caused the event."""
         places = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
-        stamps = self.events.select("event_id", F.col("ts").cast("timestamp").alias("posted_date"))
+        stamps = self.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("posted_date"))
         years = F.when(F.col("doc_id") % 5 == 1, 0).when(F.col("doc_id") % 5 == 2, 3)
         years = years.when(F.col("doc_id") % 5 == 3, 4).when(F.col("doc_id") % 5 == 4, 9)
         return (
             self.documents.withColumnRenamed("text", "description")
-            .join(stamps, F.col("event_id") == F.col("doc_id"), "left")
-            .join(customers, F.col("c_custkey") == F.col("doc_id") % 100)
+            .join(stamps, F.col("event_id") == F.col("doc_id"))
+            .join(self.customer, F.col("c_custkey") == F.col("user_id"))
             .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 "doc_id", "lang", "n_chars", "description", "source", "posted_date",
@@ -188,8 +180,8 @@ DOC = """doc AS (
     CAST(doc_id AS VARCHAR) AS job_id,
     CASE doc_id % 5 WHEN 1 THEN 0 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 9 END AS yoe_required,
     source || ':' || doc_id AS unique_key
-  FROM documents LEFT JOIN events ON event_id = doc_id
-  JOIN customer ON c_custkey = doc_id % 100
+  FROM documents JOIN events ON event_id = doc_id
+  JOIN customer ON c_custkey = user_id
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 

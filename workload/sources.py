@@ -204,7 +204,7 @@ def _(t):
     )
     plain = _json(**shared)
     # Present as null in the details, so it replaces the summary's value.
-    emptied = F.concat(F.lit('{"displayJobId": null, '), F.substring(plain, 2, 1_000_000))
+    emptied = F.concat(F.lit('{"displayJobId": null, '), F.substr(plain, F.lit(2)))
     data = F.when(status == "F", emptied).otherwise(plain)
     details = t.orders.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(
         F.concat("o_orderkey", F.lit("-"), "n").alias("position_id"),
@@ -432,7 +432,7 @@ def _(t):
 
 @query("merge_slugs", """WITH named AS (SELECT c_name AS company, trim(lower('s' || (c_custkey // 2))) AS slug, 0 AS tier, c_custkey AS ord FROM customer),
 bare AS (SELECT lower(x) AS company, lower(x) AS slug, 1 AS tier, ord FROM (
-  SELECT ' S' || (s_suppkey * 20) || ' ' AS x, s_suppkey AS ord FROM supplier UNION ALL SELECT s_name, 100000000 + s_suppkey FROM supplier
+  SELECT ' S' || (s_suppkey * 20) || ' ' AS x, s_suppkey AS ord FROM supplier UNION ALL SELECT s_name, 1000000000000 + s_suppkey FROM supplier
   UNION ALL SELECT '', -1) y(x, ord)),
 kept AS (SELECT * FROM (SELECT trim(company) AS company, trim(slug) AS slug, tier, ord FROM (SELECT * FROM named UNION ALL SELECT * FROM bare))
   WHERE slug <> '' QUALIFY row_number() OVER (PARTITION BY slug ORDER BY tier, ord) = 1)
@@ -445,7 +445,7 @@ def _(t):
     extras = t.supplier.select(
         F.concat(F.lit(" S"), F.col("s_suppkey") * 20, F.lit(" ")).alias("slug"), F.col("s_suppkey").alias("ord")
     ).unionByName(
-        t.supplier.select(F.col("s_name").alias("slug"), (100_000_000 + F.col("s_suppkey")).alias("ord"))
+        t.supplier.select(F.col("s_name").alias("slug"), (F.lit(1_000_000_000_000) + F.col("s_suppkey")).alias("ord"))
     )
     return merge_slug_sources(primary, extras)
 
