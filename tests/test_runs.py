@@ -279,3 +279,60 @@ def test_shared_dir_refuses_driver_local_folders_on_a_cluster(spark, monkeypatch
     with pytest.raises(RuntimeError):
         shared_dir(Remote)
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def stored_rows(spark, *names, at="2026-03-10"):
+    return seen_frame(spark, *[dict(unique_key=n, first_seen=datetime.fromisoformat(at)) for n in names])
+
+
+def test_a_stored_key_stays(spark):
+    table = SeenTable(spark, fresh_path(spark, "seen"))
+
+    def held():
+        return sorted(keys(table.read()))
+
+    table.append(stored_rows(spark, "a", "b"), "r1")
+    table.append(stored_rows(spark, "c"), "r1")  # another batch under a used name
+    assert held() == ["a", "b", "c"]
+    table.append(stored_rows(spark, "a", "d", at="2026-04-02"), "r1")  # repeated in another month
+    assert held() == ["a", "b", "c", "d"]
+    table.append(stored_rows(spark), "r1")
+    assert held() == ["a", "b", "c", "d"] and keys(table.read(except_run="r1")) == []
+    table.append(stored_rows(spark, "x"), "r2")
+    table.append(stored_rows(spark), "r1", replace=True)  # takes this run's rows only
+    assert held() == ["x"]
+    table.append(stored_rows(spark, "a"), "r1")
+    assert held() == ["a", "x"] and keys(table.read(except_run="r2")) == ["a"]
+
+
+def test_an_attempt_without_a_commit_does_not_count(spark):
+    table = SeenTable(spark, fresh_path(spark, "seen"))
+    table.append(stored_rows(spark, "a"), "r1")
+    stored_rows(spark, "dead").withColumn("seen_month", F.lit("2026-03")).write.partitionBy("seen_month").parquet(f"{table.path}/rows/attempt=dead")
+    assert keys(table.read()) == ["a"]
+
+
+def test_new_checkpoints_and_second_streams_keep_what_is_stored(spark, listings):
+    table, prefs, profile = SeenTable(spark, fresh_path(spark, "seen")), Preferences(), Profile()
+
+    def stream(landing):
+        raw = spark.readStream.schema(LISTING).parquet(landing)
+        start_daily_stream(raw, table, profile, prefs, AS_OF, order=ORDER, checkpoint=fresh_path(spark, "check")).awaitTermination()
+
+    for ids, expected in ((("1", "2"), 2), (("3",), 3), (("3", "4"), 4)):
+        landing = fresh_path(spark, "landing")
+        batch(listings, *ids).coalesce(1).write.parquet(landing)
+        stream(landing)
+        assert table.read().count() == expected
+
+
+def test_a_key_stored_twice_flags_a_listing_once(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "unique_key string")
+    flagged = is_seen(df, spark.createDataFrame([("a",), ("a",)], "unique_key string"))
+    assert sorted((r.unique_key, r.seen) for r in flagged.collect()) == [("a", True), ("b", False)]
+
+
+def test_nan_as_a_bound_matches_nothing(spark):
+    seen = seen_frame(spark, dict(score=1.0), dict(score=None))
+    assert keys(seen.where(b.condition(b.BrowseQuery.from_params({"max_score": "nan"})))) == []
+    assert keys(seen.where(b.condition(b.BrowseQuery.from_params({"min_score": "nan"})))) == []
