@@ -34,5 +34,10 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def carry(docs: DataFrame) -> Column:
+    """Whole row of ``docs`` as ``_row``, so that no column of it can clash with an operator's own."""
+    return F.struct(*(docs[f"`{name}`"] for name in docs.columns)).alias("_row")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

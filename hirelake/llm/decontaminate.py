@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import ascii_lower, text_key
+from hirelake.llm.common import ascii_lower, carry, text_key
 from hirelake.session import materialize
 
 WINDOW = 13
@@ -122,4 +122,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     """Rows that aren't contaminated, in all their columns."""
     texts = docs.select(text_key(text).alias("_key"), count_words(F.col(text)).alias("n_words"))
     bad = find_hits(docs, benchmark, text).join(texts, "_key").where(ONE_IN * F.col("n_hit") >= F.col("n_words"))
-    return docs.withColumn("_key", text_key(text)).join(bad.select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
+    rows = docs.select(carry(docs), text_key(text).alias("_key"))
+    return rows.join(bad.select("_key").distinct(), "_key", "left_anti").select("_row.*")

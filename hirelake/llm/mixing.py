@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import small_batches, text_key
+from hirelake.llm.common import carry, small_batches, text_key
 from hirelake.session import materialize
 
 #: Domains are the combinations of the two labels; their names, and the share of tokens each is to have.
@@ -240,4 +240,4 @@ def apply_mix(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = TA
     gone = rates.where(F.pmod(F.xxhash64(F.lit("mix"), "key"), F.lit(1 << 20)) + 0.5 >= F.col("_rate") * (1 << 20)).select(
         F.col("key").alias("_key")
     )
-    return docs.withColumn("_key", text_key(text)).join(gone, "_key", "left_anti").select(*docs.columns)
+    return docs.select(carry(docs), text_key(text).alias("_key")).join(gone, "_key", "left_anti").select("_row.*")

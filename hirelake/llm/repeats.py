@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import small_batches, text_key
+from hirelake.llm.common import carry, small_batches, text_key
 from hirelake.session import materialize
 
 LENGTH = 400
@@ -366,7 +366,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     A character of which a byte went is dropped whole.
     """
-    out = _sorted_out(docs, text, length, INDEX_ROWS).select(F.col("key").alias("_key"), "kept")
-    joined = docs.withColumn("_key", text_key(text)).join(out, "_key", "left")
-    rest = F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "\ufffd", "")
-    return joined.withColumn(text, F.when(F.col("kept").isNotNull(), rest).otherwise(F.col(text))).select(*docs.columns)
+    out = _sorted_out(docs, text, length, INDEX_ROWS).select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
+    joined = docs.select(carry(docs), text_key(text).alias("_key")).join(out, "_key", "left")
+    rest = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", "")
+    body = F.when(F.col("_kept").isNotNull(), rest).otherwise(F.col("_row")[text])
+    return joined.select(*((body if n == text else F.col("_row")[n]).alias(n) for n in docs.columns))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import small_batches
+from hirelake.llm.common import carry, small_batches
 from hirelake.llm.links import components
 from hirelake.session import materialize
 
@@ -268,9 +268,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
         .agg(F.count("*").alias("_rows")),
         "representatives",
     )
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("_stay")))
-    once = kept.where("_rows = 1 OR _stay IS NULL").select(*docs.columns)
+    rows = docs.select(carry(docs), F.col(key).alias("_id"))
+    kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_stay")))
+    once = kept.where("_rows = 1 OR _stay IS NULL").select("_row.*")
     often = stay.where("_rows > 1 AND _stay IS NOT NULL")
     if often.isEmpty():
         return once
-    return once.union(kept.where("_rows > 1 AND _stay IS NOT NULL").dropDuplicates([key]).select(*docs.columns))
+    return once.union(kept.where("_rows > 1 AND _stay IS NOT NULL").dropDuplicates(["_id"]).select("_row.*"))

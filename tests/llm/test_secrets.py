@@ -34,7 +34,7 @@ def test_field_finds_what_the_patterns_miss(spark):
     rows += [(1000 + i, f"the order {i * 7919 + 1000000} came on 2024-01-{i % 28 + 1:02} at 10.20.30.{i} again") for i in range(150)]
     field = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
     base, more = secrets.scan("é the password is hunter2x9Zq81 for now", field)
-    assert base == [] and more == [(18, 3, 30)]
+    assert base == [] and more == [(18, 3, 18 + len("hunter2x9Zq81"))]
     assert secrets.scan("the order 7919001 came on 2024-01-05 at 10.20.30.4 again", field) == ([], [])
 
 
