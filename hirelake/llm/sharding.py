@@ -52,8 +52,9 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
 
     Equal rows are counted before anything is ordered, so a row that is
     repeated without end is one row until its copies get their slots.  Slots
-    run over ``buckets`` key-hash buckets of each shard and within a bucket by
-    key, size and checksum; only the counts of buckets meet in one task.
+    run over ``buckets`` hash buckets of each shard and within a bucket by key,
+    size and checksum; only the counts of buckets meet in one task.  The rows
+    of one key spread over the buckets when their texts differ.
 
     Null keys share a shard, a null text has no bytes and the checksum of an
     empty text, repeated rows get slots of their own, and no rows give no rows.
@@ -71,7 +72,9 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
             "*",
             shard_of(F.col("doc_id"), shards).alias("shard"),
             shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
-            F.pmod(F.xxhash64(F.lit("slot"), F.col("doc_id").cast("string")), F.lit(buckets)).cast("int").alias("bucket"),
+            F.pmod(
+                F.xxhash64(F.lit("slot"), F.col("doc_id").cast("string"), "size", "text_crc32"), F.lit(buckets)
+            ).cast("int").alias("bucket"),
         ),
         "shards",
     )
