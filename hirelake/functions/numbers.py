@@ -5,20 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hirelake.functions.words import bind
-
 
 def round1(x: Column) -> Column:
     """Round to one decimal on the exact binary value, ties to even.
 
     Built-in rounding works on the shortest decimal text and differs at near
     ties.  Here 10*x is split into a rounded sum and its exact error, so the
-    distance to the tie is exact.
+    distance to the tie is exact.  ``x`` should be a plain or bound column.
     """
-    return bind(x, _round_bound)
-
-
-def _round_bound(x: Column) -> Column:
     eight, two = x * 8, x * 2
     total = eight + two
     part = total - eight

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 from datetime import date, timedelta
 from functools import reduce
 from math import isnan
@@ -23,9 +24,8 @@ SEARCHED = ("title", "company", "location", "source", "description")
 LISTED = ("unique_key", "title", "company", "location", "url", "source", "posted_date",
           "first_seen", "score")
 
-# Pages that start beyond this many rows are cut from positions in a
-# distributed sort instead of a top-k held by every task.
-DEEP_PAGE_ROWS = 10_000
+# Columns any sort order looks at, besides the one sorted by.
+ORDERING = ("unique_key", "posted_date", "first_seen", "company")
 
 
 def _text(value: Any) -> str:
@@ -201,18 +201,17 @@ def query_summary(seen: DataFrame, query: BrowseQuery) -> DataFrame:
 
 
 def page_items(seen: DataFrame, query: BrowseQuery, page: int) -> DataFrame:
-    """Rows of one page, with their ``position`` in the whole result."""
+    """Rows of one page, with their ``position`` in the whole result.
+
+    Positions are worked out over the sort columns and the key alone, wherever
+    the page lies; the page's keys, at most a page size, then fetch its rows.
+    """
     rows = seen.where(condition(query))
-    order = sort_order(query.sort, query.direction)
     offset = (page - 1) * query.page_size
-    if offset > DEEP_PAGE_ROWS:
-        positions = F.col("position").between(offset + 1, offset + query.page_size)
-        return with_position(rows, order).where(positions)
-    # The window numbers the rows of this page only.
-    number = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-    return rows.orderBy(*order).offset(offset).limit(query.page_size).withColumn(
-        "position", F.lit(offset) + number
-    )
+    keys = rows.select(*dict.fromkeys([*ORDERING, query.sort]))
+    placed = with_position(keys, sort_order(query.sort, query.direction))
+    wanted = placed.where(F.col("position").between(offset + 1, offset + query.page_size))
+    return rows.join(F.broadcast(wanted.select("unique_key", "position")), "unique_key").select(*seen.columns, "position")
 
 
 @dataclass(frozen=True)
@@ -228,10 +227,10 @@ def query_jobs(seen: DataFrame, params: Mapping[str, Any] | None = None) -> Brow
     The requested page can lie behind the last one, so one counting job runs
     first and returns a single row.
     """
-    query = BrowseQuery.from_params(params)
-    summary = query_summary(seen, query)
-    page = query.page if query.page == 1 else summary.first()["page"]
-    return BrowseResult(query, page_items(seen, query, page), summary)
+    asked = BrowseQuery.from_params(params)
+    summary = query_summary(seen, asked)
+    query = asked if asked.page == 1 else replace(asked, page=summary.first()["page"])
+    return BrowseResult(query, page_items(seen, query, query.page), summary)
 
 
 def facets(seen: DataFrame, limits: Mapping[str, int] = fixed.FACET_LIMITS) -> DataFrame:
@@ -270,25 +269,37 @@ def stats(seen: DataFrame, as_of) -> DataFrame:
     )
 
 
-def json_bundle(seen: DataFrame, params: Mapping[str, Any] | None, as_of) -> DataFrame:
-    """One row, column ``json``: statistics, filter choices, the result page
-    with its labels and the summary.  Everything in it is bounded: a page, the
-    facet limits and single rows."""
+# Facets under their names in the bundle; null fields stay in it.
+BUNDLE_FACETS = {"company": "companies", "location": "locations", "source": "sources"}
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssxxx"}
+
+
+def query_json(query: BrowseQuery) -> str:
+    """The cleaned request as JSON, absent values as ""."""
+    given = {n: "" if v is None else v for n, v in asdict(query).items()}
+    return json.dumps({n: str(v) if isinstance(v, date) or v != v else v for n, v in given.items()}, ensure_ascii=False)
+
+
+def json_bundle(seen: DataFrame, params: Mapping[str, Any] | None, as_of, path: str = "") -> DataFrame:
+    """One row, column ``json``: ``db_path``, ``stats``, ``filters`` and
+    ``result`` with its counts, the labelled ``items`` of the page and the
+    cleaned ``query``.  Everything in it is bounded: a page, the facet limits
+    and single rows."""
     answer = query_jobs(seen, params)
 
     def part(name: str, df: DataFrame, body: Column) -> DataFrame:
-        return df.agg(F.to_json(body).alias("json")).select(F.lit(name).alias("name"), "json")
+        return df.agg(F.to_json(body, _JSON).alias("json")).select(F.lit(name).alias("name"), "json")
 
     items = browse_items(answer.items)
-    shown = F.struct(*[c for c in items.columns])
+    shown = F.struct(*[c for c in items.columns if c != "position"])
     in_order = F.array_sort(F.collect_list(F.struct("position", shown.alias("item"))))
-    page = F.struct(F.transform(in_order, lambda x: x["item"]).alias("items"))
+    page = F.transform(in_order, lambda x: x["item"])
     choices = facets(seen)
     of = F.array_sort(F.collect_list(F.struct("facet", "position", "value")))
 
     def values(facet: str) -> Column:
         mine = F.filter(of, lambda x: x["facet"] == facet)
-        return F.transform(mine, lambda x: x["value"]).alias(facet)
+        return F.transform(mine, lambda x: x["value"]).alias(BUNDLE_FACETS[facet])
 
     choice = F.struct(*[values(n) for n in fixed.FACET_LIMITS])
 
@@ -298,14 +309,15 @@ def json_bundle(seen: DataFrame, params: Mapping[str, Any] | None, as_of) -> Dat
     counts, total = answer.summary, stats(seen, as_of)
     parts = [
         part("stats", total, single(total)), part("filters", choices, choice),
-        part("page", items, page), part("summary", counts, single(counts)),
+        part("items", items, page), part("counts", counts, single(counts)),
     ]
-    rows = reduce(DataFrame.unionByName, parts)
-    texts = [
-        F.concat(F.lit(f'"{n}":'), F.max(F.when(F.col("name") == n, F.col("json"))))
-        for n in ("stats", "filters", "page", "summary")
-    ]
-    return rows.agg(F.concat(F.lit("{"), F.concat_ws(",", *texts), F.lit("}")).alias("json"))
+    texts = reduce(DataFrame.unionByName, parts).agg(
+        *[F.max(F.when(F.col("name") == n, F.col("json"))).alias(n) for n in ("stats", "filters", "items", "counts")]
+    )
+    return texts.select(F.concat(
+        F.lit(f'{{"db_path":{json.dumps(path)},"stats":'), "stats", F.lit(',"filters":'), "filters", F.lit(',"result":'),
+        F.rtrim(F.col("counts"), F.lit("}")), F.lit(',"items":'), "items", F.lit(f',"query":{query_json(answer.query)}}}}}'),
+    ).alias("json"))
 
 
 def title_case(text: Column) -> Column:

@@ -216,8 +216,11 @@ def test_paging(spark, monkeypatch):
                                                "has_previous": True, "has_next": False}
     assert b.display_range(beyond.summary).first()[0] == "Showing 21-23 of 23"
     assert b.display_range(b.query_jobs(seen, {"q": "nope"}).summary).first()[0] == "No matching jobs"
-    monkeypatch.setattr(b, "DEEP_PAGE_ROWS", 3)
-    assert pages() == whole
+    sorted_columns = []
+    monkeypatch.setattr(b, "with_position", lambda df, order: sorted_columns.append(df.columns) or with_position(df, order))
+    b.query_jobs(seen, {"sort": "score"})
+    b.query_jobs(seen, {"sort": "title", "page": 2})
+    assert [set(c) - set(b.ORDERING) for c in sorted_columns] == [{"score"}, {"title"}]
 
 
 def test_positions_without_a_single_task(spark):
@@ -252,10 +255,16 @@ def test_json_bundle(spark):
     seen = seen_frame(spark, dict(company="b", score=1.0), dict(company="A", score=2.0), dict(company=None, score=3.0, title=""))
     bundle = json.loads(b.json_bundle(seen, {"sort": "score", "page_size": 2}, AS_OF).first().json)
     assert bundle["stats"] == {"total_seen": 3, "added_today": 3, "unique_companies": 2}
-    assert bundle["filters"] == {"company": ["A", "b"], "location": ["l"], "source": ["s"]}
-    assert [i["unique_key"] for i in bundle["page"]["items"]] == ["k2", "k1"] and bundle["summary"]["has_next"] is True
-    empty = json.loads(b.json_bundle(seen, {"q": "zzz"}, AS_OF).first().json)
-    assert empty["page"]["items"] == [] and empty["summary"]["filtered_count"] == 0
+    assert bundle["filters"] == {"companies": ["A", "b"], "locations": ["l"], "sources": ["s"]} and bundle["db_path"] == ""
+    result = bundle["result"]
+    assert [i["unique_key"] for i in result["items"]] == ["k2", "k1"] and result["has_next"] is True
+    assert result["items"][0]["posted_date"] is None and result["items"][0]["first_seen"] == "2026-03-10T08:00:00+00:00"
+    assert "position" not in result["items"][0]
+    assert result["query"] == {"q": "", "company": "", "location": "", "source": "", "posted_from": "", "posted_to": "", "first_seen_from": "",
+                               "first_seen_to": "", "min_score": "", "max_score": "", "sort": "score", "direction": "desc", "page": 1, "page_size": 2}
+    empty = json.loads(b.json_bundle(seen, {"q": "z\"z", "posted_from": "2026-01-01", "page": 9}, AS_OF, "s3://x").first().json)
+    assert empty["result"]["items"] == [] and empty["result"]["filtered_count"] == 0 and empty["db_path"] == "s3://x"
+    assert (empty["result"]["query"]["q"], empty["result"]["query"]["posted_from"], empty["result"]["query"]["page"]) == ('z"z', "2026-01-01", 1)
 
 
 def test_preferences_of_a_settings_file():

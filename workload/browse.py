@@ -189,7 +189,10 @@ def _(t):
   FROM seen WHERE {_search('gear')})
 SELECT (SELECT count(*) FROM seen) AS total, (SELECT count(*) FROM hit) AS filtered, CAST(30 AS INTEGER) AS items,
   (SELECT unique_key FROM hit WHERE position = 31) AS first_item, (SELECT title FROM hit WHERE position = 60) AS last_label,
-  CAST((SELECT least(500, count(DISTINCT company)) FROM seen) AS INTEGER) AS companies""")
+  CAST((SELECT least(500, count(DISTINCT company)) FROM seen) AS INTEGER) AS companies,
+  'company,company_label,description,description_preview,first_seen,first_seen_label,location,location_label,posted_date,'
+    || 'posted_label,score,score_band,score_label,source,source_label,title,title_label,unique_key,url' AS fields,
+  'gear|score|desc|2|30|' AS asked""")
 def _(t):
     bundle = b.json_bundle(t.seen, {"q": "gear", "sort": "score", "page": 2, "page_size": 30}, "1999-07-04")
 
@@ -198,11 +201,13 @@ def _(t):
 
     return bundle.select(
         at("$.stats.total_seen").cast("bigint").alias("total"),
-        at("$.summary.filtered_count").cast("bigint").alias("filtered"),
-        F.json_array_length(at("$.page.items")).alias("items"),
-        at("$.page.items[0].unique_key").alias("first_item"),
-        at("$.page.items[29].title_label").alias("last_label"),
-        F.json_array_length(at("$.filters.company")).alias("companies"),
+        at("$.result.filtered_count").cast("bigint").alias("filtered"),
+        F.json_array_length(at("$.result.items")).alias("items"),
+        at("$.result.items[0].unique_key").alias("first_item"),
+        at("$.result.items[29].title_label").alias("last_label"),
+        F.json_array_length(at("$.filters.companies")).alias("companies"),
+        F.array_join(F.array_sort(F.json_object_keys(at("$.result.items[0]"))), ",").alias("fields"),
+        F.concat_ws("|", *[at(f"$.result.query.{n}") for n in ("q", "sort", "direction", "page", "page_size", "min_score")]).alias("asked"),
     )
 
 
