@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +14,53 @@ from hirelake.functions.words import captures
 from hirelake.operators.dedupe import first_per
 
 
+def _clean_slug(slug: Column) -> Column:
+    slug = F.btrim(F.trim(F.lower(slug)), F.lit(fixed.SLUG_PUNCTUATION))
+    return F.regexp_extract(slug, r"^([^?#]*)", 1)
+
+
 def extract_slugs(df: DataFrame, text: Column, patterns: Iterable[str], ignored: Iterable[str] = ()) -> DataFrame:
     """Distinct slugs captured from the texts.  Repeats within a text are
     removed before the shuffle, repeats within a task by the partial
     aggregation."""
-    slug = F.btrim(F.trim(F.lower(F.col("slug"))), F.lit(fixed.SLUG_PUNCTUATION))
-    slug = F.regexp_extract(slug, r"^([^?#]*)", 1)
     found = df.select(F.explode(F.array_distinct(captures(text, patterns))).alias("slug"))
-    return found.select(slug.alias("slug")).where(
+    return found.select(_clean_slug(F.col("slug")).alias("slug")).where(
         (F.col("slug") != "") & ~F.col("slug").isin(*ignored)
     ).distinct()
 
 
+def harvest_slugs(
+    df: DataFrame, text: Column,
+    patterns: Mapping[str, Iterable[str]] = fixed.SLUG_PATTERNS,
+    ignored: Mapping[str, Iterable[str]] = fixed.SLUG_IGNORED,
+) -> DataFrame:
+    """Distinct (ats, slug) of all board systems, from one pass over the texts."""
+
+    def of(ats: str) -> Column:
+        slugs = F.array_distinct(captures(text, list(patterns[ats])))
+        return F.transform(slugs, lambda s: F.struct(F.lit(ats).alias("ats"), s.alias("slug")))
+
+    found = F.concat(*map(of, patterns))
+    rows = df.select(F.explode(found).alias("f")).select("f.ats", _clean_slug(F.col("f.slug")).alias("slug"))
+    dropped = [(F.col("ats") == ats) & F.col("slug").isin(*words) for ats, words in ignored.items()]
+    return rows.where((F.col("slug") != "") & ~reduce(or_, dropped, F.lit(False))).distinct()
+
+
+def expand_slugs(
+    df: DataFrame, text: Column, boards: DataFrame, existing: DataFrame, min_open_jobs: int = 1,
+    patterns: Mapping[str, Iterable[str]] = fixed.SLUG_PATTERNS,
+    ignored: Mapping[str, Iterable[str]] = fixed.SLUG_IGNORED,
+) -> DataFrame:
+    """(ats, slug, added): the slugs of ``existing`` (ats, slug) and those
+    harvested from the texts whose board has enough open jobs."""
+    harvested = harvest_slugs(df, text, patterns, ignored)
+    valid = surviving_slugs(validate_slugs(harvested, boards, min_open_jobs))
+    rows = existing.select("ats", "slug", F.lit(False).alias("added")).unionByName(
+        valid.select("ats", "slug", F.lit(True).alias("added"))
+    )
+    return rows.groupBy("ats", "slug").agg(F.min("added").alias("added"))
+
+
 def slug_candidates(df: DataFrame, company: str = "company") -> DataFrame:
     """(company, ord, slug): spellings to try for each company, best first."""
     base = F.trim(F.lower(company))

@@ -161,3 +161,18 @@ def changed_only(
     current = df.withColumn("text_hash", F.md5(F.col(text).cast("binary")))
     valid = cache.where(F.col("parser_version") == version).select(id_column, "text_hash")
     return current.join(valid, [id_column, "text_hash"], "left_anti")
+
+
+def refresh_profiles(
+    df: DataFrame, cache: DataFrame, as_of_year: int, id_column: str = "profile_id", text: str = "raw_text", **options
+) -> DataFrame:
+    """The cache after a run over ``df``: texts that are new, changed or known
+    from another parser version are parsed again, all other entries stay.
+
+    ``cache`` has the columns of ``df`` and of ``parse_profiles``, one row per
+    id; ``options`` go to ``parse_profiles``.
+    """
+    changed = changed_only(df, cache, id_column, text).drop("text_hash")
+    parsed = parse_profiles(changed, as_of_year, text, **options)
+    kept = cache.join(changed.select(id_column), id_column, "left_anti")
+    return kept.select(*cache.columns).unionByName(parsed.select(*cache.columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from hirelake import sources
 from hirelake.operators.filters import matching_intent
@@ -18,6 +18,11 @@ _NORMALIZERS = {
     "amazon": sources.normalize_amazon,
     "microsoft": sources.normalize_microsoft,
 }
+# Search results: where their records are, and the fields that identify one.
+_SEARCHES = {
+    "amazon": (("jobs",), ("id_icims", "id")),
+    "microsoft": (("data", "positions"), ("id", "atsJobId")),
+}
 
 
 def intake(
@@ -25,6 +30,8 @@ def intake(
     queries: Sequence[str] = (),
     *,
     details: DataFrame | None = None,
+    details_order: Sequence[Column | str] = ("payload",),
+    page_sizes: Mapping[str, int] | None = None,
     pages: DataFrame | None = None,
     sitemaps: DataFrame | None = None,
     vocab: Vocabulary | None = None,
@@ -32,13 +39,18 @@ def intake(
     """Listings that match the search intent, of every source given.
 
     ``landed`` maps source names to raw payload tables; a source that is left
-    out is off.  ``details`` completes the microsoft summaries, ``pages`` and
+    out is off.  ``details`` completes the microsoft summaries, the first of a
+    position by ``details_order`` counts.  A search source named in
+    ``page_sizes`` has (query, page) columns and ends each query where the
+    crawl would have, before anything is normalised.  ``pages`` and
     ``sitemaps`` are the job pages with structured data and their sitemap.
     """
     found = []
     for name, raw in landed.items():
+        if name in (page_sizes or {}):
+            raw = sources.crawled_pages(raw, *_SEARCHES[name], page_sizes[name]).drop("query", "page")
         if name == "microsoft" and details is not None:
-            found.append(detailed_listings(raw, details, queries, vocab).drop("position_id"))
+            found.append(detailed_listings(raw, details, details_order, queries, vocab).drop("position_id"))
         else:
             rows = _NORMALIZERS[name](raw).drop("position_id")
             found.append(matching_intent(rows, queries, vocab))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,22 +85,25 @@ def normalize_microsoft(
     )
 
 
-def position_details(raw: DataFrame) -> DataFrame:
+def position_details(raw: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """(position_id, detail, detail_fields) of landed (position_id, payload)
-    detail responses: one per position, those with at least one field."""
+    detail responses: the first per position by ``order``, a total one over
+    columns of ``raw``, of those with at least one field."""
     rows = raw.withColumn("data", F.from_json("payload", "struct<data: string>")["data"])
     rows = rows.withColumn("detail_fields", F.json_object_keys("data")).where(
         F.size("detail_fields") > 0
     )
-    return first_per(rows, ["position_id"], ["data"]).select(
+    return first_per(rows, ["position_id"], order).select(
         "position_id", F.from_json("data", DETAIL).alias("detail"), "detail_fields"
     )
 
 
 def enrich_with_details(
-    summaries: DataFrame, raw_details: DataFrame, base_url: str = fixed.MICROSOFT_BASE_URL
+    summaries: DataFrame, raw_details: DataFrame, order: Sequence[Column | str],
+    base_url: str = fixed.MICROSOFT_BASE_URL,
 ) -> DataFrame:
-    """Overlay detail records on summaries with the same position id.
+    """Overlay detail records on summaries with the same position id; ``order``
+    decides which of several records counts.
 
     A detail field wins when it is not blank; company, source and id stay.
     Metadata fields win as soon as the details hold them, even as null.
@@ -131,19 +136,21 @@ def enrich_with_details(
         "team": pick("team", filled(d["department"], F.col("team"))),
         "metadata": pick("metadata", F.map_concat(untouched, override)),
     }
-    # Summaries without an id have no details; given keys of their own they
-    # spread over the tasks instead of meeting in one.
-    no_id = F.concat(F.lit("\x00"), F.col("job_id"))
+    # Summaries without an id have no details; keys made of their content
+    # spread them over the tasks instead of having them meet in one.
+    content = F.xxhash64("job_id", "title", "location", "url", "description", "posted_date").cast("string")
+    no_id = F.concat(F.lit("\x00"), content)
     keyed = summaries.withColumn("_id", F.coalesce(F.nullif(F.col("position_id"), F.lit("")), no_id))
-    details = position_details(raw_details).withColumnRenamed("position_id", "_id")
+    details = position_details(raw_details, order).withColumnRenamed("position_id", "_id")
     joined = keyed.join(details, "_id", "left")
     return joined.select(*[columns.get(c, F.col(c)) for c in summaries.columns])
 
 
 def detailed_listings(
-    raw: DataFrame, raw_details: DataFrame, queries=(), vocab: Vocabulary | None = None
+    raw: DataFrame, raw_details: DataFrame, order: Sequence[Column | str], queries=(),
+    vocab: Vocabulary | None = None,
 ) -> DataFrame:
     """Search results with details.  The intent test runs on the summaries, so
     that only wanted rows are joined, and again on the merged rows."""
     wanted = matching_intent(normalize_microsoft(raw), queries, vocab)
-    return matching_intent(enrich_with_details(wanted, raw_details), queries, vocab)
+    return matching_intent(enrich_with_details(wanted, raw_details, order), queries, vocab)

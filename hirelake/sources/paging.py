@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hirelake.sources.payloads import array_at, filled
+
 SIGNATURE_IDS = 3
 
 
@@ -39,3 +44,16 @@ def page_cutoff(pages: DataFrame, page_size: int) -> DataFrame:
     open_end = F.col("before").isNull() | (F.col("page") < F.col("before"))
     open_short = F.col("after").isNull() | (F.col("page") <= F.col("after"))
     return pages.join(stops, "query", "left").where(open_end & open_short).drop("before", "after")
+
+
+def crawled_pages(raw: DataFrame, path: Sequence[str], id_fields: Sequence[str], page_size: int) -> DataFrame:
+    """Landed search payloads (query, page, payload, ...) that the crawl would
+    have kept, by the ids of the records at ``path``: the first filled one of
+    ``id_fields``.  A payload without records there is an empty page."""
+    records = reduce(lambda c, n: c[n], path, F.from_json("payload", array_at(path)))
+
+    def record_id(record: Column) -> Column:
+        return filled(*[F.get_json_object(record, f"$.{n}") for n in id_fields])
+
+    ids = F.coalesce(F.transform(records, record_id), F.array().cast("array<string>"))
+    return page_cutoff(raw.withColumn("ids", ids), page_size).select(*raw.columns)

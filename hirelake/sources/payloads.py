@@ -14,7 +14,7 @@ from hirelake.schema import LISTING
 BAD = "_bad"
 
 
-def _nested(path: Sequence[str]) -> T.DataType:
+def array_at(path: Sequence[str]) -> T.DataType:
     """Type that reaches the record array at ``path`` and keeps records as text."""
     kind: T.DataType = T.ArrayType(T.StringType())
     for name in reversed(path):
@@ -32,7 +32,7 @@ def split_records(raw: DataFrame, path: Sequence[str], schema: str) -> DataFrame
     Records are parsed before they are exploded: tests on a record then stay
     above the explode and do not parse it again.
     """
-    array = reduce(lambda c, n: c[n], path, F.from_json("payload", _nested(path)))
+    array = reduce(lambda c, n: c[n], path, F.from_json("payload", array_at(path)))
     full = T.StructType.fromDDL(schema).add(BAD, T.StringType())
 
     def read(text: Column) -> Column:

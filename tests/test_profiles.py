@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from hirelake.operators.profiles import (
-    changed_only, explicit_years, extract_keywords, extract_skills, extract_titles, parse_profiles, work_years,
+    changed_only, explicit_years, extract_keywords, extract_skills, extract_titles, parse_profiles, refresh_profiles, work_years,
 )
 
 
@@ -73,3 +73,15 @@ def test_changed_only(spark):
     cache = df.select("profile_id", F.md5(F.when(F.col("profile_id") == 2, "old").otherwise(F.col("raw_text"))).alias("text_hash"),
                       F.when(F.col("profile_id") == 3, 1).otherwise(2).alias("parser_version")).where("profile_id < 4")
     assert {r.profile_id for r in changed_only(df, cache).collect()} == {2, 3, 4}
+
+
+def test_refresh_profiles(spark):
+    old = spark.createDataFrame([(1, "Python"), (2, "Go"), (9, "Rust")], "profile_id int, raw_text string")
+    cache = parse_profiles(old, 2026)
+    known = cache.withColumn("yoe", F.lit(-1))
+    df = spark.createDataFrame([(1, "Python"), (2, "Go, SQL"), (3, "Java")], "profile_id int, raw_text string")
+    merged = {r.profile_id: (r.raw_text, r.skills, r.yoe) for r in refresh_profiles(df, known, 2026).collect()}
+    assert merged == {1: ("Python", ["python"], -1), 2: ("Go, SQL", ["go", "sql"], None), 3: ("Java", ["java"], None), 9: ("Rust", ["rust"], -1)}
+    assert refresh_profiles(df, cache.where("profile_id < 0"), 2026).count() == 3
+    aged = known.withColumn("parser_version", F.lit(1))
+    assert {r.yoe for r in refresh_profiles(df.where("profile_id = 1"), aged, 2026).where("profile_id = 1").collect()} == {None}

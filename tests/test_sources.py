@@ -4,7 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from hirelake.operators.boards import (
-    extract_slugs, merge_slug_lists, merge_slug_sources, merge_totals, resolve_slugs, slug_candidates,
+    expand_slugs, extract_slugs, merge_slug_lists, merge_slug_sources, merge_totals, resolve_slugs, slug_candidates,
     surviving_slugs, validate_slugs, validation_totals,
 )
 from hirelake.fixed import SLUG_IGNORED, SLUG_PATTERNS
@@ -98,14 +98,14 @@ def test_details_overlay(spark):
         ("2", json.dumps({"data": {"name": "Cook", "jobDescription": "stew", "department": "Kitchen"}})),
         ("3", json.dumps({"data": {}})), ("4", json.dumps({"data": {"name": "Software Engineer"}})),
     ], "position_id string, payload string")
-    one, two, three, _ = enrich_with_details(normalize_microsoft(raw(spark, payload)), details).orderBy("job_id").collect()
+    one, two, three, _ = enrich_with_details(normalize_microsoft(raw(spark, payload)), details, ["payload"]).orderBy("job_id").collect()
     assert (one.title, one.description, one.location, one.company) == ("Software Engineer", "New & big", "X, Y", "Microsoft")
     assert one.posted_date == datetime(2023, 11, 14, 22, 13, 20)
     assert one.metadata["display_job_id"] is None and one.metadata["efcustom_text_roletype"] == "IC" and len(one.metadata) == 15
     assert (two.title, two.team, two.metadata["display_job_id"]) == ("Cook", "Kitchen", "D1")
     assert len(three.metadata) == 9 and three.description == "Dep onsite"
     # The intent is tested before and after the details are known.
-    kept = detailed_listings(raw(spark, payload), details, ["software engineer"]).collect()
+    kept = detailed_listings(raw(spark, payload), details, ["payload"], ["software engineer"]).collect()
     assert {r.job_id for r in kept} == {"1", "3"}
 
 
@@ -251,3 +251,35 @@ def test_merging(spark):
     lists = merge_slug_lists(slugs(spark, "b", "a", "a"), slugs(spark, "c", "b"))
     assert [(r.slug, r.added) for r in lists.collect()] == [("a", False), ("b", False), ("c", True)]
     assert merge_totals(lists).collect()[0].asDict() == {"total": 3, "added": 1}
+
+
+def test_the_landing_order_decides_among_details(spark):
+    payload = json.dumps({"data": {"positions": [{"id": "7", "name": "software engineer"}, {"name": "a"}, {"name": "b"}]}})
+    details = spark.createDataFrame(
+        [("7", json.dumps({"data": {"name": "zz new"}}), 2), ("7", json.dumps({"data": {"name": "aa old"}}), 1)],
+        "position_id string, payload string, landed int",
+    )
+    rows = enrich_with_details(normalize_microsoft(raw(spark, payload)), details, [F.col("landed").desc()])
+    assert sorted(r.title for r in rows.collect()) == ["a", "b", "zz new"]
+
+
+def test_search_pages_end_where_the_crawl_did(spark):
+    def page(query, number, *ids):
+        return query, number, json.dumps({"jobs": [{"id_icims": i, "id": "x", "title": f"software {query}{number}"} for i in ids]})
+
+    landed = spark.createDataFrame([
+        page("a", 0, "1", "2"), page("a", 1, "3", "4"), page("a", 2, "1", "2"), page("a", 3, "9", "8"),
+        page("b", 0, "1"), page("b", 1, "2", "3"), ("c", 0, "{}"), page("c", 1, "5", "6"), ("d", 0, "no json"),
+    ], "query string, page int, payload string")
+    found = intake({"amazon": landed}, page_sizes={"amazon": 2}).collect()
+    assert sorted((r.title, r.job_id) for r in found) == [
+        ("software a0", "1"), ("software a0", "2"), ("software a1", "3"), ("software a1", "4"), ("software b0", "1")]
+
+
+def test_harvested_slugs_are_validated_and_merged(spark):
+    texts = spark.createDataFrame(
+        [("https://boards.greenhouse.io/Acme?x jobs.ashbyhq.com/acme.",), ("boards.greenhouse.io/embed jobs.lever.co/beta",), (None,)], "text string")
+    boards = spark.createDataFrame([("greenhouse", "acme", "1"), ("lever", "beta", "1"), ("ashby", "other", "1")], "ats string, slug string, job_id string")
+    existing = spark.createDataFrame([("lever", "beta"), ("ashby", "old")], "ats string, slug string")
+    merged = expand_slugs(texts, F.col("text"), boards, existing)
+    assert sorted(tuple(r) for r in merged.collect()) == [("ashby", "old", False), ("greenhouse", "acme", True), ("lever", "beta", False)]

@@ -118,3 +118,34 @@ def _(t):
         F.when(n == 1, 1).otherwise(fixed.PARSER_VERSION).alias("parser_version"),
     )
     return p.changed_only(docs, cache).select(F.col("profile_id").alias("doc_id"), "text_hash")
+
+
+# Every text states its years.  Of the cache's entries some are of an older
+# text, some of an older parser, some are missing; one is of no given text.
+_DATED = "d AS (SELECT doc_id, text || chr(10) || (doc_id % 40) || ' years of experience' AS text FROM documents)"
+
+
+@query("refresh_profiles", f"""WITH {_DATED}
+SELECT doc_id, CASE WHEN doc_id % 10 < 3 THEN coalesce(nullif(array_to_string({SKILLS_SQL}, '|'), ''), '{"|".join(FALLBACK)}') ELSE 'kept' END AS skills,
+  CASE WHEN doc_id % 10 < 3 THEN array_to_string({TITLES_SQL}, '|') ELSE '' END AS job_titles,
+  CASE WHEN doc_id % 10 < 3 THEN CAST(doc_id % 40 AS INTEGER) ELSE -1 END AS yoe, md5(text) AS text_hash, {fixed.PARSER_VERSION} AS parser_version FROM d
+UNION ALL SELECT DISTINCT -1, 'kept', '', -1, md5(''), {fixed.PARSER_VERSION} FROM d""")
+def _(t):
+    years = F.concat(F.col("doc_id") % 40, F.lit(" years of experience"))
+    texts = t.documents.select("doc_id", F.concat("text", F.lit("\n"), years).alias("raw_text"))
+    n = F.col("doc_id") % 10
+    gone = t.documents.select(F.lit(-1).cast("bigint").alias("doc_id"), F.lit("").alias("raw_text")).distinct()
+    nothing = F.array().cast("array<string>")
+    known = texts.where(n != 2).withColumn(
+        "raw_text", F.when(n == 0, F.concat("raw_text", F.lit("."))).otherwise(F.col("raw_text"))
+    ).unionByName(gone)
+    cache = known.select(
+        "doc_id", "raw_text", F.array(F.lit("kept")).alias("skills"), nothing.alias("keywords"), nothing.alias("job_titles"),
+        F.lit(-1).alias("yoe"), F.md5(F.col("raw_text").cast("binary")).alias("text_hash"),
+        F.when(n == 1, 1).otherwise(fixed.PARSER_VERSION).alias("parser_version"),
+    )
+    fresh = p.refresh_profiles(
+        texts, cache, AS_OF_YEAR, "doc_id", fallback_skills=FALLBACK, vocabulary=VOCABULARY, title_patterns=TITLE_PATTERNS
+    )
+    lists = [F.array_join(c, "|").alias(c) for c in ("skills", "job_titles")]
+    return fresh.select("doc_id", *lists, "yoe", "text_hash", "parser_version")

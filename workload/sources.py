@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.operators.boards import (
-    extract_slugs, merge_slug_lists, merge_slug_sources, resolve_slugs, slug_candidates,
+    expand_slugs, extract_slugs, merge_slug_lists, merge_slug_sources, resolve_slugs, slug_candidates,
     validate_slugs, validation_totals,
 )
 from hirelake.operators.digest import source_counts
@@ -210,7 +210,12 @@ def _(t):
         F.concat("o_orderkey", F.lit("-"), "n").alias("position_id"),
         F.concat(F.lit('{"data": '), data, F.lit("}")).alias("payload"),
     )
-    merged = enrich_with_details(_positions(t), details)
+    # Half of the positions have an older answer too, which doesn't count.
+    stale = details.where(F.length("position_id") % 2 == 0).withColumn(
+        "payload", F.lit('{"data": {"name": "A stale name", "department": "none"}}')
+    )
+    landed = details.withColumn("landed", F.lit(2)).unionByName(stale.withColumn("landed", F.lit(1)))
+    merged = enrich_with_details(_positions(t), landed, [F.col("landed").desc(), "payload"])
     return _listing(merged, "domain", "display_job_id", "work_location_option", "efcustom_text_roletype")
 
 
@@ -297,25 +302,43 @@ def _(t):
 _PAGE_SIZE = 3
 
 
-@query("page_cutoff", f"""WITH pages_raw AS (
+_CRAWLED = f"""WITH pages_raw AS (
   SELECT o_custkey AS query, o_orderkey AS page, coalesce(list(id ORDER BY id) FILTER (id IS NOT NULL), []) AS ids FROM (
     SELECT DISTINCT o_custkey, o_orderkey, CAST(l_linenumber AS VARCHAR) AS id FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
   GROUP BY ALL),
 flagged AS (SELECT *, len(ids) AS size, row_number() OVER (PARTITION BY query, ids[1:3] ORDER BY page) > 1 AS again FROM pages_raw),
 stops AS (SELECT query, min(CASE WHEN size = 0 OR again THEN page END) AS before,
-  min(CASE WHEN size BETWEEN 1 AND {_PAGE_SIZE - 1} THEN page END) AS after FROM flagged GROUP BY query)
-SELECT query, page, array_to_string(ids, ',') AS ids FROM flagged JOIN stops USING (query)
-WHERE (before IS NULL OR page < before) AND (after IS NULL OR page <= after)""")
-def _(t):
+  min(CASE WHEN size BETWEEN 1 AND {_PAGE_SIZE - 1} THEN page END) AS after FROM flagged GROUP BY query),
+crawled AS (SELECT query, page, ids FROM flagged JOIN stops USING (query)
+WHERE (before IS NULL OR page < before) AND (after IS NULL OR page <= after))"""
+
+
+def _landed_pages(t: Tables) -> DataFrame:
     # An order is a landed page of its customer's query; at most seven distinct
     # line numbers make up its ids.
     ids = F.array_sort(F.collect_set(F.col("l_linenumber").cast("string")))
-    pages = (
+    return (
         t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .groupBy(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("page"))
         .agg(ids.alias("ids"))
     )
-    return page_cutoff(pages, _PAGE_SIZE).select("query", "page", F.array_join("ids", ",").alias("ids"))
+
+
+@query("page_cutoff", _CRAWLED + " SELECT query, page, array_to_string(ids, ',') AS ids FROM crawled")
+def _(t):
+    return page_cutoff(_landed_pages(t), _PAGE_SIZE).select("query", "page", F.array_join("ids", ",").alias("ids"))
+
+
+@query("intake_crawl", _CRAWLED + " SELECT 'amazon' AS source, 'Order ' || page AS title, unnest(ids) AS job_id FROM crawled")
+def _(t):
+    # The id is found in either field; an empty page is a payload without records.
+    n = F.col("page") % 2
+    record = F.transform("ids", lambda i: F.struct(
+        F.when(n == 0, i).otherwise("").alias("id_icims"), i.alias("id"), F.concat(F.lit("Order "), "page").alias("title")
+    ))
+    payload = F.when(F.size("ids") == 0, '{"hits": 0}').otherwise(F.to_json(F.struct(record.alias("jobs"))))
+    landed = _landed_pages(t).select("query", "page", payload.alias("payload"))
+    return intake({"amazon": landed}, ["order"], page_sizes={"amazon": _PAGE_SIZE}).select("source", "title", "job_id")
 
 
 @query("source_counts", f"""WITH {LINE} SELECT source, count(*) AS listings FROM (
@@ -348,6 +371,28 @@ def _(t):
     return extract_slugs(t.pages, text, _HOSTS, ["the", "and", "to"])
 
 
+@query("expand_slugs", """WITH jobs AS (SELECT l_suppkey AS k, lower(l_returnflag) AS flag, count(*) AS n FROM lineitem GROUP BY ALL),
+found AS (SELECT 'greenhouse' AS ats, replace(lower(s_name), '#', '-') AS slug FROM supplier JOIN jobs ON k = s_suppkey AND flag = 'a' WHERE n >= 200
+  UNION SELECT 'ashby', 'board_' || s_suppkey FROM supplier JOIN jobs ON k = s_suppkey AND flag = 'r' WHERE n >= 200),
+existing AS (SELECT 'ashby' AS ats, 'board_' || s_suppkey AS slug FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT ats, slug, NOT bool_or(known) AS added FROM (SELECT *, FALSE AS known FROM found UNION ALL SELECT *, TRUE FROM existing) GROUP BY ats, slug""")
+def _(t):
+    board = F.replace("s_name", F.lit("#"), F.lit("-"))
+    text = F.concat(
+        F.lit("Apply: https://boards.greenhouse.io/"), board, F.lit("?gh_src=x, https://boards.greenhouse.io/embed or "),
+        F.lit("jobs.ashbyhq.com/Board_"), "s_suppkey", F.lit(" (api.ashbyhq.com/posting-api/job-board/jobs)."),
+    )
+    jobs = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    green = F.col("l_returnflag") == "A"
+    open_jobs = jobs.where("l_returnflag IN ('A', 'R')").select(
+        F.when(green, "greenhouse").otherwise("ashby").alias("ats"),
+        F.when(green, F.lower(board)).otherwise(F.concat(F.lit("board_"), "s_suppkey")).alias("slug"),
+        F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("job_id"),
+    )
+    known = t.supplier.where("s_suppkey % 3 = 0").select(F.lit("ashby").alias("ats"), F.concat(F.lit("board_"), "s_suppkey").alias("slug"))
+    return expand_slugs(t.supplier, text, open_jobs, known, min_open_jobs=200)
+
+
 def _names_sql(table: str, column: str) -> str:
     """Spellings of names of letters, one '#' and digits."""
     clean = f"replace(lower({column}), '#', '')"
