@@ -28,7 +28,8 @@ COMMON_ENTITIES = {
     "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
     "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…", "&amp;": "&",
 }
-_COMMON_PATTERN = "|".join(COMMON_ENTITIES)
+# An ampersand that starts none of them.
+_OTHER_ENTITY = "&(?!" + "|".join(e[1:] for e in COMMON_ENTITIES) + ")"
 
 
 # The batch functions are built inside a function so that they are shipped by
@@ -59,7 +60,7 @@ def _unescape_common(text: Column) -> Column:
 
 
 def _has_other_entities(text: Column) -> Column:
-    return text.contains("&") & F.regexp_replace(text, _COMMON_PATTERN, "").contains("&")
+    return text.rlike(_OTHER_ENTITY)
 
 
 def unescape_html(text: Column) -> Column:

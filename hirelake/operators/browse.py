@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, replace
 from datetime import date, timedelta
 from functools import reduce
@@ -221,8 +221,12 @@ class BrowseResult:
     summary: DataFrame
 
 
-def query_jobs(seen: DataFrame, params: Mapping[str, Any] | None = None) -> BrowseResult:
-    """Answer a browse request.
+def query_jobs(
+    seen: DataFrame, params: Mapping[str, Any] | None = None,
+    matching: Callable[[BrowseQuery], DataFrame] | None = None,
+) -> BrowseResult:
+    """Answer a browse request.  Its page is read from ``matching`` of the
+    request where given, as ``SeenTable.matching``, else from ``seen``.
 
     The requested page can lie behind the last one, so one counting job runs
     first and returns a single row.
@@ -230,7 +234,8 @@ def query_jobs(seen: DataFrame, params: Mapping[str, Any] | None = None) -> Brow
     asked = BrowseQuery.from_params(params)
     summary = query_summary(seen, asked)
     query = asked if asked.page == 1 else replace(asked, page=summary.first()["page"])
-    return BrowseResult(query, page_items(seen, query, query.page), summary)
+    rows = matching(query) if matching else seen
+    return BrowseResult(query, page_items(rows, query, query.page), summary)
 
 
 def facets(seen: DataFrame, limits: Mapping[str, int] = fixed.FACET_LIMITS) -> DataFrame:

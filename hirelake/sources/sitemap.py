@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake import fixed
 from hirelake.functions.dates import parse_instant
-from hirelake.functions.text import clean_html
+from hirelake.functions.text import drop_tags
 
 URLSET = "url array<struct<loc: string, lastmod: string>>"
 
@@ -29,7 +29,7 @@ def sitemap_entries(
         .groupBy("sitemap_id", "url")
         .agg(F.min(F.struct("position", "lastmod")).alias("first"))
     )
-    lastmod = parse_instant(clean_html(F.coalesce("first.lastmod", F.lit(""))), "iso")
+    lastmod = parse_instant(drop_tags(F.coalesce("first.lastmod", F.lit(""))), "iso")
     rows = entries.select("sitemap_id", "first.position", "url", lastmod.alias("lastmod"))
     if max_entries:
         place = F.row_number().over(Window.partitionBy("sitemap_id").orderBy("position"))

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.operators.browse import within_days
+from hirelake.operators.browse import BrowseQuery, within_days
 from hirelake.schema import SEEN, SEEN_STORED
 
 _MONTH = "yyyy-MM"
@@ -57,6 +57,11 @@ class SeenTable:
             live = live.where(F.col("run_id") != except_run)
         return self._rows(live, seen_from, seen_to)
 
+    def matching(self, query: BrowseQuery) -> DataFrame:
+        """Stored listings that a browse request can match: its range of days
+        first seen prunes months."""
+        return self.read(seen_from=query.first_seen_from, seen_to=query.first_seen_to)
+
     def _rows(self, live: DataFrame, seen_from: date | None = None, seen_to: date | None = None) -> DataFrame:
         rows = self._folder("rows", SEEN_STORED)
         if seen_from or seen_to:

@@ -345,3 +345,14 @@ def test_nan_as_a_bound_matches_nothing(spark):
     seen = seen_frame(spark, dict(score=1.0), dict(score=None))
     assert keys(seen.where(b.condition(b.BrowseQuery.from_params({"max_score": "nan"})))) == []
     assert keys(seen.where(b.condition(b.BrowseQuery.from_params({"min_score": "nan"})))) == []
+
+
+def test_a_browse_request_reads_its_months_only(spark):
+    table = SeenTable(spark, fresh_path(spark, "seen"))
+    table.append(stored_rows(spark, "a", "b"), "r1")
+    table.append(stored_rows(spark, "c", at="2026-05-02"), "r2")
+    asked = {"first_seen_from": "2026-05-01", "first_seen_to": "2026-05-31"}
+    answer = b.query_jobs(table.read(), asked, table.matching)
+    assert keys(answer.items) == ["c"] and answer.summary.first().total_count == 3
+    plan = table.matching(answer.query)._jdf.queryExecution().executedPlan().toString()
+    assert "seen_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
