@@ -101,14 +101,23 @@ def _telling(present: np.ndarray, label: np.ndarray, features: list[np.ndarray])
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, key: str, text: str, train_docs: int = TRAIN_DOCS) -> Classifier:
-    """Fit on at most ``train_docs`` labelled documents.
+    """Fit on at most ``train_docs`` labelled documents, one text of each id.
 
-    Without labelled documents every domain is equally likely.
+    Only labels of ids that ``docs`` holds count.  Of several texts under an id
+    that with the smallest hash is taken.  Without labelled documents every
+    domain is equally likely.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max(2 * F.col("quality") + F.col("toxic")).cast("int").alias("_domain")
-    ).where("_id IS NOT NULL").orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("_raw")).join(F.broadcast(known), "_id")
+    held = docs.select(F.col(key).alias("_id")).distinct()
+    known = materialize(
+        labels.where(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(
+            F.max(2 * F.col("quality") + F.col("toxic")).cast("int").alias("_domain")
+        ).where("_id IS NOT NULL").join(held, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(train_docs),
+        "labelled",
+    )
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("_raw")).join(F.broadcast(known), "_id")
+    # The hash decides first, so that no more than one text of an id is moved.
+    least = texts.groupBy("_id").agg(F.min(F.xxhash64("_raw")).alias("_least"))
+    rows = texts.join(F.broadcast(least), "_id").where(F.xxhash64("_raw") == F.col("_least")).dropDuplicates(["_id"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
