@@ -137,11 +137,12 @@ def _(t):
 @query("run_stream", f"WITH {NEW_SCORED} SELECT unique_key, title, total_score AS score FROM scored")
 def _(t):
     table = stored_table(t)
-    # Landed in three parts, the first of which comes again as a batch of its own.
+    # Landed in three parts, the first of which comes again.  An order is in one file, and a batch takes a file a core.
     landing, part = fresh_path(t.spark, "landing"), F.pmod("l_orderkey", F.lit(3))
+    files = t.spark.sparkContext.defaultParallelism
     for n in (0, 1, 2, 0):
-        t.lineitem.where(part == n).coalesce(1).write.mode("append").parquet(landing)
-    stream = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        t.lineitem.where(part == n).repartition(files, "l_orderkey").write.mode("append").parquet(landing)
+    stream = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", files).parquet(landing)
     lines = t.listings_of(stream.where(F.col("l_shipdate") >= INCOMING_FROM))
     start_daily_stream(
         lines, table, LINE_PROFILE, LINE_PREFS, LINE_AS_OF, order=LINE_ORDER, vocab=LINE_VOCAB,
