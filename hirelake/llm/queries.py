@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirelake.llm import decontaminate, mixing, pii, quality, repeats, secrets, sharding, simhash, tokens, urls
+from hirelake.llm import decontaminate, merkle, mixing, pii, quality, repeats, secrets, sharding, simhash, tokens, urls
 from hirelake.llm.common import read
 
 SHARDS = 40
@@ -57,6 +57,11 @@ def op10_personal(spark, sf_dir):
     return pii.find_personal(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.audit(read(spark, sf_dir, "documents"), tampered)
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_repeats": op2_repeats,
@@ -68,6 +73,7 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_quality": op9_quality,
     "op10_personal": op10_personal,
+    "op11_merkle": op11_merkle,
 }
 
 URLS_SQL = r"""
@@ -160,4 +166,55 @@ SELECT * EXCLUDE (r), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS bas
 FROM base
 """
 
-ORACLES = {"op4_urls": URLS_SQL, "op7_decontaminate": CONTAMINATION_SQL, "op9_quality": QUALITY_SQL}
+MERKLE_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, CAST(n_chars AS BIGINT) AS n, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+         || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+             lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM documents
+), leaves AS (
+  SELECT r, doc_id, coalesce('=' || lang, '') AS g,
+         sha256(head || coalesce(strlen(CAST(n AS VARCHAR)) || ':' || CAST(n AS VARCHAR), '-') || tail) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0
+              THEN sha256(head || coalesce(strlen(CAST(n + 1 AS VARCHAR)) || ':' || CAST(n + 1 AS VARCHAR), '-') || tail) END AS changed
+  FROM fields
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+), levels(g, level, h) AS (
+  SELECT g, 0, list(leaf ORDER BY place) FROM placed GROUP BY g
+  UNION ALL
+  SELECT g, level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: sha256(h[i] || coalesce(h[i + 1], '')))
+  FROM levels WHERE len(h) > 1
+), subroots AS (
+  SELECT g, h[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS place FROM levels WHERE len(h) = 1
+), tops(level, h) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots HAVING count(*) > 0
+  UNION ALL
+  SELECT level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: sha256(h[i] || coalesce(h[i + 1], '')))
+  FROM tops WHERE len(h) > 1
+), steps AS (
+  SELECT p.r, l.level, (p.place >> l.level) & 1 AS side, l.h[xor(p.place >> l.level, 1) + 1] AS sibling
+  FROM placed p JOIN levels l ON p.g = l.g WHERE len(l.h) > 1
+  UNION ALL
+  SELECT p.r, 1000 + t.level, (s.place >> t.level) & 1, t.h[xor(s.place >> t.level, 1) + 1]
+  FROM placed p JOIN subroots s ON p.g = s.g CROSS JOIN tops t WHERE len(t.h) > 1
+), paths AS (
+  SELECT r, list({'side': side, 's': coalesce(sibling, '')} ORDER BY level) AS path,
+         string_agg(coalesce(sibling, ''), '' ORDER BY level) AS siblings FROM steps GROUP BY r
+), folds(r, path, node) AS (
+  SELECT p.r, coalesce(t.path, []), coalesce(p.changed, p.leaf) FROM placed p LEFT JOIN paths t ON p.r = t.r
+  UNION ALL
+  SELECT r, path[2:], CASE WHEN path[1].side = 1 THEN sha256(path[1].s || node) ELSE sha256(node || path[1].s) END
+  FROM folds WHERE len(path) > 0
+), root AS (SELECT h[1] AS root FROM tops WHERE len(h) = 1)
+SELECT p.doc_id, p.leaf, s.subroot, root.root, sha256(coalesce(t.siblings, '')) AS proof_sha256,
+       f.node AS folded_root, f.node = root.root AS verified
+FROM placed p JOIN subroots s ON p.g = s.g CROSS JOIN root LEFT JOIN paths t ON p.r = t.r
+JOIN folds f ON f.r = p.r AND len(f.path) = 0
+"""
+
+ORACLES = {"op11_merkle": MERKLE_SQL, "op4_urls": URLS_SQL, "op7_decontaminate": CONTAMINATION_SQL, "op9_quality": QUALITY_SQL}
