@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirelake.llm import decontaminate, merkle, mixing, pii, quality, repeats, secrets, sharding, simhash, tokens, urls
+from hirelake.llm import decontaminate, merkle, minhash, mixing, pii, quality, repeats, secrets, sharding, simhash, tokens, urls
 from hirelake.llm.common import read
 
 SHARDS = 40
@@ -62,6 +62,10 @@ def op11_merkle(spark, sf_dir):
     return merkle.audit(read(spark, sf_dir, "documents"), tampered)
 
 
+def op12_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_repeats": op2_repeats,
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_personal": op10_personal,
     "op11_merkle": op11_merkle,
+    "op12_minhash": op12_minhash,
 }
 
 URLS_SQL = r"""
