@@ -10,8 +10,8 @@ limit.  What is left is confirmed on the whole sets.
 
 A band's members are compared with a few of them, its leaders, and what is then
 one component needs no further comparison.  Leaders leave their band, and
-rounds go on until no band holds members of two components, so no pair is lost
-and no group is compared all against all.
+rounds go on until no band holds members of two components that could still be
+similar, so no pair is lost and copies are never compared all against all.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ _PER_LONG = 64 // BITS
 LONGS = -(-MINIMA // _PER_LONG)
 #: Standard deviations that an estimate may lie below the limit.
 DEVIATIONS = 5.0
-#: Leaders of a band in the first round, the factor from round to round, and the most.
-LEADERS, MORE, MOST_LEADERS = 1, 4, 64
+#: A band has one leader in the first round, and so many times more from round to round.
+MORE = 8
 #: Bits of the filter that tells which texts take part in any comparison; its size doesn't depend on the data.
 FILTER_BITS = 1 << 26
 _MASK = int.from_bytes(bytes([0x11] * 8), "big")
@@ -180,55 +180,102 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(first.join(wanted, "node", "left_semi"), "minhash-sets")
 
 
+def _apart(met: DataFrame) -> DataFrame:
+    """Rows of ``met`` (band, node, root, n, most, sig, degree) that still have someone to be compared with.
+
+    Members have to differ in their component, and a member needs one whose
+    size is within its reach and which it is in reach of.
+    """
+    sizes = met.groupBy("band").agg(F.min("n").alias("least_n"), F.max("most").alias("most_most"))
+    left = met.join(sizes, "band").where((F.col("most") >= F.col("least_n")) & (F.col("n") <= F.col("most_most")))
+    left = left.drop("least_n", "most_most")
+    roots = left.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    return materialize(left.join(roots, "band").select("band", "node", "root", "n", "most", "sig", "degree"), "minhash-bands")
+
+
+def reach(n: Column, shared: Column, percent: int) -> Column:
+    """Largest set that a set of ``n`` shingles can be similar to if it shares at most ``shared`` with any."""
+    return F.floor((100 + percent) * shared / percent - n).cast("long")
+
+
+def _tighter(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``met`` with the reach of every node, from the shingles that no other node of it holds."""
+    nodes = met.select("node").distinct()
+    single = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("s")).groupBy("s").agg(
+        F.count("*").alias("held"), F.min("node").alias("node")
+    ).where("held = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    most = reach(F.col("n"), F.col("n") - F.coalesce("own", F.lit(0)), percent)
+    return met.join(own, "node", "left").withColumn("most", most).drop("own")
+
+
 def set_links(signed: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) links that connect all nodes whose sets are similar enough.
 
-    ``signed`` holds (node, n, sig, keys) of every row with a word.
+    ``signed`` holds (node, n, sig, keys) of every row with a word.  A band is
+    led by those members that meet most others in all their bands, as the text
+    that a group of copies was made from does.  After the first round members
+    are also told apart by the shingles that only one of them holds: a set
+    can't share those, which bounds the size of any set similar to it.
     """
     spark = signed.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    rows = signed.select("node", F.explode("keys").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    met = materialize(rows.join(shared, "band").distinct().withColumn("root", F.col("node")), "minhash-bands")
-    nodes = materialize(met.select("node").distinct(), "minhash-nodes")
-    sigs = materialize(
-        signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "minhash-sigs"
+    rows = signed.select("node", F.explode("keys").alias("band")).distinct()
+    shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    pairs_of = materialize(rows.join(shared, "band"), "minhash-members")
+    degrees = pairs_of.groupBy("node").agg(F.sum("members").alias("degree"))
+    nodes = materialize(
+        signed.join(degrees, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("degree").alias("degree")),
+        "minhash-nodes",
+    )
+    sets = _whole_sets(docs, nodes.select("node"))
+    met = materialize(
+        pairs_of.select("band", "node").join(nodes, "node")
+        .select("band", "node", F.col("node").alias("root"), "n", reach(F.col("n"), F.col("n"), percent).alias("most"), "sig", "degree"),
+        "minhash-bands",
     )
-    sets = _whole_sets(docs, nodes)
     tested = spark.createDataFrame([], "a long, b long")
-    least, leaders, number = least_agreement(percent), LEADERS, 0
+    least, leaders = least_agreement(percent), 1
     while not met.isEmpty():
-        turn = F.xxhash64(F.lit(number), "node")
+        order = Window.partitionBy("band").orderBy(F.desc("degree"), "node")
         lead = materialize(
-            met.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(turn, "node"))).where(F.col("place") <= leaders)
-            .select("band", F.col("node").alias("head"), F.col("root").alias("head_root")),
+            met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).select(
+                "band", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "most", "sig"))
+            ),
             "minhash-leaders",
         )
-        pairs = met.join(lead, "band").where(F.col("root") != F.col("head_root")).select(
-            F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")
-        ).distinct().join(tested, ["a", "b"], "left_anti")
-        one = sigs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        two = sigs.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        likely = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (agreement(F.col("sa"), F.col("sb")) >= least)
-        close = materialize(pairs.join(one, "a").join(two, "b").where(likely).select("a", "b", "na", "nb"), "minhash-pairs")
+        likely = (
+            (F.col("root") != F.col("root2")) & (F.col("n") <= F.col("most2")) & (F.col("n2") <= F.col("most"))
+            & (agreement(F.col("sig"), F.col("sig2")) >= least)
+        )
+        close = met.join(lead, "band").where(likely).select(
+            F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), (F.col("n") + F.col("n2")).alias("sizes")
+        ).distinct()
+        close = materialize(close.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
         both = close.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(
             sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"
         )
         common = F.size(F.array_intersect("x", "y"))
         judged = materialize(
-            both.select("a", "b", ((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).alias("similar")), "minhash-judged"
+            both.select("a", "b", ((100 + percent) * common >= percent * F.col("sizes")).alias("similar")), "minhash-judged"
         )
         tested = tested.union(judged.select("a", "b"))
         new = judged.where("similar").select("a", "b")
-        links = links.union(new)
         # Leaders have been compared with their whole band.
-        met = met.join(lead.select("band", F.col("head").alias("node")), ["band", "node"], "left_anti")
+        if leaders == 1:
+            # Bands with the same leader go on as one, so that their members meet once and not in every band.
+            led = met.join(lead.select("band", "node2"), "band").where("node <> node2").drop("band")
+            met = led.withColumnRenamed("node2", "band").dropDuplicates(["band", "node"])
+        else:
+            met = met.join(lead.select("band", F.col("node2").alias("node")), ["band", "node"], "left_anti")
         if not new.isEmpty():
-            roots = components(links)
-            met = met.drop("root").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        apart = met.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-        met = materialize(met.join(apart, "band").select("band", "node", "root"), "minhash-bands")
-        leaders, number = min(leaders * MORE, MOST_LEADERS), number + 1
+            links = links.union(new)
+            named = met.drop("root").join(components(links), "node", "left")
+            met = named.select("*", F.coalesce("root", "node").alias("now")).drop("root").withColumnRenamed("now", "root")
+        met = _apart(met)
+        if leaders == 1 and not met.isEmpty():
+            met = _apart(_tighter(met, sets, percent))
+        leaders *= MORE
     return links
 
 
