@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirelake.llm import decontaminate, merkle, minhash, mixing, pii, quality, repeats, secrets, sharding, simhash, tokens, urls
+from hirelake.llm import decontaminate, merkle, minhash, mixing, pii, quality, ranking, repeats, secrets, sharding, simhash, tokens, urls
 from hirelake.llm.common import read
 
 SHARDS = 40
@@ -66,6 +66,10 @@ def op12_minhash(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_ranked(spark, sf_dir):
+    return ranking.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_repeats": op2_repeats,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_personal": op10_personal,
     "op11_merkle": op11_merkle,
     "op12_minhash": op12_minhash,
+    "op13_ranked": op13_ranked,
 }
 
 URLS_SQL = r"""
@@ -222,4 +227,33 @@ FROM placed p JOIN subroots s ON p.g = s.g CROSS JOIN root LEFT JOIN paths t ON
 JOIN folds f ON f.r = p.r AND len(f.path) = 0
 """
 
-ORACLES = {"op11_merkle": MERKLE_SQL, "op4_urls": URLS_SQL, "op7_decontaminate": CONTAMINATION_SQL, "op9_quality": QUALITY_SQL}
+RANKED_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT row_number() OVER () AS i, item_id,
+         list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM docs WHERE len(w) > 0
+), postings AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM docs) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM postings, totals GROUP BY term, docs
+), scores AS (
+  SELECT q.i, q.item_id, p.r, p.doc_id,
+         CAST(sum(x.weight * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * docs) // total)))) AS BIGINT) AS score
+  FROM (SELECT i, item_id, unnest(w) AS term FROM items) q JOIN postings p USING (term) JOIN weights x USING (term), totals
+  GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scores WHERE score > 0
+) WHERE rank <= 10
+"""
+
+ORACLES = {"op13_ranked": RANKED_SQL, "op11_merkle": MERKLE_SQL, "op4_urls": URLS_SQL, "op7_decontaminate": CONTAMINATION_SQL, "op9_quality": QUALITY_SQL}
