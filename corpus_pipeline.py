@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from hirelake.llm import copies, decontaminate, mixing, quality, sharding
+from hirelake.llm import decontaminate, mixing, quality, sharding, simhash
 from hirelake.llm.common import read
 from hirelake.llm.queries import SHARDS
 from hirelake.session import fresh_path
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Drop documents that a quality rule rejects, and lines in more than 20 documents of a host from the rest."""
-    return quality.drop_low_quality(docs, percent=0)
+    """Drop documents that a quality rule rejects, and frequent lines of a host from the rest."""
+    return quality.drop_low_quality(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keep one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return copies.drop_near_copies(docs)
+    """Keep one document of each group whose fingerprints lie within four bits."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark, docs, sf_dir):
