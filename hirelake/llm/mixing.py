@@ -9,7 +9,8 @@ one number a domain comes back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -33,7 +34,9 @@ DESCENTS, DECAY = 400, 1e-3
 ROUNDS = 40
 #: Steps between writes of the rates reached.
 WRITE_EVERY = 8
-#: Steps end when no domain's gap, or no domain's tokens since the last step, differ by this share of all tokens.
+#: A target is met within this share of it.
+MET = 1e-3
+#: With an upper limit, steps end when no domain's gap, or no domain's tokens since the last step, differ by this share of all tokens.
 NEAR = 1e-4
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -186,24 +189,25 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
     """``members`` with ``rate``: nonnegative, expected domain tokens near ``targets``.
 
     Minimises the squared gaps between the domains' expected tokens and their
-    targets, weighed by the inverse of the domains' moments, so that a small
-    domain counts as much as a large one and a step of one is the longest safe
-    step.  A step moves each rate by its document's share in the weighed gaps
-    and projects it to 0 and more, or up to ``most``.  It needs one sum over
-    all rows; the rates reached are written every few steps.
+    targets.  A step moves each rate by its document's share in the gaps and
+    projects it to 0 and more, or up to ``most``.  Gaps are weighed by the
+    inverse of the domains' moments, so that a small domain counts as much as a
+    large one.  Without an upper limit those are the moments of the documents
+    whose rate isn't zero: the others can't take up a part of the gap, and with
+    them a step would fall short.  Steps end when every domain is within MET of
+    its target; targets that are not met after ``rounds`` steps are reported by
+    a warning, and can be seen by ``gaps``.  With an upper limit targets are
+    often out of reach, and steps end when nothing moves any more.  A step
+    needs one sum over all rows; the rates reached are written every few steps.
     """
     n = len(targets)
     p = [F.get("p", F.lit(d)) for d in range(n)]
-    first = members.agg(
-        F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * p[d] * p[e]).alias(f"g{d}_{e}") for d in range(n) for e in range(n))
-    ).first()
+    first = members.agg(F.sum("tokens").alias("all")).first()
     rows = members.withColumn("rate", F.lit(1.0))
     if not first["all"]:
         return rows
-    moments = np.array([[first[f"g{d}_{e}"] for e in range(n)] for d in range(n)])
-    weigh = np.linalg.inv(moments + 1e-6 * np.trace(moments) * np.eye(n))
     moves: list[list[float]] = []
-    before = None
+    before, gap = None, None
 
     def stepped() -> DataFrame:
         rate = F.col("rate")
@@ -212,20 +216,39 @@ def fit_rates(members: DataFrame, targets: list[float], most: float | None = Non
             rate = F.least(F.lit(float(most)), rate) if most is not None else rate
         return rows.withColumn("rate", rate)
 
+    aims = np.array(targets)
     for _ in range(rounds):
-        sums = stepped().agg(*(F.sum(F.col("tokens") * F.col("rate") * p[d]) for d in range(n))).first()
-        now = np.array([float(x) for x in sums])
-        gap = now - np.array(targets)
+        moved = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(F.lit(0)) if most is None else F.col("tokens")
+        sums = stepped().agg(
+            *(F.sum(F.col("tokens") * F.col("rate") * p[d]) for d in range(n)),
+            *(F.sum(moved * p[d] * p[e]) for d in range(n) for e in range(n)),
+        ).first()
+        now, moments = np.array(sums[:n], float), np.array(sums[n:], float).reshape(n, n)
+        gap = now - aims
+        if most is None and (np.abs(gap) <= MET * aims + NEAR / 100 * first["all"]).all():
+            break
         still = before is not None and np.abs(now - before).max() <= NEAR / 10 * first["all"]
-        if still or np.abs(gap).max() <= NEAR * first["all"]:
+        if most is not None and (still or np.abs(gap).max() <= NEAR * first["all"]):
             break
         before = now
-        moves.append((weigh @ gap).tolist())
+        floor = 1e-9 if most is None else 1e-6
+        moves.append((np.linalg.inv(moments + floor * np.trace(moments) * np.eye(n)) @ gap).tolist())
         if len(moves) == WRITE_EVERY:
             rows, moves = materialize(stepped(), "rates"), []
+    else:
+        if most is None:
+            warnings.warn(f"targets not met after {rounds} steps, last gaps {gap.tolist()} tokens", stacklevel=2)
     return stepped()
 
 
+def gaps(rates: DataFrame, targets: Sequence[float]) -> DataFrame:
+    """(domain, target, expected): the tokens each domain was to have, and those it can be expected to."""
+    sums = F.array(*(F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(d))) for d in range(len(targets))))
+    both = F.arrays_zip(F.array(*map(F.lit, DOMAINS)).alias("domain"), F.array(*(F.lit(float(t)) for t in targets)).alias("target"),
+                        F.col("sums").alias("expected"))
+    return rates.agg(sums.alias("sums")).select(F.inline(both))
+
+
 def mix(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = TARGETS, most: float | None = None, key: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, key, tokens, p, rate) of every row; targets are ``shares`` of all tokens.
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,41 @@ def test_rates_meet_the_targets(tables):
     assert right / len(unseen) > 0.95
 
 
+def solved(p, tokens, targets):
+    """Expected tokens of each domain after plain projected gradient with tiny safe steps."""
+    a = (p * tokens[:, None]).T
+    step, rate = 1 / np.linalg.norm(a @ a.T, 2), np.ones(len(tokens))
+    weigh = np.diag(1 / np.array(targets))
+    step /= weigh.max()
+    for _ in range(200_000):
+        rate = np.maximum(0, rate - step * (a.T @ (weigh @ (a @ rate - targets))))
+    return a @ rate
+
+
+@pytest.mark.parametrize("shares", [(0.1, 0.02, 0.86, 0.02), (0.3, 0.03, 0.65, 0.02)])
+def test_rates_against_plain_least_squares(tables, shares):
+    """Domain by domain within one percent of the target, and of another solver's result."""
+    docs, labels = tables
+    found = mixing.mix(docs, labels, shares)
+    rows = found.collect()
+    p, tokens, rate = (np.array([getattr(r, c) for r in rows], float) for c in ("p", "tokens", "rate"))
+    targets = [tokens.sum() * s for s in shares]
+    expected = solved(p, tokens, targets)
+    assert (rate >= 0).all()
+    assert np.allclose((p * (tokens * rate)[:, None]).sum(axis=0), targets, rtol=0.01)
+    assert np.allclose(expected, targets, rtol=0.01)
+    report = {r.domain: r for r in mixing.gaps(found, targets).collect()}
+    assert np.allclose([report[d].expected for d in mixing.DOMAINS], [report[d].target for d in mixing.DOMAINS], rtol=0.01)
+
+
+def test_targets_out_of_reach_are_reported(tables):
+    docs, labels = tables
+    members = mixing.memberships(docs, labels, "doc_id", "text").withColumn("p", F.array(*map(F.lit, (0.5, 0.0, 0.5, 0.0))))
+    with pytest.warns(UserWarning, match="targets not met"):
+        rates = mixing.fit_rates(members, [900.0, 5.0, 90.0, 5.0], rounds=6)
+    assert rates.where("rate < 0 OR isnan(rate)").isEmpty()
+
+
 def test_a_mix_keeps_what_is_short_of_its_target(tables):
     docs, labels = tables
     kept = mixing.apply_mix(docs, labels, (0.2, 0.005, 0.79, 0.005))
