@@ -91,7 +91,9 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
         "run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
     )
     last = F.least(F.col("copies"), (F.col("run") + 1) * COPIES) - 1
-    return runs.withColumn("copy", F.explode(F.sequence(F.col("run") * COPIES, last))).select(
+    # The runs of a row with endless copies go to different tasks before they become rows.
+    spread = runs.repartition("doc_id", "size", "text_crc32", "run")
+    return spread.withColumn("copy", F.explode(F.sequence(F.col("run") * COPIES, last))).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("start") + F.col("seen") + F.col("copy")).cast("long").alias("slot"), "grown_shard",
     )
