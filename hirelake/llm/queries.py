@@ -20,7 +20,8 @@ def op1_shards(spark, sf_dir):
 
 
 def op2_repeats(spark, sf_dir):
-    return repeats.repeated_bytes(read(spark, sf_dir, "documents"))
+    found = repeats.repeated_bytes(read(spark, sf_dir, "documents"))
+    return found.withColumn("repeated", F.col("n_removed") > 0)
 
 
 def op3_secrets(spark, sf_dir):
@@ -154,10 +155,8 @@ WITH docs AS (
          trim(regexp_replace(lower(l), '[\x20\x09-\x0D0-9]+', ' ', 'g')) AS line
   FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS l FROM docs)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
-), hosts AS (SELECT host, count(DISTINCT t) AS every FROM lines GROUP BY host),
-often AS (
-  SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line, every
-  HAVING count(DISTINCT t) > 20 AND 100 * count(DISTINCT t) > 20 * every
+), often AS (
+  SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT t) > 10
 ), lost AS (SELECT r, sum(n) AS gone FROM lines SEMI JOIN often USING (host, line) GROUP BY r),
 same AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
 base AS (

@@ -18,11 +18,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import carry, small_batches
+from hirelake.llm.common import small_batches
 from hirelake.llm.links import components
+from hirelake.llm.survivors import one_of_each, row_hash
 from hirelake.session import materialize
 
 SHINGLE_WORDS = 4
@@ -54,15 +55,20 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(_BITS[2 * ones > len(starts)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp) of every row, fp as a signed 64-bit number."""
+def print_of(text: Column) -> Column:
+    """Fingerprint of a text as a signed 64-bit number."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
+    return of(text.cast("string"))
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp) of every row."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).alias("doc_id"), of(F.col(text).cast("string")).alias("fp"))
+    return docs.select(F.col(key).alias("doc_id"), print_of(F.col(text)).alias("fp"))
 
 
 def _syndromes() -> np.ndarray:
@@ -256,22 +262,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     )
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that of its smallest id, in all its columns.
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row of each component of linked fingerprints, in all its columns.
 
-    Of repeated rows with that id one stays.  Rows without an id stay if no row
-    of their component has one.
+    That is the row with the smallest id, rows without one coming last, and of
+    rows that share the id the one with the smallest hash.  Rows are told apart
+    by themselves and not by their ids, so an id with several texts keeps one
+    row in each of their components.  Texts without a word are copies of each
+    other.  No rows give no rows.
     """
-    found = near_duplicates(docs, key, text)
-    stay = materialize(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_stay"))
-        .agg(F.count("*").alias("_rows")),
-        "representatives",
+    small_batches(docs.sparkSession)
+    rows = materialize(
+        docs.select(F.col(key).alias("id"), row_hash(docs).alias("hash"), print_of(F.col(text)).alias("fp")), "fingerprints"
     )
-    rows = docs.select(carry(docs), F.col(key).alias("_id"))
-    kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_stay")))
-    once = kept.where("_rows = 1 OR _stay IS NULL").select("_row.*")
-    often = stay.where("_rows > 1 AND _stay IS NOT NULL")
-    if often.isEmpty():
-        return once
-    return once.union(kept.where("_rows > 1 AND _stay IS NOT NULL").dropDuplicates(["_id"]).select("_row.*"))
+    roots = components(fingerprint_links(rows, threshold)).withColumnRenamed("node", "fp")
+    rooted = rows.join(roots, "fp", "left").select("id", "hash", F.coalesce("root", "fp").alias("root"))
+    return one_of_each(docs, rooted, key)

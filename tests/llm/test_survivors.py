@@ -1,4 +1,4 @@
-from hirelake.llm import copies
+from hirelake.llm import simhash
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -12,7 +12,7 @@ def test_one_row_of_each_component(spark):
     rows += [(3, prose("p"), "first"), (9, prose("p"), "copy"), (9, prose("q"), "own"), (2, prose("q"), "smaller")]
     rows += [(None, prose("p"), "copy without an id"), (None, prose("z"), "b"), (None, prose("z"), "a"), (None, prose("y"), "c")]
     rows += [(50, prose("x"), "equal rows")] * 3 + [(None, prose("w"), "equal rows")] * 2
-    kept = [tuple(r) for r in copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    kept = [tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
     texts = [r[1] for r in kept]
     assert sorted(texts) == sorted({r[1] for r in rows})
     assert set(kept) <= set(rows)
