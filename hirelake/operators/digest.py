@@ -73,11 +73,14 @@ def source_summary(listings: DataFrame) -> DataFrame:
 
 
 def digest_summary(
-    scanned: DataFrame, new: DataFrame, shown: DataFrame, seen: DataFrame, as_of
+    scanned: DataFrame | int, new: DataFrame, shown: DataFrame, seen: DataFrame, as_of
 ) -> DataFrame:
-    """One row of counters for the head and foot of a digest."""
+    """One row of counters for the head and foot of a digest.  ``scanned`` may
+    have been counted already."""
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
+    def counted(df: DataFrame | int, name: str) -> DataFrame:
+        if isinstance(df, int):
+            return seen.sparkSession.createDataFrame([(name, df)], "name string, n long")
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
 
     stored = stats(seen, as_of).select(

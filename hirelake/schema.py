@@ -33,7 +33,7 @@ SEEN = _struct(
     posted_date=_TS, first_seen=_TS, score=T.DoubleType(), description=_S,
 )
 SEEN_STORED = T.StructType(
-    SEEN.fields + [T.StructField("attempt", _S), T.StructField("seen_month", _S)]
+    SEEN.fields + [T.StructField("origin", _S), T.StructField("attempt", _S), T.StructField("seen_month", _S)]
 )
 
 

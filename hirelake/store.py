@@ -4,17 +4,27 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.operators.browse import BrowseQuery, within_days
+from hirelake.operators.keyfilter import filter_bits, key_filter, may_hold
 from hirelake.schema import SEEN, SEEN_STORED
 
 _MONTH = "yyyy-MM"
-_COMMITTED = "attempt string, run_id string, number long, replaces boolean"
+#: Folders of the key index; part of the layout, so never changed for a table.
+KEY_BUCKETS = 64
+_WRITTEN = ("run_id string, number long, replaces boolean, keys boolean, "
+            "retired array<struct<attempt:string,seen_month:string>>, retired_keys array<string>, at timestamp")
+_COMMITTED = f"attempt string, {_WRITTEN}"
+_KEYS = "unique_key string, origin string, attempt string, bucket int"
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("unique_key"), F.lit(KEY_BUCKETS)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -28,6 +38,15 @@ class SeenTable:
     ``replace`` takes a run's earlier rows away, all of them and no others.
     The month serves pruning for date ranges; days within it are skipped by
     the files' own statistics.
+
+    Beside the rows lies a key index, the keys alone in buckets of their hash.
+    ``stored_keys`` reads the buckets of a batch and cuts them down by a filter
+    of the batch's keys before anything is shuffled.  ``compact`` rewrites
+    closed months and the index into one attempt, whose commit retires the
+    parts it holds; until that commit nothing of it counts, and after it
+    nothing of them.  Rows keep the attempt they came with as their origin, so
+    a run can still be told apart and replaced.  One compaction may run at a
+    time, beside any number of appends and readers.
     """
 
     spark: SparkSession
@@ -41,28 +60,37 @@ class SeenTable:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _live(self) -> DataFrame:
-        """(attempt, run_id) of commits that no later one of their run replaced."""
-        commits = self._folder("commits", _COMMITTED)
-        last = commits.groupBy("run_id").agg(F.max(F.when(F.col("replaces"), F.col("number"))).alias("since"))
-        return commits.join(last, "run_id").where("since IS NULL OR number >= since").select("attempt", "run_id")
+    def _commits(self) -> DataFrame:
+        return self._folder("commits", _COMMITTED)
+
+    def _live(self, commits: DataFrame) -> DataFrame:
+        """(attempt, run_id) of runs' commits that no later one of their run replaced."""
+        runs = commits.where("run_id IS NOT NULL")
+        last = runs.groupBy("run_id").agg(F.max(F.when(F.col("replaces"), F.col("number"))).alias("since"))
+        return runs.join(last, "run_id").where("since IS NULL OR number >= since").select("attempt", "run_id")
+
+    def _of(self, commits: DataFrame, except_run: str | None = None, only_run: str | None = None) -> DataFrame:
+        live = self._live(commits)
+        if except_run is not None:
+            live = live.where(F.col("run_id") != except_run)
+        if only_run is not None:
+            live = live.where(F.col("run_id") == only_run)
+        return live
 
     def read(
         self, except_run: str | None = None, seen_from: date | None = None, seen_to: date | None = None
     ) -> DataFrame:
         """Stored listings, without those of one run, first seen in a range of
         days.  Both limits prune partitions."""
-        live = self._live()
-        if except_run is not None:
-            live = live.where(F.col("run_id") != except_run)
-        return self._rows(live, seen_from, seen_to)
+        commits = self._commits()
+        return self._rows(commits, self._of(commits, except_run), seen_from, seen_to).select(*SEEN.names)
 
     def matching(self, query: BrowseQuery) -> DataFrame:
         """Stored listings that a browse request can match: its range of days
         first seen prunes months."""
         return self.read(seen_from=query.first_seen_from, seen_to=query.first_seen_to)
 
-    def _rows(self, live: DataFrame, seen_from: date | None = None, seen_to: date | None = None) -> DataFrame:
+    def _rows(self, commits: DataFrame, live: DataFrame, seen_from: date | None = None, seen_to: date | None = None) -> DataFrame:
         rows = self._folder("rows", SEEN_STORED)
         if seen_from or seen_to:
             rows = rows.where(within_days("first_seen", seen_from, seen_to))
@@ -70,7 +98,46 @@ class SeenTable:
             rows = rows.where(F.col("seen_month") >= f"{seen_from:%Y-%m}")
         if seen_to:
             rows = rows.where(F.col("seen_month") <= f"{seen_to:%Y-%m}")
-        return rows.join(live.select("attempt"), "attempt", "left_semi").select(*SEEN.names)
+        gone = commits.select(F.inline("retired"))
+        rows = rows.join(commits.select("attempt"), "attempt", "left_semi").join(gone, ["attempt", "seen_month"], "left_anti")
+        return self._of_origin(rows, live)
+
+    @staticmethod
+    def _of_origin(rows: DataFrame, live: DataFrame) -> DataFrame:
+        rows = rows.withColumn("origin", F.coalesce("origin", "attempt"))
+        return rows.join(live.select(F.col("attempt").alias("origin")), "origin", "left_semi")
+
+    def _keys(self, commits: DataFrame, live: DataFrame, buckets: list[int] | None = None) -> DataFrame:
+        """(unique_key, origin, attempt) of the key index, of some buckets only, and of rows stored without one."""
+        keys = self._folder("keys", _KEYS)
+        if buckets is not None:
+            keys = keys.where(F.col("bucket").isin(buckets))
+        gone = commits.select(F.explode("retired_keys").alias("attempt"))
+        keys = keys.join(commits.select("attempt"), "attempt", "left_semi").join(gone, "attempt", "left_anti")
+        keys = self._of_origin(keys, live).select("unique_key", "origin", "attempt")
+        bare = commits.where("run_id IS NOT NULL AND keys IS NULL").select("attempt").join(gone, "attempt", "left_anti")
+        if bare.isEmpty():
+            return keys
+        rows = self._rows(commits, live.join(bare, "attempt", "left_semi"))
+        return keys.union(rows.select("unique_key", "origin", "attempt"))
+
+    def stored_keys(self, batch: DataFrame, except_run: str | None = None, only_run: str | None = None) -> DataFrame:
+        """Stored keys of ``batch`` (a few others may be among them), without those of one run or of one run only.
+
+        ``batch`` is read twice, so it should be written or cheap.  Of the index
+        only the buckets of its keys are scanned, and only keys that pass the
+        batch's filter leave the scan: what is shuffled afterwards grows with
+        the batch and not with the history.
+        """
+        seen = batch.agg(F.count("*").alias("rows"), F.collect_set(_bucket()).alias("buckets")).first()
+        commits = self._commits()
+        keys = self._keys(commits, self._of(commits, except_run, only_run), sorted(seen["buckets"])).select("unique_key")
+        bits = filter_bits(seen["rows"])
+        return may_hold(keys, "unique_key", key_filter(batch, "unique_key", bits), bits)
+
+    def without_stored(self, batch: DataFrame, except_run: str | None = None) -> DataFrame:
+        """Rows of ``batch`` whose key isn't stored yet."""
+        return batch.join(self.stored_keys(batch, except_run), "unique_key", "left_anti")
 
     def append(self, rows: DataFrame, run_id: str, rebalance: bool = False, replace: bool = False) -> None:
         """Store the rows of a run; their keys must be new to other runs, see ``mark_seen``.
@@ -80,17 +147,62 @@ class SeenTable:
         is for imports that span many months: rows are first brought together
         by month, large months split over several tasks.
         """
-        of_run = self._folder("commits", _COMMITTED).where(F.col("run_id") == run_id)
+        of_run = self._commits().where(F.col("run_id") == run_id)
         number = of_run.agg(F.max("number")).first()[0]
         if number is not None and not replace:
-            own = self._rows(self._live().where(F.col("run_id") == run_id))
-            rows = rows.join(own.select("unique_key"), "unique_key", "left_anti")
+            rows = rows.join(self.stored_keys(rows, only_run=run_id), "unique_key", "left_anti")
         stored = rows.select(*SEEN.names, F.date_format("first_seen", _MONTH).alias("seen_month"))
         if rebalance:
             stored = stored.hint("rebalance", "seen_month")
         attempt = uuid.uuid4().hex
         stored.write.partitionBy("seen_month").parquet(f"{self.path}/rows/attempt={attempt}")
-        commit = [(run_id, (number or 0) + 1, replace)]
-        self.spark.createDataFrame(commit, "run_id string, number long, replaces boolean").coalesce(1).write.parquet(
-            f"{self.path}/commits/attempt={attempt}"
-        )
+        written = self.spark.read.schema(SEEN_STORED).parquet(f"{self.path}/rows/attempt={attempt}")
+        self._write_keys(written.select("unique_key", F.lit(None).cast("string").alias("origin")), attempt)
+        self._commit(attempt, (run_id, (number or 0) + 1, replace, True, None, None))
+
+    def _write_keys(self, keys: DataFrame, attempt: str) -> None:
+        keyed = keys.withColumn("bucket", _bucket()).hint("rebalance", "bucket")
+        keyed.write.partitionBy("bucket").parquet(f"{self.path}/keys/attempt={attempt}")
+
+    def _commit(self, attempt: str, record: tuple) -> None:
+        entry = self.spark.createDataFrame([(*record, datetime.now())], _WRITTEN)
+        entry.coalesce(1).write.parquet(f"{self.path}/commits/attempt={attempt}")
+
+    def compact(self, before: date) -> bool:
+        """Rewrite the months before that of ``before``, and the key index, into one attempt; False if there is nothing to gain.
+
+        Only months that lie in several attempts are rewritten.  A crash before
+        the commit leaves files that never count, and one after it files that
+        no longer do; ``vacuum`` removes the latter.
+        """
+        commits = self._commits()
+        live = self._live(commits)
+        rows = self._rows(commits, live).where(F.col("seen_month") < f"{before:%Y-%m}")
+        parts = [(r["attempt"], r["seen_month"]) for r in rows.select("attempt", "seen_month").distinct().collect()]
+        months = [m for _, m in parts]
+        split = sorted({m for m in months if months.count(m) > 1})
+        keys = self._keys(commits, live)
+        indexed = sorted(r["attempt"] for r in keys.select("attempt").distinct().collect())
+        if not split and len(indexed) < 2:
+            return False
+        attempt = uuid.uuid4().hex
+        moved = rows.where(F.col("seen_month").isin(split)).select(*SEEN.names, "origin", "seen_month")
+        moved.hint("rebalance", "seen_month").write.partitionBy("seen_month").parquet(f"{self.path}/rows/attempt={attempt}")
+        self._write_keys(keys.select("unique_key", "origin"), attempt)
+        self._commit(attempt, (None, None, None, True, [p for p in parts if p[1] in split], indexed))
+        return True
+
+    def vacuum(self, before: datetime) -> int:
+        """Delete the parts that compactions committed before that time have retired; returns how many.
+
+        Readers that were opened before such a compaction must have ended.
+        """
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        old = self._commits().where(F.col("at") < F.lit(before)).select("retired", "retired_keys").collect()
+        folders = [f"rows/attempt={p['attempt']}/seen_month={p['seen_month']}" for r in old for p in r["retired"] or ()]
+        folders += [f"keys/attempt={a}" for r in old for a in r["retired_keys"] or ()]
+        gone = 0
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+            gone += bool(path.getFileSystem(conf).delete(path, True))
+        return gone

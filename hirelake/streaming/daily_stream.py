@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hirelake.operators.dedupe import seen_rows
-from hirelake.plans.daily import DailyRun, run_daily, score_new
+from hirelake.operators.dedupe import dedupe_in_run, seen_rows
+from hirelake.operators.filters import filter_listings
+from hirelake.operators.scoring import score_listings
+from hirelake.plans.daily import DailyRun, run_daily
 from hirelake.schema import Preferences, Profile, Vocabulary
+from hirelake.session import materialize
 from hirelake.store import SeenTable
 
 
@@ -36,6 +39,8 @@ def start_daily_stream(
     """Filter, deduplicate, score and store every micro-batch of ``raw``.
 
     The seen table is the state: a key stored by an earlier batch is not new.
+    Of it a batch reads the buckets of its own keys in the key index, cut down
+    by a filter of those keys, and not the stored listings.
     The query's own id, which its checkpoint keeps, and the batch number name
     the run: a batch that is replayed after a failure adds nothing twice, and a
     query with a new checkpoint, or another query on the same table, never
@@ -49,8 +54,8 @@ def start_daily_stream(
         if on_run is not None:
             on_run(run_daily(batch, table, profile, prefs, at, run_id=run_id, order=order, vocab=vocab))
             return
-        before = table.read(except_run=run_id)
-        scored = score_new(batch, before, profile, prefs, at, order, vocab)
+        kept = materialize(dedupe_in_run(filter_listings(batch, prefs, at, vocab), order), "batch")
+        scored = score_listings(table.without_stored(kept, run_id), profile, prefs, at, vocab)
         table.append(seen_rows(scored, at), run_id)
 
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from hirelake.operators import dedupe as d
 from hirelake.operators.ranking import rank_diverse, remaining_by_score
 from hirelake.operators.scoring import score_listings
 from hirelake.plans.daily import run_daily
-from hirelake.session import fresh_path
+from hirelake.session import fresh_path, materialize
 from hirelake.store import SeenTable
 from hirelake.streaming.daily_stream import start_daily_stream
 from workload.core import (
@@ -127,6 +129,37 @@ def _(t):
     return daily(t).seen.select("unique_key", stamp("first_seen").alias("first_seen"), "score")
 
 
+@query("run_counters", f"""WITH {NEW_SCORED} SELECT (SELECT count(*) FROM incoming) AS scanned,
+  (SELECT count(*) FROM wanted) AS kept, (SELECT count(*) FROM wanted) - (SELECT count(*) FROM wanted_first) AS in_run_duplicates,
+  (SELECT count(*) FROM wanted_first) - (SELECT count(*) FROM fresh) AS stored, (SELECT count(*) FROM fresh) AS new,
+  (SELECT string_agg(source || ': ' || n, ', ' ORDER BY source) FROM (SELECT source, count(*) AS n FROM incoming GROUP BY source))
+    AS source_summary""")
+def _(t):
+    run = daily(t, dry_run=True, sources=("a", "n", "r"))
+    return run.counters().crossJoin(run.sources())
+
+
+@query("filter_new_indexed", f"""WITH {SEEN}, {INCOMING}, {first_sql('kept', 'incoming')}
+SELECT {', '.join(_ROW)} FROM kept WHERE unique_key NOT IN (SELECT unique_key FROM seen)""")
+def _(t):
+    batch = materialize(d.dedupe_in_run(t.incoming, LINE_ORDER).select(*_ROW), "batch")
+    return stored_table(t).without_stored(batch)
+
+
+@query("compact_seen", f"""WITH {SEEN} SELECT unique_key, title, company, {stamp_sql('first_seen')} AS first_seen, score
+FROM seen WHERE NOT (source = 'n' AND unique_key LIKE '%1')""")
+def _(t):
+    """Three runs over the same months, rewritten; then one of them is replaced."""
+    table = SeenTable(t.spark, fresh_path(t.spark, "seen"))
+    late = F.col("source") == "n"
+    table.append(t.seen.where(~late), "first", rebalance=True)
+    table.append(t.seen.where(late), "second", rebalance=True)
+    table.compact(date(2030, 1, 1))
+    table.append(t.seen.where(late & ~F.col("unique_key").endswith("1")), "second", rebalance=True, replace=True)
+    table.compact(date(2030, 1, 1))
+    return table.read().select("unique_key", "title", "company", stamp("first_seen").alias("first_seen"), "score")
+
+
 @query("run_backfill", f"""WITH {LINE}, {INCOMING}, wanted AS (SELECT * FROM incoming WHERE {KEEP_SQL}),
 {first_sql('fresh', 'wanted')}, {line_scored_sql('fresh')}, {ranked_sql('top', 'scored', LINE_PREFS.results_per_day)}
 SELECT {', '.join(_SHOWN)}, {_MATCHED} FROM top""")
