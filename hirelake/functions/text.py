@@ -6,12 +6,12 @@ import html
 import json
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache, reduce
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hirelake import fixed
 
@@ -21,7 +21,7 @@ SPACE_RUN = "(?U)[\\s\x1c-\x1f]+"
 TAG = "<[^>]+>"
 _NON_ASCII = r"([^\x00-\x7F])"
 
-# Entities replaced inside the JVM; the ampersand must come last.
+# Entities most texts stop at; the ampersand must come last.
 COMMON_ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
     "&nbsp;": "\xa0", "&copy;": "©", "&middot;": "·", "&bull;": "•",
@@ -30,54 +30,90 @@ COMMON_ENTITIES = {
 }
 # An ampersand that starts none of them.
 _OTHER_ENTITY = "&(?!" + "|".join(e[1:] for e in COMMON_ENTITIES) + ")"
+# Names that also count without their semicolon, longest first.
+_OPEN_NAME = "^(?:" + "|".join(
+    sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+_UNKNOWN = "\ufffd"
+_PAST_UNICODE = 0x110000
 
 
-# The batch functions are built inside a function so that they are shipped by
-# value: executors need no copy of this package.
-def _unescape_udfs():
-    def rest(text: pd.Series) -> pd.Series:
-        return text.map(html.unescape, na_action="ignore")
-
-    def each(lists: pd.Series) -> pd.Series:
-        return lists.map(
-            lambda items: [x if x is None else html.unescape(x) for x in items],
-            na_action="ignore",
-        )
-
-    # Declared non-deterministic, so that filters on cleaned text stay above the
-    # cleaning instead of repeating it below.
+@lru_cache(maxsize=1)
+def _entity_table() -> str:
+    """JSON of {first letter: {name: text}}; "#" holds the numbers below 160,
+    which do not all stand for their own code point."""
+    table: dict[str, dict[str, str]] = {
+        "#": {str(n): html.unescape(f"&#{n};") for n in range(0xA0)}
+    }
+    for name, text in html5.items():
+        table.setdefault(name[0], {})[name] = text
+    return json.dumps(table)
+
+
+def _entity(group: Column, name: Column) -> Column:
+    # Two short look-ups: a map is searched from its start.
+    table = F.from_json(F.lit(_entity_table()), "map<string,map<string,string>>")
+    return F.try_element_at(F.try_element_at(table, group), name)
+
+
+def _char(code: Column) -> Column:
+    """The character a numeric reference stands for."""
+    def units(*values: Column) -> Column:
+        words = [F.lpad(F.hex(v), 4, "0") for v in values]
+        return F.decode(F.unhex(F.concat(*words)), "UTF-16BE")
+
+    above = code - 0x10000
+    pair = units(F.shiftright(above, 10) + 0xD800, above.bitwiseAND(0x3FF) + 0xDC00)
+    no_character = code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
     return (
-        F.pandas_udf(rest, T.StringType()).asNondeterministic(),
-        F.pandas_udf(each, T.ArrayType(T.StringType())).asNondeterministic(),
+        F.when(code < 0xA0, _entity(F.lit("#"), code.cast("string")))
+        .when(code.between(0xD800, 0xDFFF) | (code >= _PAST_UNICODE), F.lit(_UNKNOWN))
+        .when(no_character, F.lit(""))
+        .when(code < 0x10000, units(code))
+        .otherwise(pair)
     )
 
 
-def _unescape_common(text: Column) -> Column:
-    replaced = reduce(
-        lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), COMMON_ENTITIES.items(), text
+def _decoded(part: Column) -> Column:
+    """``part``, the text behind an ampersand, with the reference it may start
+    with decoded; the ampersand comes back where there is none."""
+    def number(pattern: str, base: int, digits: int) -> Column:
+        found = F.regexp_extract(part, pattern, 1)
+        code = F.conv(found, base, 10).try_cast("int")
+        return F.when(F.length(found) > digits, F.lit(_PAST_UNICODE)).when(found != "", code)
+
+    def taken(pattern: str, text: Callable[[Column], Column]) -> Column:
+        found = F.regexp_extract(part, pattern, 0)
+        return F.concat(text(found), F.substring(part, F.length(found) + 1, F.length(part)))
+
+    code = F.coalesce(number("^#0*([0-9]+)", 10, 7), number("^#[xX]0*([0-9a-fA-F]+)", 16, 6))
+    return F.coalesce(
+        taken("^[A-Za-z0-9]{1,32};", lambda name: _entity(F.left(name, F.lit(1)), name)),
+        taken(_OPEN_NAME, lambda name: _entity(F.left(name, F.lit(1)), name)),
+        taken("^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", lambda _: _char(code)),
+        F.concat(F.lit("&"), part),
     )
-    return F.when(text.contains("&"), replaced).otherwise(text)
-
-
-def _has_other_entities(text: Column) -> Column:
-    return text.rlike(_OTHER_ENTITY)
 
 
 def unescape_html(text: Column) -> Column:
-    """Unescape HTML entities once.
+    """Unescape HTML entities once: every name of HTML 5 and numbers, with the
+    lenient reading of missing semicolons and numbers that are no character.
 
-    Texts that hold only common entities stay in the JVM.  The others go
-    through one Arrow batch function; it sees NULL for every other row.
+    Texts that hold only common entities are done by plain replacement.  A
+    reference never reaches past the next ampersand, so the others are split
+    there and decoded part by part.
     """
-    rest = _unescape_udfs()[0](F.when(_has_other_entities(text), text))
-    return F.coalesce(rest, _unescape_common(text))
+    replaced = reduce(
+        lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), COMMON_ENTITIES.items(), text
+    )
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), _decoded)
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+    return F.when(text.rlike(_OTHER_ENTITY), decoded).when(text.contains("&"), replaced).otherwise(text)
 
 
 def unescape_each(texts: Column) -> Column:
     """``unescape_html`` of every element of an array."""
-    other = F.exists(texts, lambda t: F.coalesce(_has_other_entities(t), F.lit(False)))
-    rest = _unescape_udfs()[1](F.when(other, texts))
-    return F.coalesce(rest, F.transform(texts, _unescape_common))
+    return F.transform(texts, unescape_html)
 
 
 def collapse_spaces(text: Column) -> Column:

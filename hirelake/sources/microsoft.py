@@ -13,7 +13,7 @@ from hirelake.functions.text import clean_html
 from hirelake.operators.dedupe import first_per
 from hirelake.operators.filters import matching_intent
 from hirelake.schema import Vocabulary
-from hirelake.sources.payloads import as_listings, filled, good_records, text_map
+from hirelake.sources.payloads import as_listings, computed_once, filled, good_records, text_map
 
 _SHARED = """
     name string, location string, locations string, publicUrl string, positionUrl string,
@@ -129,9 +129,9 @@ def enrich_with_details(
         "title": pick("title", filled(d["name"], F.col("title"))),
         "location": pick("location", filled(_place(d), F.col("location"))),
         "url": pick("url", filled(_link(d, base_url), F.col("url"))),
-        "description": pick(
-            "description", clean_html(filled(d["jobDescription"], F.col("description")))
-        ),
+        "description": computed_once(F.when(
+            merged, clean_html(filled(d["jobDescription"], F.col("description")))
+        ).otherwise(F.col("description"))).alias("description"),
         "posted_date": pick("posted_date", posted),
         "team": pick("team", filled(d["department"], F.col("team"))),
         "metadata": pick("metadata", F.map_concat(untouched, override)),

@@ -71,20 +71,30 @@ def text_map(**values: Column) -> Column:
     return F.create_map(*pairs)
 
 
+def computed_once(value: Column) -> Column:
+    """``value`` for a select list, as the one element a generator yields.
+
+    Filters on the new column stay above the generator instead of repeating
+    its work below, and filters on other columns pass beneath it, so that rows
+    they drop never get there.
+    """
+    return F.explode(F.array(value))
+
+
 def as_listings(df: DataFrame, *extra: Column | str, **columns: Column) -> DataFrame:
     """Select the listing columns; the ones not given take their defaults.
-    ``extra`` columns follow."""
+    ``extra`` columns follow.  The description, the one long text to clean, is
+    computed once, after the filters on other columns."""
     defaults = {
         "posted_date": F.lit(None), "yoe_required": F.lit(None),
         "metadata": F.create_map().cast("map<string,string>"),
     }
-    return df.select(
-        *[
-            columns.get(f.name, defaults.get(f.name, F.lit(""))).cast(f.dataType).alias(f.name)
-            for f in LISTING.fields
-        ],
-        *extra,
-    )
+    values = {
+        f.name: columns.get(f.name, defaults.get(f.name, F.lit(""))).cast(f.dataType)
+        for f in LISTING.fields
+    }
+    values["description"] = computed_once(values["description"])
+    return df.select(*[value.alias(name) for name, value in values.items()], *extra)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

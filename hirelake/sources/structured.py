@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from hirelake import fixed
 from hirelake.functions.dates import parse_instant
 from hirelake.functions.text import drop_tags, unescape_each, unescape_html, url_id
-from hirelake.sources.payloads import as_listings, filled, text_map
+from hirelake.sources.payloads import as_listings, computed_once, filled, text_map
 
 # A comment swallows the scripts inside it.
 SCRIPT_OR_COMMENT = r"(?is)<!--.*?-->|<script\b([^>]*)>(.*?)</script\s*>"
@@ -159,7 +159,8 @@ def with_location(df: DataFrame) -> DataFrame:
         )
 
     items = _as_list(F.col("posting"), "$.jobLocation", "variant")
-    parts = df.withColumn("_parts", unescape_each(F.flatten(F.transform(items, place))))
+    texts = unescape_each(F.flatten(F.transform(items, place)))
+    parts = df.select("*", computed_once(texts).alias("_parts"))
 
     def text_at(i: Column) -> Column:
         return drop_tags(F.element_at("_parts", i))
@@ -201,7 +202,7 @@ def normalize_structured(
     )
     page_title = F.regexp_extract(F.col("html"), PAGE_TITLE, 1)
 
-    found = jsonld_postings(pages).withColumn("_texts", texts)
+    found = jsonld_postings(pages).select("*", computed_once(texts).alias("_texts"))
     found = found.select("*", *[c.alias(f"_{name}") for name, c in cleaned.items()]).drop("_texts")
     # Page texts are markup: their entities are read once as such, and once
     # more by the cleaning every text gets.
@@ -214,7 +215,8 @@ def normalize_structured(
     found = found.withColumn("_body", F.trim(_joined(parts, " ")))
     for name, (needed_by, raw) in fallback.items():
         wanted = F.when(F.col(needed_by) == "", raw)
-        found = found.withColumn(name, drop_tags(unescape_html(unescape_html(wanted))))
+        text = drop_tags(unescape_html(unescape_html(wanted)))
+        found = found.select("*", computed_once(text).alias(name))
     found = with_location(found)
 
     jobs = found.withColumn("_title", filled(F.col("_title"), F.col("_page_title"))).where(

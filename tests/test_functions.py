@@ -3,6 +3,7 @@ import random
 import re
 import unicodedata
 from datetime import datetime
+from html.entities import html5
 
 import pytest
 
@@ -11,7 +12,7 @@ from hirelake.functions.dates import age_days, date_label, instant, parse_instan
 from hirelake.functions.labels import score_band, score_label
 from hirelake.functions.numbers import round1
 from hirelake.functions.places import has_foreign_marker, looks_domestic
-from hirelake.functions.text import ascii_fold, clean_html, compact_text, safe_url, snippet, unescape_each
+from hirelake.functions.text import ascii_fold, clean_html, compact_text, safe_url, snippet, unescape_each, unescape_html
 from hirelake.functions.titles import infer_seniority, is_wanted_role, required_years
 
 
@@ -33,6 +34,22 @@ def test_unescape_each_keeps_nulls_and_order(value):
     assert value(unescape_each, given, "array<string>") == [["a & b", None, "é"], [], None, ["<"]]
 
 
+def test_every_entity_is_read_as_python_reads_it(value):
+    names = sorted(html5)
+    texts = [f"a &{n} b" for n in names] + [f"&{n}x;&{n}" for n in names] + [f"&{n[:-1]}=1&amp{n}" for n in names]
+    assert value(unescape_html, texts) == [html.unescape(t) for t in texts]
+
+
+def test_every_kind_of_number_is_read_as_python_reads_it(value):
+    codes = [*range(0x180), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFEFF, 0xFFFD, 0xFFFE, 0xFFFF]
+    codes += [0x10000, 0x1F600, 0x1FFFE, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000, 9999999, 10**7, 2**31, 2**64, 10**40]
+    texts = [t for c in codes for t in (f"&#{c};", f"&#00{c}z", f"&#x{c:x};&#X0{c:X};", f"&#x{c:x} &#{c}&#{c};")]
+    odd = ["&", "&&", "&#", "&#;", "&#x;", "&#xg;", "& amp;", "&;", "&#-1;", "&#٣;", "a&b&c;", "&lt&gt", "&#60&#62;"]
+    odd += ["&" + "a" * 40 + ";", "&" + "lt" * 30, "&lt;" * 999 + "&eacute;", "&notin;&notinx;", "&amp;eacute;", "&é;"]
+    texts += odd
+    assert value(unescape_html, texts) == [html.unescape(t) for t in texts]
+
+
 def test_ascii_fold_is_the_compatibility_fold_for_every_character(value):
     chars = [chr(c) for c in range(0x80, 0x3000)] + list("ﬁﬀ①⑩½™ＡＢ㎏ℌ𝐀𝟘")
     texts = ["".join(chars[i:i + 97]) for i in range(0, len(chars), 97)] + ["Türkiye", "straße", "ÀB", "", "İzmir"]

@@ -283,3 +283,13 @@ def test_harvested_slugs_are_validated_and_merged(spark):
     existing = spark.createDataFrame([("lever", "beta"), ("ashby", "old")], "ats string, slug string")
     merged = expand_slugs(texts, F.col("text"), boards, existing)
     assert sorted(tuple(r) for r in merged.collect()) == [("ashby", "old", False), ("greenhouse", "acme", True), ("lever", "beta", False)]
+
+
+def test_cheap_filters_run_before_the_description_is_cleaned(spark):
+    payload = {"jobs": [{"id": 1, "title": "zz_wanted", "content": "&lt;b&gt;caf&eacute; zz_body"}, {"id": 2, "title": "x", "content": "zz_body"}]}
+    found = normalize_greenhouse(raw(spark, payload)).where("title = 'zz_wanted' AND description LIKE '%zz_body'")
+    assert [r.description for r in found.collect()] == ["café zz_body"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and plan.count("zz_body") == 1
+    # The tree is printed from its root: what runs first stands last.
+    assert plan.index("zz_body") < plan.index("Generate explode") < plan.index("zz_wanted")
