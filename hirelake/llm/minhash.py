@@ -38,6 +38,8 @@ MINIMA = BANDS * ROWS
 BITS = 4
 _PER_LONG = 64 // BITS
 LONGS = -(-MINIMA // _PER_LONG)
+#: Minima of the texts that are still apart after the first round.
+FINE = 1024
 #: Standard deviations that an estimate may lie below the limit.
 DEVIATIONS = 5.0
 #: A band has one leader in the first round, and so many times more from round to round.
@@ -50,16 +52,18 @@ _FACTORS = _rng.integers(0, 1 << 63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64
 _TURNS = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2)
 _JOINS = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_TURNS = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_SALTS = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2)
 
 
-def least_agreement(percent: int = PERCENT) -> int:
-    """Agreeing minima below which a pair is surely not similar enough.
+def least_agreement(percent: int = PERCENT, count: int = MINIMA) -> int:
+    """Agreeing minima, of ``count``, below which a pair is surely not similar enough.
 
     Two minima agree if they are equal, or by chance in one of 2 ** BITS cases.
     """
     chance = 1.0 / (1 << BITS)
     agree = chance + (1 - chance) * percent / 100
-    return int(np.floor(MINIMA * agree - DEVIATIONS * np.sqrt(MINIMA * agree * (1 - agree))))
+    return int(np.floor(count * agree - DEVIATIONS * np.sqrt(count * agree * (1 - agree))))
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -77,20 +81,21 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(total ^ (total >> np.uint64(31)))
 
 
-def minima(own: np.ndarray) -> np.ndarray:
+def minima(own: np.ndarray, salts: np.ndarray = _SALTS, turns: np.ndarray = _TURNS) -> np.ndarray:
     """Smallest value of every hash function over a set."""
-    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(len(salts), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), 1024):
-        np.minimum(least, ((own[at : at + 1024, None] ^ _SALTS) * _TURNS).min(axis=0), out=least)
+        np.minimum(least, ((own[at : at + 1024, None] ^ salts) * turns).min(axis=0), out=least)
     return least
 
 
 def packed(least: np.ndarray) -> np.ndarray:
     """The lowest bits of all minima, side by side."""
-    low = np.zeros(LONGS * _PER_LONG, np.uint64)
+    longs = -(-len(least) // _PER_LONG)
+    low = np.zeros(longs * _PER_LONG, np.uint64)
     # The top of a product depends on all bits of its factors, the bottom on a few.
-    low[:MINIMA] = (least ^ (least >> np.uint64(40))) & np.uint64((1 << BITS) - 1)
-    return (low.reshape(LONGS, _PER_LONG) << (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
+    low[: len(least)] = (least ^ (least >> np.uint64(40))) & np.uint64((1 << BITS) - 1)
+    return (low.reshape(longs, _PER_LONG) << (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
 
 
 def bands(least: np.ndarray) -> np.ndarray:
@@ -124,16 +129,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """Minima whose low bits differ between two longs."""
+    x = a.bitwiseXOR(b)
+    any_bit = reduce(lambda u, v: u.bitwiseOR(v), (F.shiftrightunsigned(x, s) for s in range(1, BITS)), x)
+    return F.bit_count(any_bit.bitwiseAND(F.lit(_MASK)))
+
+
 def agreement(a: Column, b: Column) -> Column:
     """Minima whose low bits are equal in both signatures, by bit counts."""
-    mask = F.lit(_MASK)
+    places = [F.lit(k) for k in range(LONGS)]
+    return F.lit(MINIMA) - reduce(lambda u, v: u + v, (_differ(F.get(a, k), F.get(b, k)) for k in places))
+
+
+def fine_agreement(a: Column, b: Column) -> Column:
+    """``agreement`` of fine signatures, which are too long to be written out long by long."""
+    return F.lit(FINE) - F.aggregate(F.zip_with(a, b, _differ), F.lit(0), lambda u, v: u + v)
 
-    def differ(k: int) -> Column:
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        any_bit = reduce(lambda u, v: u.bitwiseOR(v), (F.shiftrightunsigned(x, s) for s in range(1, BITS)), x)
-        return F.bit_count(any_bit.bitwiseAND(mask))
 
-    return F.lit(MINIMA) - reduce(lambda u, v: u + v, (differ(k) for k in range(LONGS)))
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fine) of (node, shingles)."""
+    for batch in batches:
+        sets = (np.asarray(own.values).view(np.uint64) for own in batch.column(1))
+        fine = [packed(minima(own, _FINE_SALTS, _FINE_TURNS)) for own in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _longs(fine)], ["node", "fine"])
 
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
@@ -181,7 +200,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _apart(met: DataFrame) -> DataFrame:
-    """Rows of ``met`` (band, node, root, n, most, sig, degree) that still have someone to be compared with.
+    """Rows of ``met`` (band, node, root, n, most, sig, degree, ...) that still have someone to be compared with.
 
     Members have to differ in their component, and a member needs one whose
     size is within its reach and which it is in reach of.
@@ -190,7 +209,7 @@ def _apart(met: DataFrame) -> DataFrame:
     left = met.join(sizes, "band").where((F.col("most") >= F.col("least_n")) & (F.col("n") <= F.col("most_most")))
     left = left.drop("least_n", "most_most")
     roots = left.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    return materialize(left.join(roots, "band").select("band", "node", "root", "n", "most", "sig", "degree"), "minhash-bands")
+    return materialize(left.join(roots, "band").select(*met.columns), "minhash-bands")
 
 
 def reach(n: Column, shared: Column, percent: int) -> Column:
@@ -216,7 +235,8 @@ def set_links(signed: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
     led by those members that meet most others in all their bands, as the text
     that a group of copies was made from does.  After the first round members
     are also told apart by the shingles that only one of them holds: a set
-    can't share those, which bounds the size of any set similar to it.
+    can't share those, which bounds the size of any set similar to it, and
+    by finer signatures.
     """
     spark = signed.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -229,25 +249,38 @@ def set_links(signed: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
         "minhash-nodes",
     )
     sets = _whole_sets(docs, nodes.select("node"))
+    members = pairs_of.select("band", "node").join(nodes, "node")
+    heads = members.groupBy("band").agg(F.min(F.struct(-F.col("degree"), F.col("node")))["node"].alias("head"))
+    # Bands with the same first leader are one cell, so that its members meet it once and not in every band.
     met = materialize(
-        pairs_of.select("band", "node").join(nodes, "node")
+        members.join(heads, "band").where("node <> head").drop("band").withColumnRenamed("head", "band")
+        .dropDuplicates(["band", "node"])
         .select("band", "node", F.col("node").alias("root"), "n", reach(F.col("n"), F.col("n"), percent).alias("most"), "sig", "degree"),
         "minhash-bands",
     )
+    lead = nodes.select(
+        F.col("node").alias("band"), F.col("node").alias("node2"), F.col("node").alias("root2"), F.col("n").alias("n2"),
+        reach(F.col("n"), F.col("n"), percent).alias("most2"), F.col("sig").alias("sig2"), F.col("degree").alias("degree2"),
+    )
     tested = spark.createDataFrame([], "a long, b long")
-    least, leaders = least_agreement(percent), 1
+    least, least_fine, leaders = least_agreement(percent), least_agreement(percent, FINE), 1
     while not met.isEmpty():
-        order = Window.partitionBy("band").orderBy(F.desc("degree"), "node")
-        lead = materialize(
-            met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).select(
-                "band", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "most", "sig"))
-            ),
-            "minhash-leaders",
-        )
+        if leaders > 1:
+            order = Window.partitionBy("band").orderBy(F.desc("degree"), "node")
+            lead = materialize(
+                met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).select(
+                    "band", *(F.col(c).alias(f"{c}2") for c in met.columns if c != "band")
+                ),
+                "minhash-leaders",
+            )
         likely = (
-            (F.col("root") != F.col("root2")) & (F.col("n") <= F.col("most2")) & (F.col("n2") <= F.col("most"))
+            # Two leaders meet once: the first of them leads.
+            ((F.col("degree2") > F.col("degree")) | ((F.col("degree2") == F.col("degree")) & (F.col("node2") < F.col("node"))))
+            & (F.col("root") != F.col("root2")) & (F.col("n") <= F.col("most2")) & (F.col("n2") <= F.col("most"))
             & (agreement(F.col("sig"), F.col("sig2")) >= least)
         )
+        if leaders > 1:
+            likely &= fine_agreement(F.col("fine"), F.col("fine2")) >= least_fine
         close = met.join(lead, "band").where(likely).select(
             F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), (F.col("n") + F.col("n2")).alias("sizes")
         ).distinct()
@@ -261,12 +294,8 @@ def set_links(signed: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
         )
         tested = tested.union(judged.select("a", "b"))
         new = judged.where("similar").select("a", "b")
-        # Leaders have been compared with their whole band.
-        if leaders == 1:
-            # Bands with the same leader go on as one, so that their members meet once and not in every band.
-            led = met.join(lead.select("band", "node2"), "band").where("node <> node2").drop("band")
-            met = led.withColumnRenamed("node2", "band").dropDuplicates(["band", "node"])
-        else:
+        # Leaders have been compared with their whole cell; the first ones were never members of theirs.
+        if leaders > 1:
             met = met.join(lead.select("band", F.col("node2").alias("node")), ["band", "node"], "left_anti")
         if not new.isEmpty():
             links = links.union(new)
@@ -275,6 +304,9 @@ def set_links(signed: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
         met = _apart(met)
         if leaders == 1 and not met.isEmpty():
             met = _apart(_tighter(met, sets, percent))
+            apart = sets.join(met.select("node").distinct(), "node", "left_semi").select("node", "shingles")
+            met = met.join(apart.mapInArrow(_refine, "node long, fine array<long>"), "node")
+            met = materialize(met, "minhash-fine")
         leaders *= MORE
     return links
 

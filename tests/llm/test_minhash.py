@@ -102,3 +102,23 @@ def test_only_equal_sets_at_the_highest_limit(spark, percent):
 
 def test_no_rows(nothing):
     assert minhash.near_duplicates(nothing).count() == 0
+
+
+def test_fine_signatures_estimate_closer(spark):
+    rng = np.random.default_rng(3)
+    sets, rows = [], []
+    for i, shared in enumerate((0, 500, 780, 840, 900, 1000)):
+        pool = rng.integers(0, 1 << 63, 2000 - shared, dtype=np.uint64)
+        a, b = pool[:1000], pool[1000 - shared :]
+        sets += [(2 * i, [int(x) for x in a.view(np.int64)]), (2 * i + 1, [int(x) for x in b.view(np.int64)])]
+        rows.append((2 * i, 2 * i + 1, shared / (2000 - shared)))
+    fine = spark.createDataFrame(sets, "node long, shingles array<long>").mapInArrow(minhash._refine, "node long, fine array<long>")
+    pairs = spark.createDataFrame(rows, "a long, b long, similar double")
+    both = pairs.join(fine.selectExpr("node AS a", "fine AS x"), "a").join(fine.selectExpr("node AS b", "fine AS y"), "b")
+    found = both.select("similar", minhash.fine_agreement(F.col("x"), F.col("y")).alias("n")).collect()
+    assert len(found) == len(rows)
+    least = minhash.least_agreement(count=minhash.FINE)
+    for r in found:
+        expected = minhash.FINE * (1 / 16 + 15 / 16 * r.similar)
+        assert abs(r.n - expected) < 5 * np.sqrt(minhash.FINE / 4)
+        assert r.n >= least if r.similar >= 0.8 else r.n < least or r.similar > 0.7
