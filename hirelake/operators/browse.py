@@ -241,22 +241,22 @@ def query_jobs(
 def facets(seen: DataFrame, limits: Mapping[str, int] = fixed.FACET_LIMITS) -> DataFrame:
     """(facet, position, value): distinct non-blank values by lower case.
 
-    One scan serves all facets; values are made distinct before the shuffle
-    and each task passes on at most the largest limit per facet.
+    One scan serves all facets; values are made distinct before the shuffle.
     """
     pairs = F.array(*[F.struct(F.lit(n).alias("facet"), F.col(n).alias("value")) for n in limits])
-    values = (
-        seen.select(F.explode(pairs).alias("p"))
-        .select("p.facet", "p.value")
-        .where(F.trim("value") != "")
-        .distinct()
-    )
+    return first_values(seen.select(F.inline(pairs)).where(F.trim("value") != "").distinct(), limits)
+
+
+def first_values(values: DataFrame, limits: Mapping[str, int]) -> DataFrame:
+    """(facet, position, value) of distinct (facet, value) rows, blank ones
+    left out.  Each task passes on at most the largest limit per facet."""
     place = F.row_number().over(Window.partitionBy("facet").orderBy(F.lower("value"), "value"))
     allowed = F.element_at(
         F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("facet")
     )
     return (
-        values.withColumn("position", place)
+        values.where(F.trim("value") != "")
+        .withColumn("position", place)
         .where(F.col("position") <= max(limits.values()))
         .where(F.col("position") <= allowed)
         .select("facet", "position", "value")
@@ -285,12 +285,17 @@ def query_json(query: BrowseQuery) -> str:
     return json.dumps({n: str(v) if isinstance(v, date) or v != v else v for n, v in given.items()}, ensure_ascii=False)
 
 
-def json_bundle(seen: DataFrame, params: Mapping[str, Any] | None, as_of, path: str = "") -> DataFrame:
+def json_bundle(
+    seen: DataFrame, params: Mapping[str, Any] | None, as_of, path: str = "", *,
+    choices: DataFrame | None = None, totals: DataFrame | None = None,
+    matching: Callable[[BrowseQuery], DataFrame] | None = None,
+) -> DataFrame:
     """One row, column ``json``: ``db_path``, ``stats``, ``filters`` and
     ``result`` with its counts, the labelled ``items`` of the page and the
     cleaned ``query``.  Everything in it is bounded: a page, the facet limits
-    and single rows."""
-    answer = query_jobs(seen, params)
+    and single rows.  ``choices`` and ``totals`` are facets and stats kept
+    elsewhere, as by ``SeenTable.bundle``; else they are read from ``seen``."""
+    answer = query_jobs(seen, params, matching)
 
     def part(name: str, df: DataFrame, body: Column) -> DataFrame:
         return df.agg(F.to_json(body, _JSON).alias("json")).select(F.lit(name).alias("name"), "json")
@@ -299,7 +304,7 @@ def json_bundle(seen: DataFrame, params: Mapping[str, Any] | None, as_of, path:
     shown = F.struct(*[c for c in items.columns if c != "position"])
     in_order = F.array_sort(F.collect_list(F.struct("position", shown.alias("item"))))
     page = F.transform(in_order, lambda x: x["item"])
-    choices = facets(seen)
+    choices = facets(seen) if choices is None else choices
     of = F.array_sort(F.collect_list(F.struct("facet", "position", "value")))
 
     def values(facet: str) -> Column:
@@ -311,7 +316,7 @@ def json_bundle(seen: DataFrame, params: Mapping[str, Any] | None, as_of, path:
     def single(df: DataFrame) -> Column:
         return F.struct(*[F.first(c).alias(c) for c in df.columns])
 
-    counts, total = answer.summary, stats(seen, as_of)
+    counts, total = answer.summary, stats(seen, as_of) if totals is None else totals
     parts = [
         part("stats", total, single(total)), part("filters", choices, choice),
         part("items", items, page), part("counts", counts, single(counts)),

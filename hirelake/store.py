@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date, datetime
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.operators.browse import BrowseQuery, within_days
+from hirelake import fixed
+from hirelake.functions.dates import instant
+from hirelake.operators.browse import BrowseQuery, first_values, json_bundle, within_days
 from hirelake.operators.keyfilter import filter_bits, key_filter, may_hold
 from hirelake.schema import SEEN, SEEN_STORED
 
@@ -18,15 +22,27 @@ _MONTH = "yyyy-MM"
 #: Folders of the key index; part of the layout, so never changed for a table.
 KEY_BUCKETS = 64
 _WRITTEN = ("run_id string, number long, replaces boolean, keys boolean, "
-            "retired array<struct<attempt:string,seen_month:string>>, retired_keys array<string>, at timestamp")
+            "retired array<struct<attempt:string,seen_month:string>>, retired_keys array<string>, "
+            "counts boolean, retired_counts array<string>, at timestamp")
 _COMMITTED = f"attempt string, {_WRITTEN}"
 _KEYS = "unique_key string, origin string, attempt string, bucket int"
+_COUNTS = "origin string, value string, rows long, attempt string, field string"
+#: Days first seen stand beside the values of facets.
+_DAY, _DAYS = "first_seen", "yyyy-MM-dd"
 
 
 def _bucket():
     return F.pmod(F.xxhash64("unique_key"), F.lit(KEY_BUCKETS)).cast("int")
 
 
+def _value_counts(rows: DataFrame) -> DataFrame:
+    """(origin, field, value, rows) of stored rows: their facet values and days first seen, NULL included."""
+    values = {n: F.col(n) for n in fixed.FACET_LIMITS} | {_DAY: F.date_format(_DAY, _DAYS)}
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in values.items()])
+    exploded = rows.select("origin", F.inline(pairs))
+    return exploded.groupBy("origin", "field", "value").agg(F.count("*").alias("rows"))
+
+
 @dataclass(frozen=True)
 class SeenTable:
     """Parquet folder of write attempts, each partitioned by the month first seen.
@@ -47,6 +63,11 @@ class SeenTable:
     nothing of them.  Rows keep the attempt they came with as their origin, so
     a run can still be told apart and replaced.  One compaction may run at a
     time, beside any number of appends and readers.
+
+    Each attempt also counts its facet values and days.  ``facets`` and
+    ``stats`` add up the counts of the attempts that stand, so their cost
+    grows with distinct values and not with listings; what was stored without
+    counts is counted from its rows until a compaction takes it in.
     """
 
     spark: SparkSession
@@ -121,6 +142,48 @@ class SeenTable:
         rows = self._rows(commits, live.join(bare, "attempt", "left_semi"))
         return keys.union(rows.select("unique_key", "origin", "attempt"))
 
+    def _counts(self, commits: DataFrame, live: DataFrame) -> DataFrame:
+        """(origin, field, value, rows) of the kept counts, and of rows stored without them."""
+        gone = commits.select(F.explode("retired_counts").alias("attempt"))
+        kept = self._folder("counts", _COUNTS)
+        kept = kept.join(commits.select("attempt"), "attempt", "left_semi").join(gone, "attempt", "left_anti")
+        counts = self._of_origin(kept, live).select("origin", "field", "value", "rows")
+        bare = commits.where("run_id IS NOT NULL AND counts IS NULL").select("attempt").join(gone, "attempt", "left_anti")
+        if bare.isEmpty():
+            return counts
+        rows = self._rows(commits, live.join(bare, "attempt", "left_semi"))
+        return counts.unionByName(_value_counts(rows))
+
+    def value_counts(self, except_run: str | None = None) -> DataFrame:
+        """(field, value, rows): listings of each company, location and source, and of each day first seen."""
+        commits = self._commits()
+        counts = self._counts(commits, self._of(commits, except_run))
+        return counts.groupBy("field", "value").agg(F.sum("rows").alias("rows"))
+
+    def facets(self, limits: Mapping[str, int] = fixed.FACET_LIMITS) -> DataFrame:
+        """As ``browse.facets`` of the stored listings, from the kept counts."""
+        named = self.value_counts().where(F.col("field").isin(*limits))
+        return first_values(named.select(F.col("field").alias("facet"), "value"), limits)
+
+    def stats(self, as_of) -> DataFrame:
+        """As ``browse.stats`` of the stored listings, from the kept counts."""
+        counts = self.value_counts().where(F.col("field").isin(_DAY, "company"))
+        listed = F.when(F.col("field") == _DAY, F.col("rows"))
+        today = F.when(F.col("value") == F.date_format(instant(as_of), _DAYS), listed)
+        return counts.agg(
+            F.coalesce(F.sum(listed), F.lit(0)).alias("total_seen"),
+            F.coalesce(F.sum(today), F.lit(0)).alias("added_today"),
+            F.count(F.when(F.col("field") == "company", F.col("value"))).alias("unique_companies"),
+        )
+
+    def bundle(self, params: Mapping[str, Any] | None, as_of) -> DataFrame:
+        """As ``browse.json_bundle`` of the stored listings: filters and stats
+        from the kept counts, the page from the months that can match."""
+        return json_bundle(
+            self.read(), params, as_of, self.path,
+            choices=self.facets(), totals=self.stats(as_of), matching=self.matching,
+        )
+
     def stored_keys(self, batch: DataFrame, except_run: str | None = None, only_run: str | None = None) -> DataFrame:
         """Stored keys of ``batch`` (a few others may be among them), without those of one run or of one run only.
 
@@ -157,19 +220,24 @@ class SeenTable:
         attempt = uuid.uuid4().hex
         stored.write.partitionBy("seen_month").parquet(f"{self.path}/rows/attempt={attempt}")
         written = self.spark.read.schema(SEEN_STORED).parquet(f"{self.path}/rows/attempt={attempt}")
-        self._write_keys(written.select("unique_key", F.lit(None).cast("string").alias("origin")), attempt)
-        self._commit(attempt, (run_id, (number or 0) + 1, replace, True, None, None))
+        written = written.withColumn("origin", F.lit(None).cast("string"))
+        self._write_keys(written.select("unique_key", "origin"), attempt)
+        self._write_counts(_value_counts(written), attempt)
+        self._commit(attempt, (run_id, (number or 0) + 1, replace, True, None, None, True, None))
 
     def _write_keys(self, keys: DataFrame, attempt: str) -> None:
         keyed = keys.withColumn("bucket", _bucket()).hint("rebalance", "bucket")
         keyed.write.partitionBy("bucket").parquet(f"{self.path}/keys/attempt={attempt}")
 
+    def _write_counts(self, counts: DataFrame, attempt: str) -> None:
+        counts.hint("rebalance", "field").write.partitionBy("field").parquet(f"{self.path}/counts/attempt={attempt}")
+
     def _commit(self, attempt: str, record: tuple) -> None:
         entry = self.spark.createDataFrame([(*record, datetime.now())], _WRITTEN)
         entry.coalesce(1).write.parquet(f"{self.path}/commits/attempt={attempt}")
 
     def compact(self, before: date) -> bool:
-        """Rewrite the months before that of ``before``, and the key index, into one attempt; False if there is nothing to gain.
+        """Rewrite the months before that of ``before``, the key index and the counts into one attempt; False if there is nothing to gain.
 
         Only months that lie in several attempts are rewritten.  A crash before
         the commit leaves files that never count, and one after it files that
@@ -189,20 +257,29 @@ class SeenTable:
         moved = rows.where(F.col("seen_month").isin(split)).select(*SEEN.names, "origin", "seen_month")
         moved.hint("rebalance", "seen_month").write.partitionBy("seen_month").parquet(f"{self.path}/rows/attempt={attempt}")
         self._write_keys(keys.select("unique_key", "origin"), attempt)
-        self._commit(attempt, (None, None, None, True, [p for p in parts if p[1] in split], indexed))
+        self._write_counts(self._counts(commits, live), attempt)
+        held = commits.where("run_id IS NOT NULL OR counts").select("attempt")
+        held = held.join(commits.select(F.explode("retired_counts").alias("attempt")), "attempt", "left_anti")
+        counted = sorted(r["attempt"] for r in held.collect())
+        self._commit(attempt, (None, None, None, True, [p for p in parts if p[1] in split], indexed, True, counted))
         return True
 
     def vacuum(self, before: datetime) -> int:
-        """Delete the parts that compactions committed before that time have retired; returns how many.
+        """Delete the parts that compactions committed before that time have
+        retired; returns how many parts of rows and index, their counts aside.
 
         Readers that were opened before such a compaction must have ended.
         """
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        old = self._commits().where(F.col("at") < F.lit(before)).select("retired", "retired_keys").collect()
+        old = self._commits().where(F.col("at") < F.lit(before)).select("retired", "retired_keys", "retired_counts").collect()
         folders = [f"rows/attempt={p['attempt']}/seen_month={p['seen_month']}" for r in old for p in r["retired"] or ()]
         folders += [f"keys/attempt={a}" for r in old for a in r["retired_keys"] or ()]
-        gone = 0
-        for folder in folders:
+        counts = [f"counts/attempt={a}" for r in old for a in r["retired_counts"] or ()]
+
+        def delete(folder: str) -> bool:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-            gone += bool(path.getFileSystem(conf).delete(path, True))
-        return gone
+            return path.getFileSystem(conf).delete(path, True)
+
+        for folder in counts:
+            delete(folder)
+        return sum(map(delete, folders))

@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from hirelake.operators import browse
 from hirelake.operators.keyfilter import filter_bits, key_filter, may_hold
 from hirelake.schema import SEEN, Preferences, Profile
 from hirelake.session import fresh_path
@@ -167,3 +168,87 @@ def test_counters_of_a_run(spark, listings, table):
     assert lost.sources().first()[0] == "y: 2"
     # The landed listings are not needed for any counter, only for the reasons.
     assert "Scan ExistingRDD" not in plan(first.counters())
+
+
+# --- kept counts ---------------------------------------------------------------
+
+
+def listed(spark, *given, at="2026-03-10"):
+    """Rows of (key, company, location)."""
+    schema = "unique_key string, company string, location string"
+    named = spark.createDataFrame(list(given), schema)
+    return rows(spark, *[g[0] for g in given], at=at).drop("company", "location").join(named, "unique_key").select(*SEEN.names)
+
+
+def agree(table, as_of="2026-03-10T08:00:00"):
+    """Kept counts say what a scan of the rows says."""
+    seen = table.read()
+    assert table.stats(as_of).first() == browse.stats(seen, as_of).first()
+    kept, scanned = (sorted(map(tuple, df.collect())) for df in (table.facets(), browse.facets(seen)))
+    assert kept == scanned
+    return table.stats(as_of).first().asDict()
+
+
+def test_kept_counts_follow_appends_replays_and_replacement(spark, table):
+    assert agree(table) == {"total_seen": 0, "added_today": 0, "unique_companies": 0}
+    first = listed(spark, ("a", "Acme", "Oslo"), ("b", "acme", " "), ("c", None, None), ("d", "", "Oslo"))
+    table.append(first, "r1")
+    assert agree(table) == {"total_seen": 4, "added_today": 4, "unique_companies": 3}
+    table.append(first, "r1")
+    table.append(listed(spark, ("e", "Zeta", "Rome"), at="2026-04-01"), "r2")
+    assert agree(table) == {"total_seen": 5, "added_today": 4, "unique_companies": 4}
+    table.append(listed(spark, ("a", "Acme", "Bonn")), "r1", replace=True)
+    assert agree(table) == {"total_seen": 2, "added_today": 1, "unique_companies": 2}
+    assert [r.value for r in table.facets({"location": 1}).collect()] == ["Bonn"]
+
+
+def test_kept_counts_follow_compaction(spark, table):
+    for n, city in enumerate(("Oslo", "Rome", "Oslo")):
+        table.append(listed(spark, (f"k{n}", f"c{n}", city)), f"r{n}")
+    table.append(listed(spark, ("x", "gone", "gone")), "r9")
+    table.append(listed(spark, ("y", "c0", "Rome")), "r9", replace=True)
+    before = agree(table)
+    assert table.compact(date(2026, 5, 1)) and agree(table) == before
+    table.vacuum(datetime.now() + timedelta(days=2))
+    assert agree(table) == before and len({f.path.split("attempt=")[1][:32] for f in files(table, "counts")}) == 1
+    # Runs inside the rewritten counts can still be replaced, and rewritten again.
+    table.append(listed(spark, ("z", "c7", "Bonn")), "r0", replace=True)
+    assert agree(table)["unique_companies"] == 4
+    assert table.compact(date(2026, 5, 1)) and agree(table)["total_seen"] == 4
+
+
+def test_rows_of_a_table_without_counts_are_counted(spark, table):
+    rows(spark, "old").withColumn("seen_month", F.lit("2026-03")).write.partitionBy("seen_month").parquet(f"{table.path}/rows/attempt=a1")
+    entry = spark.createDataFrame([("r0", 1, False)], "run_id string, number long, replaces boolean")
+    entry.write.parquet(f"{table.path}/commits/attempt=a1")
+    assert agree(table)["total_seen"] == 1
+    table.append(listed(spark, ("n", "new", "Rome")), "r1")
+    assert agree(table)["total_seen"] == 2
+    assert table.compact(date(2026, 4, 1)) and agree(table)["total_seen"] == 2
+
+
+def test_kept_counts_read_no_rows(spark, table):
+    table.append(listed(spark, ("a", "Acme", "Oslo")), "r1")
+    for df in (table.stats("2026-03-10"), table.facets()):
+        assert "/counts" in plan(df) and "/rows" not in plan(df)
+    scan = next(line for line in plan(table.stats("2026-03-10")).splitlines() if "/counts" in line)
+    assert "field" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_bundle_from_kept_counts(spark, table):
+    table.append(listed(spark, ("a", "Acme", "Oslo"), ("b", "Beta", "Rome")), "r1")
+    asked = {"q": "acme", "first_seen_from": "2026-03-01"}
+    assert table.bundle(asked, "2026-03-10").first() == browse.json_bundle(table.read(), asked, "2026-03-10", table.path).first()
+
+
+def test_a_crash_before_the_commit_leaves_the_counts(spark, table, monkeypatch):
+    table.append(listed(spark, ("a", "Acme", "Oslo")), "r1")
+
+    def die(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(SeenTable, "_commit", die)
+        with pytest.raises(OSError):
+            table.append(listed(spark, ("b", "Beta", "Rome")), "r2")
+    assert agree(table) == {"total_seen": 1, "added_today": 1, "unique_companies": 1}

@@ -12,6 +12,7 @@ from hirelake.operators import browse as b
 from hirelake.operators.order import with_position
 from hirelake.session import materialize
 from workload.core import SEEN, query, round1_sql, stamp, stamp_sql
+from workload.runs import REWRITTEN, rewritten_table
 
 _TEXTS = ("unique_key", "title", "company", "location", "url", "source")
 _SHOWN_SQL = f"""{', '.join(_TEXTS)}, {stamp_sql('posted_date')} AS posted, {stamp_sql('first_seen')} AS first_seen_at, score"""
@@ -185,6 +186,21 @@ def _(t):
     return b.stats(t.seen, "1999-07-04T09:30:00")
 
 
+_KEPT_SQL = f"WITH {SEEN.replace('seen AS', 'every AS', 1)}, seen AS (SELECT * FROM {REWRITTEN.replace('seen', 'every', 1)})"
+
+
+@query("facets_kept", f"{_KEPT_SQL} " + " UNION ALL ".join(_facet_sql(c, n) for c, n in fixed.FACET_LIMITS.items()))
+def _(t):
+    return rewritten_table(t).facets()
+
+
+@query("stats_kept", f"""{_KEPT_SQL} SELECT count(*) AS total_seen,
+  count(*) FILTER (CAST(first_seen AS DATE) = DATE '1999-07-04') AS added_today,
+  count(DISTINCT company) AS unique_companies FROM seen""")
+def _(t):
+    return rewritten_table(t).stats("1999-07-04T09:30:00")
+
+
 @query("json_bundle", f"""WITH {SEEN}, hit AS (SELECT *, row_number() OVER (ORDER BY {order_sql('score', 'desc')}) AS position
   FROM seen WHERE {_search('gear')})
 SELECT (SELECT count(*) FROM seen) AS total, (SELECT count(*) FROM hit) AS filtered, CAST(30 AS INTEGER) AS items,
