@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hirelake.operators.dedupe import dedupe_in_run, seen_rows
+from hirelake.operators.dedupe import dedupe_in_run, seen_rows, with_key
 from hirelake.operators.filters import filter_listings
 from hirelake.operators.scoring import score_listings
 from hirelake.plans.daily import DailyRun, run_daily
@@ -17,12 +20,42 @@ from hirelake.session import materialize
 from hirelake.store import SeenTable
 
 
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def _query_id(spark: SparkSession, checkpoint: str) -> str:
     """Id of a streaming query, as Spark writes it into the checkpoint."""
     text = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()
     return text[0]
 
 
+def unmet(listings: DataFrame, remember: timedelta) -> DataFrame:
+    """Listings of a stream whose key no earlier micro-batch held, with all copies within the batch.
+
+    Keys stand in streaming state, without their rows, until they have not come
+    for ``remember``; so the state is bounded by the keys of that time.  Copies
+    of a key pass its task as a flow of Arrow batches and are never gathered.
+    """
+    keyed = with_key(listings)
+    keep_ms = max(1, int(remember.total_seconds() * 1000))
+
+    def fresh(_, copies: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        met = state.exists
+        if not met:
+            state.update((True,))
+        state.setTimeoutDuration(keep_ms)
+        for rows in copies:
+            if not met:
+                yield rows
+
+    return keyed.groupBy("unique_key").applyInPandasWithState(
+        fresh, keyed.schema, "met boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
 def start_daily_stream(
     raw: DataFrame,
     table: SeenTable,
@@ -34,6 +67,7 @@ def start_daily_stream(
     checkpoint: str,
     on_run: Callable[[DailyRun], None] | None = None,
     vocab: Vocabulary | None = None,
+    remember: timedelta | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Filter, deduplicate, score and store every micro-batch of ``raw``.
@@ -46,7 +80,18 @@ def start_daily_stream(
     query with a new checkpoint, or another query on the same table, never
     meets the runs of this one.  ``as_of`` may be a function of the batch
     number.  ``on_run`` receives ranked results.
+
+    With ``remember`` the keys that pass the filters are also held in streaming
+    state for that long (see ``unmet``), and what the stream repeats meanwhile
+    is dropped there: it is neither written nor looked up.  The state only
+    spares work; a key it has forgotten is found in the table.  It stands
+    before the batches, so it needs a fixed ``as_of`` and takes no ``on_run``,
+    whose counters are of whole batches.  A checkpoint keeps the choice.
     """
+    if remember is not None:
+        if callable(as_of) or on_run is not None:
+            raise ValueError("remember needs a fixed as_of and no on_run")
+        raw = unmet(filter_listings(raw, prefs, as_of, vocab), remember)
 
     def store(batch: DataFrame, number: int) -> None:
         at = as_of(number) if callable(as_of) else as_of
@@ -54,13 +99,24 @@ def start_daily_stream(
         if on_run is not None:
             on_run(run_daily(batch, table, profile, prefs, at, run_id=run_id, order=order, vocab=vocab))
             return
-        kept = materialize(dedupe_in_run(filter_listings(batch, prefs, at, vocab), order), "batch")
+        wanted = batch if remember is not None else filter_listings(batch, prefs, at, vocab)
+        kept = materialize(dedupe_in_run(wanted, order), "batch")
         scored = score_listings(table.without_stored(kept, run_id), profile, prefs, at, vocab)
         table.append(seen_rows(scored, at), run_id)
 
-    return (
+    writer = (
         raw.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    if remember is None:
+        return writer.start()
+    # Keys may time out at any moment, so Spark would go on with empty batches for ever.
+    # The query keeps the settings it was started with.
+    conf = raw.sparkSession.conf
+    before = conf.get(_EMPTY_BATCHES)
+    conf.set(_EMPTY_BATCHES, "false")
+    try:
+        return writer.start()
+    finally:
+        conf.set(_EMPTY_BATCHES, before)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,8 +177,7 @@ def _(t):
     return _top(daily(t, backfill=True, dry_run=True).top)
 
 
-@query("run_stream", f"WITH {NEW_SCORED} SELECT unique_key, title, total_score AS score FROM scored")
-def _(t):
+def _streamed(t: Tables, **options) -> DataFrame:
     table = stored_table(t)
     # Landed in three parts, the first of which comes again.  An order is in one file, and a batch takes a file a core.
     landing, part = fresh_path(t.spark, "landing"), F.pmod("l_orderkey", F.lit(3))
@@ -189,12 +188,25 @@ def _(t):
     lines = t.listings_of(stream.where(F.col("l_shipdate") >= INCOMING_FROM))
     start_daily_stream(
         lines, table, LINE_PROFILE, LINE_PREFS, LINE_AS_OF, order=LINE_ORDER, vocab=LINE_VOCAB,
-        checkpoint=fresh_path(t.spark, "stream"),
+        checkpoint=fresh_path(t.spark, "stream"), **options,
     ).awaitTermination()
     added = table.read(except_run="history")
     return added.select("unique_key", "title", "score")
 
 
+_STREAMED_SQL = f"WITH {NEW_SCORED} SELECT unique_key, title, total_score AS score FROM scored"
+
+
+@query("run_stream", _STREAMED_SQL)
+def _(t):
+    return _streamed(t)
+
+
+@query("run_stream_state", _STREAMED_SQL)
+def _(t):
+    return _streamed(t, remember=timedelta(days=7))
+
+
 @query("rank_diverse", f"""WITH {LINE}, {first_sql('kept', 'line')}, {line_scored_sql('kept')}, {ranked_sql('top', 'scored', 250)}
 SELECT {', '.join(_SHOWN)} FROM top""")
 def _(t):
