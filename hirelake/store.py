@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date, datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -21,6 +23,8 @@ from hirelake.schema import SEEN, SEEN_STORED
 _MONTH = "yyyy-MM"
 #: Folders of the key index; part of the layout, so never changed for a table.
 KEY_BUCKETS = 64
+#: Rows of a month that one task of a compaction rewrites.
+MONTH_TASK_ROWS = 1_000_000
 _WRITTEN = ("run_id string, number long, replaces boolean, keys boolean, "
             "retired array<struct<attempt:string,seen_month:string>>, retired_keys array<string>, "
             "counts boolean, retired_counts array<string>, at timestamp")
@@ -246,16 +250,17 @@ class SeenTable:
         commits = self._commits()
         live = self._live(commits)
         rows = self._rows(commits, live).where(F.col("seen_month") < f"{before:%Y-%m}")
-        parts = [(r["attempt"], r["seen_month"]) for r in rows.select("attempt", "seen_month").distinct().collect()]
-        months = [m for _, m in parts]
-        split = sorted({m for m in months if months.count(m) > 1})
+        sizes = rows.groupBy("attempt", "seen_month").agg(F.count("*").alias("rows")).collect()
+        parts = [(r["attempt"], r["seen_month"]) for r in sizes]
+        listed = Counter(m for _, m in parts)
+        split = {m: sum(r["rows"] for r in sizes if r["seen_month"] == m) for m in sorted(listed) if listed[m] > 1}
         keys = self._keys(commits, live)
         indexed = sorted(r["attempt"] for r in keys.select("attempt").distinct().collect())
         if not split and len(indexed) < 2:
             return False
         attempt = uuid.uuid4().hex
-        moved = rows.where(F.col("seen_month").isin(split)).select(*SEEN.names, "origin", "seen_month")
-        moved.hint("rebalance", "seen_month").write.partitionBy("seen_month").parquet(f"{self.path}/rows/attempt={attempt}")
+        if split:
+            self._gathered(parts, split, live).write.partitionBy("seen_month").parquet(f"{self.path}/rows/attempt={attempt}")
         self._write_keys(keys.select("unique_key", "origin"), attempt)
         self._write_counts(self._counts(commits, live), attempt)
         held = commits.where("run_id IS NOT NULL OR counts").select("attempt")
@@ -264,6 +269,22 @@ class SeenTable:
         self._commit(attempt, (None, None, None, True, [p for p in parts if p[1] in split], indexed, True, counted))
         return True
 
+    def _gathered(self, parts: list[tuple[str, str]], split: Mapping[str, int], live: DataFrame) -> DataFrame:
+        """Rows of the months in ``split``, which has their numbers of rows.
+
+        A month lies in folders of its own, so its files are read together and
+        written by a few tasks: no row is shuffled.
+        """
+        rows = self._folder("rows", SEEN_STORED)
+
+        def month(name: str) -> DataFrame:
+            attempts = [a for a, m in parts if m == name]
+            of_month = rows.where((F.col("seen_month") == name) & F.col("attempt").isin(attempts))
+            return of_month.coalesce(1 + split[name] // MONTH_TASK_ROWS)
+
+        every = reduce(DataFrame.union, [month(m) for m in split])
+        return self._of_origin(every, live).select(*SEEN.names, "origin", "seen_month")
+
     def vacuum(self, before: datetime) -> int:
         """Delete the parts that compactions committed before that time have
         retired; returns how many parts of rows and index, their counts aside.

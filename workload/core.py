@@ -68,6 +68,13 @@ def stamp(column) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
 
+_TEXT_PARTS = ("p_type", "p_name", "p_brand", "s_name", "n_name", "r_name")
+
+
+def _job_id() -> Column:
+    return F.concat("l_orderkey", F.lit("-"), "l_linenumber")
+
+
 class Tables:
     """The given tables and the views built from them.  All views are lazy."""
 
@@ -80,33 +87,56 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def listings_of(self, lineitem: DataFrame) -> DataFrame:
-        """Order lines as listings; lines with equal keys are duplicates."""
-        places = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    def _keyed(self, lineitem: DataFrame) -> DataFrame:
+        return lineitem.withColumn("unique_key", F.concat(F.lower("l_returnflag"), F.lit(":"), _job_id()))
+
+    def _joined(self, lines: DataFrame, of: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+        places = of(self.nation, "n_nationkey").join(of(self.region, "r_regionkey"), F.col("n_regionkey") == F.col("r_regionkey"))
         return (
-            lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            lines.join(of(self.part, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(of(self.supplier, "s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(
-                *lineitem.columns,
-                F.concat("p_type", F.lit(" "), "p_name").alias("title"),
-                F.col("s_name").alias("company"),
-                F.concat("n_name", F.lit(", "), "r_name").alias("location"),
-                F.concat(F.lit("https://example.org/j/"), "l_orderkey").alias("url"),
-                F.concat(
-                    "p_brand", F.lit(" "), "p_name", F.lit(" needs "),
-                    F.col("l_quantity").cast("int"), F.lit("+ years of work experience"),
-                ).alias("description"),
-                F.lower("l_returnflag").alias("source"),
-                F.col("l_shipdate").cast("timestamp").alias("posted_date"),
-                F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("job_id"),
-                F.when(F.col("l_linenumber") == 1, F.lit(0))
-                .when(F.col("l_linenumber") == 2, F.lit(3))
-                .alias("yoe_required"),
-            )
-            .withColumn("unique_key", F.concat("source", F.lit(":"), "job_id"))
+            .select(*lines.columns, *_TEXT_PARTS)
+        )
+
+    def known_lines(self, lineitem: DataFrame) -> DataFrame:
+        """Order lines that make a listing, with its key and without its texts."""
+        nations = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+        suppliers = self.supplier.join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+        lines = lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+        return self._keyed(lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi"))
+
+    def listings_of_first(self, first: DataFrame) -> DataFrame:
+        """Listings of ``known_lines`` whose keys are distinct: one each, also where a part or supplier comes twice."""
+        return self.listed(self._joined(first, lambda table, key: table.dropDuplicates([key])))
+
+    @staticmethod
+    def listed(joined: DataFrame) -> DataFrame:
+        """Joined lines as listings.  Their texts are long, so they are made after rows have moved."""
+        others = [c for c in joined.columns if c not in (*_TEXT_PARTS, "unique_key")]
+        return joined.select(
+            *others,
+            F.concat("p_type", F.lit(" "), "p_name").alias("title"),
+            F.col("s_name").alias("company"),
+            F.concat("n_name", F.lit(", "), "r_name").alias("location"),
+            F.concat(F.lit("https://example.org/j/"), "l_orderkey").alias("url"),
+            F.concat(
+                "p_brand", F.lit(" "), "p_name", F.lit(" needs "),
+                F.col("l_quantity").cast("int"), F.lit("+ years of work experience"),
+            ).alias("description"),
+            F.lower("l_returnflag").alias("source"),
+            F.col("l_shipdate").cast("timestamp").alias("posted_date"),
+            _job_id().alias("job_id"),
+            F.when(F.col("l_linenumber") == 1, F.lit(0))
+            .when(F.col("l_linenumber") == 2, F.lit(3))
+            .alias("yoe_required"),
+            "unique_key",
         )
 
+    def listings_of(self, lineitem: DataFrame) -> DataFrame:
+        """Order lines as listings; lines with equal keys are duplicates."""
+        return self.listed(self._joined(self._keyed(lineitem), lambda table, _: table))
+
     @cached_property
     def line(self) -> DataFrame:
         return self.listings_of(self.lineitem)
@@ -144,9 +174,9 @@ class Tables:
     def seen(self) -> DataFrame:
         """Stored listings: the first copy of every key shipped before 2000,
         some without a date or a score."""
-        old = self.line.where(F.col("l_shipdate") < SEEN_BEFORE)
+        old = self.known_lines(self.lineitem.where(F.col("l_shipdate") < SEEN_BEFORE))
         days = F.make_dt_interval(F.col("l_linenumber"))
-        return first_per(old, ["unique_key"], LINE_ORDER).select(
+        return self.listings_of_first(first_per(old, ["unique_key"], LINE_ORDER)).select(
             "unique_key", "title", "company", "location", "url", "source",
             F.when(F.col("l_linenumber") != 7, F.col("posted_date")).alias("posted_date"),
             (F.col("posted_date") + days).alias("first_seen"),

@@ -153,11 +153,13 @@ REWRITTEN = "seen WHERE NOT (source = 'n' AND unique_key LIKE '%1')"
 def rewritten_table(t: Tables) -> SeenTable:
     """Two runs over the same months, rewritten; then one of them is replaced, repeated and rewritten."""
     table = SeenTable(t.spark, fresh_path(t.spark, "seen"))
+    # Four appends read the listings; they are joined and deduplicated once.
+    seen = materialize(t.seen, "listings")
     late = F.col("source") == "n"
-    table.append(t.seen.where(~late), "first", rebalance=True)
-    table.append(t.seen.where(late), "second", rebalance=True)
+    table.append(seen.where(~late), "first", rebalance=True)
+    table.append(seen.where(late), "second", rebalance=True)
     table.compact(date(2030, 1, 1))
-    fewer = t.seen.where(late & ~F.col("unique_key").endswith("1"))
+    fewer = seen.where(late & ~F.col("unique_key").endswith("1"))
     table.append(fewer, "second", rebalance=True, replace=True)
     table.append(fewer, "second", rebalance=True)
     table.compact(date(2030, 1, 1))
