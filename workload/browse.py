@@ -94,8 +94,11 @@ _SORTS = [(sort, direction) for sort in fixed.SORT_FIELDS for direction in ("asc
     FROM seen)""" for s, d in _SORTS))
 def _(t):
     seen = materialize(t.seen, "seen")
+    # A sort moves the columns it looks at, and of those only the key is kept.
     pages = [
-        with_position(b.sort_jobs(seen, s, d), b.sort_order(s, d)).select(
+        with_position(
+            b.sort_jobs(seen.select(*dict.fromkeys([*b.ORDERING, s])), s, d), b.sort_order(s, d), keep=["unique_key"]
+        ).select(
             F.lit(s).alias("sort"), F.lit(d).alias("direction"), "position", "unique_key"
         )
         for s, d in _SORTS
