@@ -212,7 +212,7 @@ def _(t):
 @query("rank_diverse", f"""WITH {LINE}, {first_sql('kept', 'line')}, {line_scored_sql('kept')}, {ranked_sql('top', 'scored', 250)}
 SELECT {', '.join(_SHOWN)} FROM top""")
 def _(t):
-    kept = d.dedupe_in_run(t.line, LINE_ORDER)
+    kept = t.listings_of_first(d.dedupe_in_run(t.known_lines(t.lineitem), LINE_ORDER))
     scored = score_listings(kept, LINE_PROFILE, LINE_PREFS, LINE_AS_OF, LINE_VOCAB)
     return rank_diverse(scored, 250, vocab=LINE_VOCAB).select(*_SHOWN)
 
