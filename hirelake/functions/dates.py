@@ -57,8 +57,10 @@ def _from_millis(value: Column) -> Column:
 
 def _from_month_name(text: Column) -> Column:
     text = F.trim(text)
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit(LONG_MONTH)), F.try_to_timestamp(text, F.lit(SHORT_MONTH))
+    short = F.try_to_timestamp(text, F.lit(SHORT_MONTH))
+    # A failing parse costs far more than this test, and "May" is the one name that has three letters in full.
+    return F.when(text.rlike("^[A-Za-z]{3} "), short).otherwise(
+        F.coalesce(F.try_to_timestamp(text, F.lit(LONG_MONTH)), short)
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from hirelake.schema import LISTING
 
 BAD = "_bad"
+_BRACKET = r"^[\s\x{feff}]*[{\[]"
 
 
 def array_at(path: Sequence[str]) -> T.DataType:
@@ -36,7 +37,8 @@ def split_records(raw: DataFrame, path: Sequence[str], schema: str) -> DataFrame
     full = T.StructType.fromDDL(schema).add(BAD, T.StringType())
 
     def read(text: Column) -> Column:
-        record = F.from_json(text, full, {"columnNameOfCorruptRecord": BAD})
+        # Only an object or array can hold a record; a failing parse costs far more than this test.
+        record = F.when(text.rlike(_BRACKET), F.from_json(text, full, {"columnNameOfCorruptRecord": BAD}))
         return F.struct(text.alias("record_text"), record.alias("record"))
 
     others = [c for c in raw.columns if c != "payload"]
