@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ INDEX_ROWS = 2048
 GRID = 16
 #: Bytes of surroundings one bucket is meant to hold.
 BUCKET_BYTES = 1 << 20
+#: Bytes of texts whose anchors are looked for at once.
+SCAN_BYTES = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,10 +56,15 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return hashes
 
 
-def anchor_places(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchor_places(
+    hashes: np.ndarray, width: int, ends: np.ndarray | None = None, short: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the leftmost smallest hash of every ``width`` neighbouring ones.
 
     With each place the first and the last start of the windows it belongs to.
+    Where several texts lie side by side, ``ends`` has their ends, and the last
+    ``short`` hashes of a text are not its own; windows with other than a text's
+    own hashes don't count.
     """
     least, span = hashes, 1
     while 2 * span <= width:
@@ -64,23 +72,61 @@ def anchor_places(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
         span *= 2
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    ends = np.array([len(hashes)]) if ends is None else ends
+    heads, tails = np.r_[0, ends[:-1]], ends - short - width
+    inside = np.zeros(len(least) + 1, np.int64)
+    inside[heads] += 1
+    np.subtract.at(inside, tails + 1, 1)
+    inside = np.cumsum(inside)[:-1] > 0
     fresh = np.ones(len(least), bool)
     fresh[1:] = (least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1])
+    fresh[heads] = True
     found, windows = [], np.lib.stride_tricks.sliding_window_view(hashes, width)
-    starts = np.flatnonzero(fresh)
+    starts = np.flatnonzero(fresh & inside)
     for at in range(0, len(starts), 4096):
         part = starts[at : at + 4096]
         found.append(part + windows[part].argmin(axis=1))
     places = np.concatenate(found)
     own = np.r_[True, places[1:] != places[:-1]]
     lows = starts[own]
-    return places[own], lows, np.r_[lows[1:] - 1, len(least) - 1]
+    # A place's windows end before those of the next place, and with its text.
+    last = tails[np.searchsorted(ends, lows, side="right")]
+    return places[own], lows, np.minimum(np.r_[lows[1:] - 1, len(least) - 1], last)
 
 
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+def _groups(sizes: np.ndarray, most: int) -> Iterator[range]:
+    """Neighbouring rows of ``most`` bytes together, or one row that is larger."""
+    at, held = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > at and held + size > most:
+            yield range(at, row)
+            at, held = row, 0
+        held += size
+    if at < len(sizes):
+        yield range(at, len(sizes))
+
+
+def _anchors_of(keys: pa.Array, raw: bytes, sizes: np.ndarray, length: int) -> pa.RecordBatch:
+    """Anchors of the texts of ``sizes`` bytes, ``length`` at least, that make up ``raw``."""
+    hashes = gram_hashes(np.frombuffer(raw, np.uint8))
+    ends = np.cumsum(sizes)
+    # A text's last hashes would read the next text, but the whole's last ones are not there.
+    places, lows, highs = anchor_places(hashes, length - GRAM + 1, ends, GRAM - 1)
+    view = memoryview(raw)
+    around = [xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(lows.tolist(), highs.tolist())]
+    text = np.searchsorted(ends, places, side="right")
+    return pa.RecordBatch.from_arrays(
+        [keys.take(pa.array(text)), pa.array((places - (ends - sizes)[text]).astype(np.int32)),
+         pa.array((lows - places).astype(np.int32)), pa.array((highs - places).astype(np.int32)),
+         pa.array(hashes[places].view(np.int64)), _signed(around)],
+        ["key", "place", "low", "high", "anchor", "around"],
+    )
+
+
 def anchors(docs: DataFrame, text: str, length: int) -> DataFrame:
     """Every anchor of every row's text and the first and last start of its strings.
 
@@ -89,21 +135,11 @@ def anchors(docs: DataFrame, text: str, length: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, body in zip(batch.column(0), batch.column(1)):
-                raw = body.as_buffer()
-                data = np.frombuffer(raw, np.uint8)
-                if len(data) < length:
-                    continue
-                hashes = gram_hashes(data)
-                places, lows, highs = anchor_places(hashes, length - GRAM + 1)
-                view = memoryview(raw)
-                around = [xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(lows.tolist(), highs.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key.as_py()] * len(places), pa.binary()), pa.array(places.astype(np.int32)),
-                     pa.array((lows - places).astype(np.int32)), pa.array((highs - places).astype(np.int32)),
-                     pa.array(hashes[places].view(np.int64)), _signed(around)],
-                    ["key", "place", "low", "high", "anchor", "around"],
-                )
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            # Texts are looked at side by side, a bounded number of bytes at a time or one larger text.
+            for rows in _groups(sizes, SCAN_BYTES):
+                part = batch.slice(rows.start, len(rows))
+                yield _anchors_of(part.column(0), b"".join(part.column(1).to_pylist()), sizes[rows.start : rows.stop], length)
 
     rows = docs.select(text_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
     return rows.where(F.length("body") >= length).mapInArrow(

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hirelake.llm import repeats
@@ -48,3 +49,19 @@ def test_texts_after_removal(spark):
 
 def test_no_rows(nothing):
     assert repeats.repeated_bytes(nothing).count() == 0
+
+
+def test_texts_side_by_side_have_the_anchors_they_have_alone():
+    """The scan took each text by itself, however short."""
+    rng = np.random.default_rng(4)
+    sizes = [400, 400, 527, 900, 401, 3000, 40_000, 400]
+    texts = [bytes(rng.integers(97, 97 + (2 if n % 2 else 9), n, np.uint8)) for n in sizes] + [b"x" * 700, b"x" * 700]
+    keys = pa.array([b"%d" % n for n in range(len(texts))], pa.binary())
+    together = repeats._anchors_of(keys, b"".join(texts), np.array([len(t) for t in texts]), 400).to_pylist()
+    alone = [
+        row for n, t in enumerate(texts) for row in repeats._anchors_of(keys.slice(n, 1), t, np.array([len(t)]), 400).to_pylist()
+    ]
+    assert together == alone
+    starts = [sum(r["high"] - r["low"] + 1 for r in together if r["key"] == k.as_py()) for k in keys]
+    assert starts == [len(t) - 399 for t in texts]
+    assert [list(g) for g in repeats._groups(np.array([3, 4, 9, 1, 1]), 7)] == [[0, 1], [2], [3, 4]]
