@@ -126,16 +126,18 @@ MONTH_NAME = (
     r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?"
     r"|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 )
+# From its first digit; a month before it changes nothing.
 YEAR_RANGE = (
-    rf"(?:{MONTH_NAME}\s+)?(\d{{4}})\s*[-–—]+\s*"
-    rf"(?:(?:{MONTH_NAME}\s+)?(\d{{4}})|([Pp]resent|[Cc]urrent|[Nn]ow))"
+    r"\d{4}\s*[-–—]+\s*"
+    rf"(?:(?:{MONTH_NAME}\s+)?\d{{4}}|[Pp]resent|[Cc]urrent|[Nn]ow)"
 )
 NON_WORK_SECTION = (
     r"(education|university|college|school|degree|bachelor|master|phd|"
     r"intern(?:ship)?|project|personal|academic|certification|volunteer|"
     r"extracurricular|coursework|award|honor|fellowship)"
 )
-INTERN_WORD = r"\bintern\b"
+# The letters are looked for before the boundary in front of them, which is dear to test.
+INTERN_WORD = r"intern\b(?<=\bintern)"
 SECTION_HEADER_BELOW = 60
 SECTION_RESET_BELOW = 40
 FIRST_WORK_YEAR = 1990

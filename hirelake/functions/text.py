@@ -18,6 +18,8 @@ from hirelake import fixed
 # Whitespace as text tools usually see it: Unicode spaces plus the four
 # information separators, which Java's class leaves out.
 SPACE_RUN = "(?U)[\\s\x1c-\x1f]+"
+# The same characters one by one.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 TAG = "<[^>]+>"
 _NON_ASCII = r"([^\x00-\x7F])"
 

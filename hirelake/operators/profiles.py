@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hirelake import fixed
 from hirelake.functions.places import WORD_MARKER_CHARS
-from hirelake.functions.text import SPACE_RUN
+from hirelake.functions.text import SPACE_RUN, SPACES
 from hirelake.functions.titles import digits_to_int
 from hirelake.functions.words import bind, captures, quote
 
@@ -44,22 +44,31 @@ def explicit_years(text: Column, patterns: Iterable[str] = fixed.EXPLICIT_YEARS)
     return digits_to_int(F.coalesce(*first))
 
 
+#: A range of years is one number, its first year times this plus its last.
+_SPAN = 10_000
+
+
 def _year_ranges(line: Column, current_year: int) -> Column:
     """Year ranges of one line; an open range ends in the current year."""
-    starts = F.regexp_extract_all(line, F.lit(fixed.YEAR_RANGE), F.lit(1))
-    ends = F.regexp_extract_all(line, F.lit(fixed.YEAR_RANGE), F.lit(2))
-    ranges = F.zip_with(
-        starts,
-        ends,
-        lambda a, b: F.struct(
-            a.cast("int").alias("a"),
-            F.coalesce(F.nullif(b, F.lit("")).cast("int"), F.lit(current_year)).alias("b"),
-        ),
-    )
-    return F.filter(
-        ranges,
-        lambda r: (r["a"] >= fixed.FIRST_WORK_YEAR) & (r["a"] <= r["b"]) & (r["b"] <= current_year),
-    )
+    found = F.regexp_extract_all(line, F.lit(fixed.YEAR_RANGE), F.lit(0))
+
+    # A range starts with its first year and ends with its last or with a word.
+    def span(r: Column) -> Column:
+        last = F.when(F.right(r, F.lit(1)) <= "9", F.right(r, F.lit(4)).cast("int")).otherwise(F.lit(current_year))
+        return F.left(r, F.lit(4)).cast("int") * _SPAN + last
+
+    def counts(r: Column) -> Column:
+        return (r >= fixed.FIRST_WORK_YEAR * _SPAN) & (_first(r) <= _last(r)) & (_last(r) <= current_year)
+
+    return F.filter(F.transform(found, span), counts)
+
+
+def _first(r: Column) -> Column:
+    return F.floor(r / _SPAN).cast("int")
+
+
+def _last(r: Column) -> Column:
+    return r % _SPAN
 
 
 def work_years(text: Column, current_year: int) -> Column:
@@ -70,22 +79,23 @@ def work_years(text: Column, current_year: int) -> Column:
     what follows.  Overlapping ranges are merged before they are summed.
     """
 
-    def outside(line: Column) -> Column:
-        """Whether the line opens (true) or ends (false) an excluded part."""
-        size = F.length(line)
-        header = (size > 0) & (size < fixed.SECTION_HEADER_BELOW) & ~line.rlike(r"(?U)\d{4}")
-        return (
-            F.when(header & line.rlike("(?iU)" + fixed.NON_WORK_SECTION), F.lit(True))
-            .when(line.rlike("(?iU)" + fixed.INTERN_WORD), F.lit(True))
-            .when((size < fixed.SECTION_RESET_BELOW) & header, F.lit(False))
-        )
+    nothing = F.array().cast("array<int>")
 
-    nothing = F.array().cast("array<struct<a:int,b:int>>")
+    def headed(line: Column) -> Column:
+        """Whether a line without a year opens (true) or ends (false) an excluded part."""
+        return bind(
+            F.length(F.btrim(line, F.lit(SPACES))),
+            lambda size: F.when(
+                (size > 0) & (size < fixed.SECTION_HEADER_BELOW) & line.rlike("(?iU)" + fixed.NON_WORK_SECTION), F.lit(True)
+            ).when((size > 0) & (size < fixed.SECTION_RESET_BELOW), F.lit(False)),
+        )
 
-    def read(line: Column) -> Column:
-        dated = line.rlike(r"\d{4}\s*[-–—]")
-        ranges = F.when(dated, _year_ranges(line, current_year)).otherwise(nothing)
-        return F.struct(outside(line).alias("outside"), ranges.alias("ranges"))
+    def read(line: Column, interned: Column) -> Column:
+        # Few texts name an intern, and lines with a year are no headers: most lines take two or three tests.
+        dated = line.rlike(r"\d{4}") | line.rlike(r"(?U)\d{4}")
+        outside = F.when(interned & line.rlike("(?iU)" + fixed.INTERN_WORD), F.lit(True)).when(~dated, headed(line))
+        ranges = F.when(line.rlike(r"\d{4}\s*[-–—]"), _year_ranges(line, current_year)).otherwise(nothing)
+        return F.struct(outside.alias("outside"), ranges.alias("ranges"))
 
     def collect(acc: Column, line: Column) -> Column:
         skip = F.coalesce(line["outside"], acc["outside"])
@@ -94,19 +104,21 @@ def work_years(text: Column, current_year: int) -> Column:
         return F.struct(skip.alias("outside"), kept.alias("ranges"))
 
     def cover(acc: Column, r: Column) -> Column:
-        gained = F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], acc["until"]))
-        return F.struct(
-            (acc["years"] + gained).alias("years"), F.greatest(acc["until"], r["b"]).alias("until")
-        )
+        """Years covered times _SPAN plus the last year reached, over ranges in order."""
+        gained = F.greatest(F.lit(0), _last(r) - F.greatest(_first(r), _last(acc)))
+        return acc + gained * _SPAN + F.greatest(F.lit(0), _last(r) - _last(acc))
 
     def total(ranges: Column) -> Column:
-        nobody = F.struct(F.lit(0).alias("years"), F.lit(0).alias("until"))
-        merged = F.aggregate(ranges, nobody, cover, lambda acc: acc["years"])
-        return F.when(F.size(ranges) > 0, merged)
+        return F.when(F.size(ranges) > 0, F.aggregate(ranges, F.lit(0), cover, _first))
 
     start = F.struct(F.lit(False).alias("outside"), nothing.alias("ranges"))
-    lines = F.transform(F.transform(F.split(text, "\n"), strip), read)
-    ranges = F.aggregate(lines, start, collect, lambda acc: F.array_sort(acc["ranges"]))
+    ranges = bind(
+        text.rlike("(?iU)" + fixed.INTERN_WORD),
+        lambda interned: F.aggregate(
+            F.transform(F.split(text, "\n"), lambda line: read(line, interned)),
+            start, collect, lambda acc: F.sort_array(acc["ranges"]),
+        ),
+    )
     return F.when(text.rlike(fixed.YEAR_RANGE), bind(ranges, total))
 
 
