@@ -124,9 +124,17 @@ class SeenTable:
         if seen_to:
             rows = rows.where(F.col("seen_month") <= f"{seen_to:%Y-%m}")
         gone = commits.select(F.inline("retired"))
-        rows = rows.join(commits.select("attempt"), "attempt", "left_semi").join(gone, ["attempt", "seen_month"], "left_anti")
+        rows = rows.join(self._holding(commits, live), "attempt", "left_semi").join(gone, ["attempt", "seen_month"], "left_anti")
         return self._of_origin(rows, live)
 
+    @staticmethod
+    def _holding(commits: DataFrame, live: DataFrame) -> DataFrame:
+        """Attempts that can hold parts of those in ``live``: themselves, and compactions, whose parts have other origins.
+
+        Parts of other attempts are not read: the folder's name prunes them.
+        """
+        return live.select("attempt").union(commits.where("run_id IS NULL").select("attempt"))
+
     @staticmethod
     def _of_origin(rows: DataFrame, live: DataFrame) -> DataFrame:
         rows = rows.withColumn("origin", F.coalesce("origin", "attempt"))
@@ -138,7 +146,7 @@ class SeenTable:
         if buckets is not None:
             keys = keys.where(F.col("bucket").isin(buckets))
         gone = commits.select(F.explode("retired_keys").alias("attempt"))
-        keys = keys.join(commits.select("attempt"), "attempt", "left_semi").join(gone, "attempt", "left_anti")
+        keys = keys.join(self._holding(commits, live).join(gone, "attempt", "left_anti"), "attempt", "left_semi")
         keys = self._of_origin(keys, live).select("unique_key", "origin", "attempt")
         bare = commits.where("run_id IS NOT NULL AND keys IS NULL").select("attempt").join(gone, "attempt", "left_anti")
         if bare.isEmpty():
@@ -150,7 +158,7 @@ class SeenTable:
         """(origin, field, value, rows) of the kept counts, and of rows stored without them."""
         gone = commits.select(F.explode("retired_counts").alias("attempt"))
         kept = self._folder("counts", _COUNTS)
-        kept = kept.join(commits.select("attempt"), "attempt", "left_semi").join(gone, "attempt", "left_anti")
+        kept = kept.join(self._holding(commits, live).join(gone, "attempt", "left_anti"), "attempt", "left_semi")
         counts = self._of_origin(kept, live).select("origin", "field", "value", "rows")
         bare = commits.where("run_id IS NOT NULL AND counts IS NULL").select("attempt").join(gone, "attempt", "left_anti")
         if bare.isEmpty():

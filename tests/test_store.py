@@ -267,3 +267,26 @@ def test_compaction_shuffles_no_rows(spark, table):
     assert "REBALANCE" not in text and "hashpartitioning(seen_month" not in text and "SortMergeJoin" not in text
     before = held(table.read())
     assert table.compact(date(2027, 1, 1)) and held(table.read()) == before and len(before) == 6
+
+
+def test_the_rows_of_an_excepted_run_are_not_read(spark, table):
+    table.append(rows(spark, *(f"k{i}" for i in range(500))), "history")
+    table.append(rows(spark, "new"), "today")
+    added = table.read(except_run="history")
+    scan = next(line for line in plan(added).splitlines() if "FileScan parquet" in line and "/rows" in line)
+    assert "dynamicpruning" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert held(added) == ["new"]
+    # Rows that a compaction has taken in are still found by their run.
+    table.compact(date(2030, 1, 1))
+    assert held(table.read(except_run="history")) == ["new"] and len(held(table.read(except_run="today"))) == 500
+
+
+def test_a_filter_is_tested_without_making_texts(spark):
+    keys = spark.range(3).select(F.col("id").cast("string").alias("k"))
+    places = {r.p for r in keys.select(F.pmod(F.xxhash64("k"), F.lit(1 << 16)).alias("p")).collect()}
+    held_bits = set()
+    for row in key_filter(keys, "k", 1 << 16).collect():
+        for i, word in enumerate(row.held):
+            for at, byte in enumerate((word & (1 << 64) - 1).to_bytes(8, "big")):
+                held_bits |= {(row.block - 1) * 32768 + i * 64 + at * 8 + b + 1 for b in range(8) if byte >> b & 1}
+    assert held_bits == places and "decode" not in plan(may_hold(keys, "k", key_filter(keys, "k", 1 << 16), 1 << 16))

@@ -1,6 +1,6 @@
 """Keys of a stream held in its state, ahead of the seen table."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import listing
@@ -140,3 +140,21 @@ def test_rows_pass_the_state_as_one_column(spark):
     assert set(passed.columns) == {*LISTING.names, "unique_key"}
     plan = passed._jdf.queryExecution().analyzed().toString()
     assert " AS row#" in plan
+
+
+@pytest.mark.parametrize("remember", [None, LONG])
+def test_filters_stand_ahead_of_the_batches(spark, land, remember):
+    folder, add = land
+    table, checkpoint = Watched(spark, fresh_path(spark, "seen")), fresh_path(spark, "stream")
+    old, new = datetime(2020, 1, 1), datetime(2026, 3, 9)
+    add(job(1, posted_date=new), job(2, posted_date=old), job(3, company="Bad"), job(4))
+    stream = spark.readStream.schema(LISTING).parquet(folder)
+    query = start_daily_stream(
+        stream, table, Profile(), Preferences(excluded_companies=("bad",)), "2026-03-10", order=ORDER,
+        checkpoint=checkpoint, remember=remember,
+    )
+    query.awaitTermination()
+    # The batch is cut off from this plan, so only what stands ahead of it reaches the scan.
+    pushed = query._jsq.explainInternal(False).split("PushedFilters: [")[1].split("]")[0]
+    assert "posted_date" in pushed
+    assert looked == [["s:1", "s:4"]] and [k for k, _ in stored(table)] == ["s:1", "s:4"]

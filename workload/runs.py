@@ -184,8 +184,16 @@ def _streamed(t: Tables, **options) -> DataFrame:
     # Landed in three parts, the first of which comes again.  An order is in one file, and a batch takes a file a core.
     landing, part = fresh_path(t.spark, "landing"), F.pmod("l_orderkey", F.lit(3))
     files = t.spark.sparkContext.defaultParallelism
-    for n in (0, 1, 2, 0):
+
+    def land(n: int) -> None:
         t.lineitem.where(part == n).repartition(files, "l_orderkey").write.mode("append").parquet(landing)
+
+    land(0)
+    # The files of the first part alone: what is landed later is not among them.
+    first = t.spark.read.schema(t.lineitem.schema).parquet(landing)
+    land(1)
+    land(2)
+    first.coalesce(files).write.mode("append").parquet(landing)
     stream = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", files).parquet(landing)
     lines = t.listings_of(stream.where(F.col("l_shipdate") >= INCOMING_FROM))
     start_daily_stream(
