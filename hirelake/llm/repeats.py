@@ -10,6 +10,9 @@ distinct ones of an anchor meet in one bounded bucket.  Its
 Burrows-Wheeler transform is kept as runs with the suffix positions at the run
 ends; from these samples alone the longest match of every position with any
 other is streamed over the text, and matches of ``length`` bytes are marked.
+
+Passages of words go the same way at the same time, with the 64-bit hashes of
+the words in place of bytes; the lowest bit of an anchor tells the two apart.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import carry, small_batches, text_key
@@ -30,6 +33,11 @@ from hirelake.session import materialize
 
 LENGTH = 400
 GRAM = 128
+#: Words of the shortest passage, and of the piece that anchors it.
+PASSAGE = 51
+WORD_GRAM = 8
+#: Bytes of a word's hash.
+WORD = 8
 #: Distinct surroundings of one anchor in one index; an anchor with more is dealt over several.
 INDEX_ROWS = 2048
 #: Of strings that meet across indexes, every so many share the digest of the bytes all have in common.
@@ -39,6 +47,8 @@ BUCKET_BYTES = 1 << 20
 #: Bytes of texts whose anchors are looked for at once.
 SCAN_BYTES = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_KINDS = {1: np.uint8, WORD: np.uint64}
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -110,27 +120,59 @@ def _groups(sizes: np.ndarray, most: int) -> Iterator[range]:
         yield range(at, len(sizes))
 
 
-def _anchors_of(keys: pa.Array, raw: bytes, sizes: np.ndarray, length: int) -> pa.RecordBatch:
-    """Anchors of the texts of ``sizes`` bytes, ``length`` at least, that make up ``raw``."""
-    hashes = gram_hashes(np.frombuffer(raw, np.uint8))
+def word_hashes(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts of ``sizes`` bytes that make up ``raw``, and each text's number of words."""
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.cumsum(sizes)
+    letter = ~_IS_SPACE[data]
+    fresh = letter.copy()
+    fresh[1:] &= ~letter[:-1]
+    heads = (ends - sizes)[sizes > 0]
+    fresh[heads] = letter[heads]
+    starts = np.flatnonzero(fresh)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
+    # A word's bytes count with their place in it; white space behind it counts nothing.
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)]))
+    seen = _mix(((place.astype(np.uint64) << np.uint64(8)) + data[starts[0] :] + np.uint64(1)) * _ODD)
+    seen[~letter[starts[0] :]] = 0
+    return _mix(np.add.reduceat(seen, starts - starts[0])), np.diff(np.r_[0, np.searchsorted(starts, ends)])
+
+
+def _anchors_of(keys: pa.Array, raw: bytes, sizes: np.ndarray, length: int, unit: int = 1) -> pa.RecordBatch:
+    """Anchors of the texts of ``sizes`` bytes (or words), ``length`` at least, that make up ``raw``."""
+    gram = GRAM if unit == 1 else WORD_GRAM
+    hashes = gram_hashes(np.frombuffer(raw, _KINDS[unit]), gram)
     ends = np.cumsum(sizes)
     # A text's last hashes would read the next text, but the whole's last ones are not there.
-    places, lows, highs = anchor_places(hashes, length - GRAM + 1, ends, GRAM - 1)
+    places, lows, highs = anchor_places(hashes, length - gram + 1, ends, gram - 1)
     view = memoryview(raw)
-    around = [xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(lows.tolist(), highs.tolist())]
+    around = [xxhash.xxh3_64_intdigest(view[a * unit : (b + length) * unit]) for a, b in zip(lows.tolist(), highs.tolist())]
     text = np.searchsorted(ends, places, side="right")
+    anchor = (hashes[places] >> np.uint64(1) << np.uint64(1)) + np.uint64(unit > 1)
     return pa.RecordBatch.from_arrays(
         [keys.take(pa.array(text)), pa.array((places - (ends - sizes)[text]).astype(np.int32)),
          pa.array((lows - places).astype(np.int32)), pa.array((highs - places).astype(np.int32)),
-         pa.array(hashes[places].view(np.int64)), _signed(around)],
+         pa.array(anchor.view(np.int64)), _signed(around)],
         ["key", "place", "low", "high", "anchor", "around"],
     )
 
 
-def anchors(docs: DataFrame, text: str, length: int) -> DataFrame:
+def _short_key(text: str) -> Column:
+    """128 bits of a text's key: every anchor carries it."""
+    return F.substring(text_key(text), 1, 16)
+
+
+def _least(length: int, words: int | None) -> int:
+    """Bytes of the shortest text that can hold a string of ``length`` bytes or a passage of ``words``."""
+    return min(length, 2 * words - 1) if words else length
+
+
+def anchors(docs: DataFrame, text: str, length: int, words: int | None = None) -> DataFrame:
     """Every anchor of every row's text and the first and last start of its strings.
 
-    The starts are counted from the anchor's place.
+    The starts are counted from the anchor's place.  With ``words`` also the
+    anchors of passages of so many words, counted in words.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,27 +180,41 @@ def anchors(docs: DataFrame, text: str, length: int) -> DataFrame:
             sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
             # Texts are looked at side by side, a bounded number of bytes at a time or one larger text.
             for rows in _groups(sizes, SCAN_BYTES):
-                part = batch.slice(rows.start, len(rows))
-                yield _anchors_of(part.column(0), b"".join(part.column(1).to_pylist()), sizes[rows.start : rows.stop], length)
-
-    rows = docs.select(text_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
-    return rows.where(F.length("body") >= length).mapInArrow(
+                keys, bodies = (batch.column(i).slice(rows.start, len(rows)) for i in range(2))
+                size, bodies = sizes[rows.start : rows.stop], bodies.to_pylist()
+                if (fit := size >= length).any():
+                    raw = b"".join(b for b, long in zip(bodies, fit) if long)
+                    yield _anchors_of(keys.filter(pa.array(fit)), raw, size[fit], length)
+                if words is None:
+                    continue
+                hashes, counts = word_hashes(b"".join(bodies), size)
+                if (fit := counts >= words).any():
+                    raw = hashes[np.repeat(fit, counts)].tobytes()
+                    yield _anchors_of(keys.filter(pa.array(fit)), raw, counts[fit], words, WORD)
+
+    rows = docs.select(_short_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
+    return rows.where(F.length("body") >= _least(length, words)).mapInArrow(
         scan, "key binary, place int, low int, high int, anchor long, around long"
     )
 
 
 class RunLengthIndex:
-    """Burrows-Wheeler transform of several byte strings, as runs with samples.
+    """Burrows-Wheeler transform of several strings of bytes or words, as runs with samples.
 
-    A separator smaller than every byte follows each string; matches end there.
+    A separator smaller than every symbol follows each string; matches end there.
     """
 
-    def __init__(self, strings: list[bytes], depth: int):
-        parts = [np.frombuffer(s, np.uint8).astype(np.uint16) + 1 for s in strings]
-        zero = np.zeros(1, np.uint16)
-        self.text = np.concatenate([x for p in parts for x in (p, zero)])
-        self.starts = np.cumsum([0, *(len(p) + 1 for p in parts)])[:-1]
-        sizes = np.array([len(p) for p in parts])
+    def __init__(self, strings: list[bytes], depth: int, unit: int = 1):
+        sizes = np.array([len(s) // unit for s in strings])
+        symbols = np.frombuffer(b"".join(strings), _KINDS[unit])
+        if unit > 1:
+            symbols = np.unique(symbols, return_inverse=True)[1]
+        ends = np.cumsum(sizes + 1)
+        self.text = np.zeros(ends[-1], np.uint16 if unit == 1 else np.int32)
+        inside = np.ones(len(self.text), bool)
+        inside[ends - 1] = False
+        self.text[inside] = symbols.astype(self.text.dtype) + 1
+        self.starts = ends - sizes - 1
         self.rest = np.repeat(self.starts + sizes, sizes + 1) - np.arange(len(self.text))
         order = self._sort(depth)
         symbol = self.text[order - 1]
@@ -174,9 +230,10 @@ class RunLengthIndex:
         """Suffixes in order of their first ``depth`` symbols at least, by doubling."""
         n = len(self.text)
         rank, span = self.text.astype(np.int64), 1
-        padded = np.r_[rank, np.zeros(8, np.int64)]
-        while span < 4:  # symbols need 9 bits
-            padded[:n] = (padded[:n] << (9 * span)) | padded[span : n + span]
+        padded = np.r_[rank, np.zeros(64, np.int64)]
+        bits = int(rank.max()).bit_length()
+        while 2 * span * bits < 64 and span < 64:
+            padded[:n] = (padded[:n] << (bits * span)) | padded[span : n + span]
             span *= 2
         rank = padded[:n]
         while True:
@@ -223,11 +280,11 @@ class RunLengthIndex:
         return np.minimum(best, self.rest)
 
 
-def marked(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string the starts of those ``length`` bytes that occur elsewhere too."""
-    index = RunLengthIndex(strings, max(map(len, strings)) + 1)
+def marked(strings: list[bytes], length: int, unit: int = 1) -> list[np.ndarray]:
+    """For each string the starts of those ``length`` bytes (or words) that occur elsewhere too."""
+    index = RunLengthIndex(strings, max(map(len, strings)) // unit + 1, unit)
     far = index.matching_statistics() >= length
-    return [np.flatnonzero(far[s : s + len(t)]) for s, t in zip(index.starts, strings)]
+    return [np.flatnonzero(far[s : s + len(t) // unit]) for s, t in zip(index.starts, strings)]
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,22 +293,22 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]]
 
 
-def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, index_rows: int = INDEX_ROWS) -> DataFrame:
-    """(key, spans) of the distinct texts with repeats: bytes covered, end exclusive."""
+def repeat_spans(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, index_rows: int = INDEX_ROWS, words: int | None = None
+) -> DataFrame:
+    """(key, found, passages) of the distinct texts with repeats: their marks in bytes and in words, by anchor."""
     small_batches(docs.sparkSession)
-    found = materialize(anchors(docs, text, length), "anchors")
+    # An anchor that occurs once holds no repeat; most do, and are not kept.
+    times = F.count("*").over(Window.partitionBy("anchor"))
+    found = materialize(anchors(docs, text, length, words).withColumn("times", times).where("times > 1").drop("times"), "anchors")
     kinds = found.groupBy("anchor", "around", "low", "high").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")
     )
-    kinds = materialize(kinds, "anchor-kinds")
+    kinds = materialize(kinds.withColumn("rows", F.count("*").over(Window.partitionBy("anchor"))), "anchor-kinds")
     whole = kinds.where("n > 1").select("anchor", "around", "low", "high")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1")
     dealt = F.ceil(F.col("rows") / index_rows).cast("int")
-    chosen = materialize(
-        kinds.join(mixed, "anchor").select(
-            "anchor", "around", "low", "high", "one.key", "one.place", dealt.alias("parts"), F.pmod("around", dealt).cast("int").alias("part")
-        ),
-        "anchor-chosen",
+    chosen = kinds.where("rows > 1").select(
+        "anchor", "around", "low", "high", "one.key", "one.place", dealt.alias("parts"), F.pmod("around", dealt).cast("int").alias("part")
     )
     buckets = max(1, chosen.count() * 2 * length // BUCKET_BYTES)
 
@@ -260,18 +317,23 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, inde
             body, wanted = batch.column(0), batch.column(1).to_pylist()
             for raw, rows in zip(body, wanted):
                 data = raw.as_py()
+                hashes = b""
+                if any(r["anchor"] & 1 for r in rows):
+                    hashes = word_hashes(data, np.array([len(data)]))[0].tobytes()
+                ends = [(r["place"] + r["low"], r["place"] + r["high"]) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [_signed([r["anchor"] & (1 << 64) - 1 for r in rows]), _signed([r["around"] & (1 << 64) - 1 for r in rows]),
                      pa.array([r["parts"] for r in rows], pa.int32()), pa.array([r["part"] for r in rows], pa.int32()),
                      pa.array([r["low"] for r in rows], pa.int32()),
-                     pa.array([data[r["place"] + r["low"] : r["place"] + r["high"] + length] for r in rows], pa.binary())],
+                     pa.array([hashes[a * WORD : (b + words) * WORD] if r["anchor"] & 1 else data[a : b + length]
+                               for r, (a, b) in zip(rows, ends)], pa.binary())],
                     ["anchor", "around", "parts", "part", "low", "body"],
                 )
 
     wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("anchor", "around", "place", "low", "high", "parts", "part")).alias("wanted"))
     once = (
-        docs.where(F.octet_length(F.col(text)) >= length)
-        .select(text_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
+        docs.where(F.octet_length(F.col(text)) >= _least(length, words))
+        .select(_short_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
         .join(wanted, "key").select("key", "body", "wanted").dropDuplicates(["key"])
     )
     pieces = once.select("body", "wanted").mapInArrow(
@@ -279,6 +341,12 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, inde
     )
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
+        kinds = ((rows["anchor"] & 1 == 0, length, 1), (rows["anchor"] & 1 == 1, words, WORD))
+        out = [m for own, most, unit in kinds if own.any() for m in marks_of(rows[own], most, unit)]
+        marks = pd.DataFrame(out, columns=["anchor", "around", "low", "high", "core", "strings"])
+        return marks.astype({"low": "Int32", "high": "Int32"})
+
+    def marks_of(rows: pd.DataFrame, length: int, unit: int) -> list[tuple]:
         """Marks of one bucket, and of divided anchors the strings that other indexes may know.
 
         Those are the strings that this index met once, and one of each kind
@@ -287,28 +355,27 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, inde
         """
         out = []
         seen: set[bytes] = set()
-        for row, starts in enumerate(marked(rows["body"].tolist(), length)):
+        for row, starts in enumerate(marked(rows["body"].tolist(), length, unit)):
             anchor, around, low = (rows[n].iat[row] for n in ("anchor", "around", "low"))
             if len(starts):
                 for a, b in zip(*_runs(starts)):
                     out.append((anchor, around, low + a, low + b, None, None))
             if rows["parts"].iat[row] == 1:
                 continue
-            body, own, last = rows["body"].iat[row], set(starts.tolist()), len(rows["body"].iat[row]) - length
+            body, own, last = rows["body"].iat[row], set(starts.tolist()), len(rows["body"].iat[row]) // unit - length
             # Groups are counted from the anchor, so equal strings fall into equal groups.
             for group in range(low // GRID, (low + last) // GRID + 1):
                 strings = []
                 for at in range(max(group * GRID, low), min(group * GRID + GRID - 1, low + last) + 1):
-                    digest = hashlib.blake2b(body[at - low : at - low + length], digest_size=16).digest()
+                    digest = hashlib.blake2b(body[(at - low) * unit : (at - low + length) * unit], digest_size=16).digest()
                     if at - low not in own or digest not in seen:
                         seen.add(digest)
                         strings.append({"at": at if at - low not in own else None, "digest": digest})
                 # All strings of a group hold the bytes from its last start to its first end.
-                core = body[max(0, group * GRID + GRID - 1 - low) : group * GRID + length - low]
+                core = body[max(0, group * GRID + GRID - 1 - low) * unit : (group * GRID + length - low) * unit]
                 if strings:
                     out.append((anchor, around, None, None, hashlib.blake2b(core, digest_size=16).digest(), strings))
-        marks = pd.DataFrame(out, columns=["anchor", "around", "low", "high", "core", "strings"])
-        return marks.astype({"low": "Int32", "high": "Int32"})
+        return out
 
     bucket = F.pmod(F.xxhash64("anchor", "part"), F.lit(buckets))
     marks = materialize(
@@ -330,12 +397,16 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, inde
         whole.union(inside).union(across).groupBy("anchor", "around").agg(F.collect_set(F.struct("low", "high")).alias("marks")),
         "repeat-spans",
     )
-    placed = found.join(spans, ["anchor", "around"]).select("key", "place", "marks")
-    return placed.groupBy("key").agg(F.collect_set(F.struct("place", "marks")).alias("found"))
+    placed = found.join(spans, ["anchor", "around"]).select("key", F.struct("place", "marks").alias("at"), F.col("anchor") % 2 == 0)
+    placed = placed.toDF("key", "at", "bytes")
+    return placed.groupBy("key").agg(
+        F.collect_set(F.when(F.col("bytes"), F.col("at"))).alias("found"),
+        F.collect_set(F.when(~F.col("bytes"), F.col("at"))).alias("passages"),
+    )
 
 
 def covered(found: list[tuple[int, list]], length: int) -> list[tuple[int, int]]:
-    """Maximal spans of the bytes that the marks of one text cover."""
+    """Maximal spans of the bytes (or words) that the marks of one text cover."""
     spans = [(place + low, place + high + length) for place, marks in found for low, high in marks]
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -346,8 +417,23 @@ def covered(found: list[tuple[int, list]], length: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
-def _sorted_out(docs: DataFrame, text: str, length: int, index_rows: int) -> DataFrame:
-    """(key, n_removed, n_spans, kept, spans) of the distinct texts with repeats."""
+def words_covered(found: pa.ListArray, words: int) -> np.ndarray:
+    """For each row the number of words that the marks of its text cover."""
+    places, marks = (found.flatten().field(n) for n in ("place", "marks"))
+    row = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    many = pc.list_value_length(marks).to_numpy(zero_copy_only=False)
+    row, place = np.repeat(row, many), np.repeat(places.to_numpy(zero_copy_only=False).astype(np.int64), many)
+    low, high = (marks.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("low", "high"))
+    # One number line holds all rows, each in a part of its own.
+    start, end = (row << 32) + place + low, (row << 32) + place + high + words
+    order = np.argsort(start)
+    row, start, end = row[order], start[order], np.maximum.accumulate(end[order])
+    fresh = end - np.maximum(start, np.r_[0, end[:-1]])
+    return np.bincount(row, fresh, len(found)).astype(np.int64)
+
+
+def _sorted_out(docs: DataFrame, text: str, length: int, index_rows: int, words: int | None = None) -> DataFrame:
+    """(key, n_removed, n_spans, kept, spans, n_passage_words) of the distinct texts with repeats."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,40 +446,49 @@ def _sorted_out(docs: DataFrame, text: str, length: int, index_rows: int) -> Dat
                 out.append((key.as_py(), sum(b - a for a, b in spans), len(spans), kept, [list(s) for s in spans]))
             columns = list(zip(*out)) or [[]] * 5
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int64())))
+            passages = words_covered(batch.column(3), words or 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "n_removed", "n_spans", "kept", "spans"]
+                [*(pa.array(list(c), k) for c, k in zip(columns, kinds)), pa.array(passages)],
+                ["key", "n_removed", "n_spans", "kept", "spans", "n_passage_words"],
             )
 
-    found = repeat_spans(docs, text, length, index_rows)
+    found = repeat_spans(docs, text, length, index_rows, words)
     once = (
-        docs.where(F.octet_length(F.col(text)) >= length)
-        .select(text_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
+        docs.where(F.octet_length(F.col(text)) >= _least(length, words))
+        .select(_short_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
         .join(found, "key").dropDuplicates(["key"])
     )
-    return once.select("key", "body", "found").mapInArrow(
-        cut, "key binary, n_removed long, n_spans long, kept binary, spans array<array<bigint>>"
+    return once.select("key", "body", "found", "passages").mapInArrow(
+        cut, "key binary, n_removed long, n_spans long, kept binary, spans array<array<bigint>>, n_passage_words long"
     )
 
 
-def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, index_rows: int = INDEX_ROWS) -> DataFrame:
+def repeated_bytes(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, index_rows: int = INDEX_ROWS, words: int | None = None
+) -> DataFrame:
     """What removing repeats does to every row: bytes before, removed, spans, digest of the rest.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
     anywhere else, in the same text or another; copies of a text, and repeated
     rows, count as other places.  A null text is empty; shorter texts stay
     whole.  No rows give no rows.  Only ``key`` and ``text`` are read.
+
+    With ``words`` also n_passage_words: words (ASCII white space between them)
+    in passages of so many words, 16 at least, that start anywhere else too.  They
+    may be shorter than ``length`` and are not removed.
     """
-    out = _sorted_out(docs, text, length, index_rows).select(
-        "key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    out = _sorted_out(docs, text, length, index_rows, words).select(
+        "key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words"
     )
     rows = docs.select(
-        F.col(key).alias("doc_id"), text_key(text).alias("key"),
+        F.col(key).alias("doc_id"), _short_key(text).alias("key"), text_key(text).alias("sha256"),
         F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"),
     )
+    passages = [F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words")] if words else []
     return rows.join(out, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256"),
+        F.coalesce("kept_sha256", F.lower(F.hex("sha256"))).alias("kept_sha256"), *passages,
     )
 
 
@@ -403,7 +498,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     A character of which a byte went is dropped whole.
     """
     out = _sorted_out(docs, text, length, INDEX_ROWS).select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    joined = docs.select(carry(docs), text_key(text).alias("_key")).join(out, "_key", "left")
+    joined = docs.select(carry(docs), _short_key(text).alias("_key")).join(out, "_key", "left")
     rest = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", "")
     body = F.when(F.col("_kept").isNotNull(), rest).otherwise(F.col("_row")[text])
     return joined.select(*((body if n == text else F.col("_row")[n]).alias(n) for n in docs.columns))

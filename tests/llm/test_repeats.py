@@ -65,3 +65,39 @@ def test_texts_side_by_side_have_the_anchors_they_have_alone():
     starts = [sum(r["high"] - r["low"] + 1 for r in together if r["key"] == k.as_py()) for k in keys]
     assert starts == [len(t) - 399 for t in texts]
     assert [list(g) for g in repeats._groups(np.array([3, 4, 9, 1, 1]), 7)] == [[0, 1], [2], [3, 4]]
+
+
+@pytest.mark.parametrize("index_rows", [repeats.INDEX_ROWS, 5])
+def test_passages_of_words_against_all_windows(documents, index_rows):
+    """Passages of over 50 words may have fewer than 400 bytes and were not told."""
+    rows = made.documents()
+    split = [(d[1] or "").encode().split() for d in rows]
+    count = Counter(tuple(w[s : s + 51]) for w in split for s in range(len(w) - 50))
+    expected = []
+    for d, w in zip(rows, split):
+        hit = {s + i for s in range(len(w) - 50) if count[tuple(w[s : s + 51])] > 1 for i in range(51)}
+        expected.append((str(d[0]), len(hit)))
+    got = repeats.repeated_bytes(documents, index_rows=index_rows, words=51).collect()
+    assert sorted((str(r.doc_id), r.n_passage_words) for r in got) == sorted(expected)
+    plain = repeats.repeated_bytes(documents).collect()
+    assert sorted(map(str, (tuple(r[:5]) for r in got))) == sorted(map(str, map(tuple, plain)))
+
+
+def test_short_passage_is_told_and_not_removed(spark):
+    """A repeat of 51 short words, in other white space, left no trace in the result."""
+    passage = [f"w{i}" for i in range(51)]
+    texts = ["one two " + " ".join(passage), "\n\t".join(passage) + "\rthree", " ".join(passage[1:]), " ".join(passage[::-1]), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted(repeats.repeated_bytes(docs, words=repeats.PASSAGE).collect())
+    assert [(r.n_removed, r.n_passage_words) for r in got] == [(0, 51), (0, 51), (0, 0), (0, 0), (0, 0)]
+
+
+def test_words_side_by_side_have_the_hashes_they_have_alone():
+    texts = [b"", b" ", b"ab a b", b"ab", b"\x0bab\x0c\x1cab ", "é é".encode(), b"ba", b"  "]
+    hashes, counts = repeats.word_hashes(b"".join(texts), np.array([len(t) for t in texts]))
+    assert counts.tolist() == [0, 0, 3, 1, 2, 1, 1, 0]
+    words = [b"ab", b"a", b"b", b"ab", b"ab", b"\x1cab", "é\u00a0é".encode(), b"ba"]
+    assert [words.index(w) for w in words] == [hashes.tolist().index(h) for h in hashes.tolist()]
+    one = [repeats.word_hashes(t, np.array([len(t)]))[0] for t in texts]
+    assert hashes.tolist() == np.concatenate(one).tolist()
+    assert not len(repeats.word_hashes(b"", np.array([0, 0]))[0])
