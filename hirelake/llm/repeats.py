@@ -158,6 +158,22 @@ def _anchors_of(keys: pa.Array, raw: bytes, sizes: np.ndarray, length: int, unit
     )
 
 
+def _with_twins(found: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows numbered among those of one anchor, and whether there are others.
+
+    Rows known to have others needn't meet in one task to be counted.
+    """
+    anchor = found.column("anchor").to_numpy()
+    order = np.argsort(anchor, kind="stable")
+    ordered = anchor[order]
+    heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    sizes = np.diff(np.r_[heads, len(anchor)])
+    twin, again = np.empty(len(anchor), np.int32), np.empty(len(anchor), bool)
+    twin[order] = np.arange(len(anchor)) - np.repeat(heads, sizes)
+    again[order] = np.repeat(sizes > 1, sizes)
+    return found.append_column("twin", pa.array(twin)).append_column("again", pa.array(again))
+
+
 def _short_key(text: str) -> Column:
     """128 bits of a text's key: every anchor carries it."""
     return F.substring(text_key(text), 1, 16)
@@ -171,7 +187,8 @@ def _least(length: int, words: int | None) -> int:
 def anchors(docs: DataFrame, text: str, length: int, words: int | None = None) -> DataFrame:
     """Every anchor of every row's text and the first and last start of its strings.
 
-    The starts are counted from the anchor's place.  With ``words`` also the
+    The starts are counted from the anchor's place; twin and again number the
+    rows of one anchor among texts looked at together.  With ``words`` also the
     anchors of passages of so many words, counted in words.
     """
 
@@ -184,17 +201,17 @@ def anchors(docs: DataFrame, text: str, length: int, words: int | None = None) -
                 size, bodies = sizes[rows.start : rows.stop], bodies.to_pylist()
                 if (fit := size >= length).any():
                     raw = b"".join(b for b, long in zip(bodies, fit) if long)
-                    yield _anchors_of(keys.filter(pa.array(fit)), raw, size[fit], length)
+                    yield _with_twins(_anchors_of(keys.filter(pa.array(fit)), raw, size[fit], length))
                 if words is None:
                     continue
                 hashes, counts = word_hashes(b"".join(bodies), size)
                 if (fit := counts >= words).any():
                     raw = hashes[np.repeat(fit, counts)].tobytes()
-                    yield _anchors_of(keys.filter(pa.array(fit)), raw, counts[fit], words, WORD)
+                    yield _with_twins(_anchors_of(keys.filter(pa.array(fit)), raw, counts[fit], words, WORD))
 
     rows = docs.select(_short_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
     return rows.where(F.length("body") >= _least(length, words)).mapInArrow(
-        scan, "key binary, place int, low int, high int, anchor long, around long"
+        scan, "key binary, place int, low int, high int, anchor long, around long, twin int, again boolean"
     )
 
 
@@ -299,8 +316,9 @@ def repeat_spans(
     """(key, found, passages) of the distinct texts with repeats: their marks in bytes and in words, by anchor."""
     small_batches(docs.sparkSession)
     # An anchor that occurs once holds no repeat; most do, and are not kept.
-    times = F.count("*").over(Window.partitionBy("anchor"))
-    found = materialize(anchors(docs, text, length, words).withColumn("times", times).where("times > 1").drop("times"), "anchors")
+    times = F.count("*").over(Window.partitionBy("anchor", "twin"))
+    found = anchors(docs, text, length, words).withColumn("times", times).where("times > 1 OR again")
+    found = materialize(found.drop("times", "twin", "again"), "anchors")
     kinds = found.groupBy("anchor", "around", "low", "high").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")
     )

@@ -101,3 +101,11 @@ def test_words_side_by_side_have_the_hashes_they_have_alone():
     one = [repeats.word_hashes(t, np.array([len(t)]))[0] for t in texts]
     assert hashes.tolist() == np.concatenate(one).tolist()
     assert not len(repeats.word_hashes(b"", np.array([0, 0]))[0])
+
+
+def test_rows_of_an_anchor_that_is_everywhere_are_not_counted_in_one_place():
+    """All rows of one anchor met in one task to be counted."""
+    anchor = [5, 7, 5, 5, 9, 7]
+    got = repeats._with_twins(pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64())], ["anchor"])).to_pylist()
+    assert [r["twin"] for r in got] == [0, 0, 1, 2, 0, 1]
+    assert [r["again"] for r in got] == [True, True, True, True, False, True]
