@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 from datetime import date, timedelta
 from functools import reduce
@@ -19,6 +19,7 @@ from hirelake.functions.dates import instant, instant_label
 from hirelake.functions.labels import score_band, score_label
 from hirelake.functions.text import compact_text
 from hirelake.operators.order import with_position
+from hirelake.session import materialize
 
 SEARCHED = ("title", "company", "location", "source", "description")
 LISTED = ("unique_key", "title", "company", "location", "url", "source", "posted_date",
@@ -26,6 +27,10 @@ LISTED = ("unique_key", "title", "company", "location", "url", "source", "posted
 
 # Columns any sort order looks at, besides the one sorted by.
 ORDERING = ("unique_key", "posted_date", "first_seen", "company")
+# Sort fields that are texts.
+TEXTS = ("company", "title", "location", "source")
+# Bits of a long that two numbers may fill.
+LONG_BITS = 62
 
 
 def _text(value: Any) -> str:
@@ -146,26 +151,27 @@ def condition(query: BrowseQuery) -> Column:
     return reduce(and_, tests) if tests else F.lit(True)
 
 
-def sort_order(sort: str = "posted_date", direction: str = "desc") -> list[Column]:
-    """Sort columns: unknown dates and scores last either way, texts without
-    case, recent listings first among equals, the key as last resort."""
+def flat(column: str) -> Column:
+    return F.lower(F.coalesce(column, F.lit("")))
+
 
-    def way(column: Column) -> Column:
-        return column.asc() if direction == "asc" else column.desc()
+def _way(column: str, direction: str, nulls_last: bool = False) -> Column:
+    name = direction if direction == "asc" else "desc"
+    return getattr(F.col(column), f"{name}_nulls_last" if nulls_last else name)()
 
-    def flat(column: str) -> Column:
-        return F.lower(F.coalesce(column, F.lit("")))
 
-    undated = F.col("posted_date").isNull().asc()
-    recent = [undated, F.col("posted_date").desc(), F.col("first_seen").desc(), flat("company").asc()]
+def sort_order(sort: str = "posted_date", direction: str = "desc") -> list[Column]:
+    """Sort columns: unknown dates and scores last either way, texts without
+    case, recent listings first among equals, the key as last resort."""
+    recent = [_way("posted_date", "desc", True), F.col("first_seen").desc(), flat("company").asc()]
     last = [F.col("unique_key").asc()]
     if sort == "posted_date":
-        return [undated, way(F.col("posted_date")), way(F.col("first_seen")), flat("company").asc(), *last]
+        return [_way(sort, direction, True), _way("first_seen", direction), flat("company").asc(), *last]
     if sort == "first_seen":
-        return [way(F.col("first_seen")), *recent, *last]
+        return [_way(sort, direction), *recent, *last]
     if sort == "score":
-        return [F.col("score").isNull().asc(), way(F.col("score")), *recent, *last]
-    return [way(flat(sort)), *recent, *last]
+        return [_way(sort, direction, True), *recent, *last]
+    return [flat(sort).asc() if direction == "asc" else flat(sort).desc(), *recent, *last]
 
 
 def all_listings(seen: DataFrame) -> DataFrame:
@@ -179,8 +185,57 @@ def recent_jobs(seen: DataFrame, limit: int = 100) -> DataFrame:
     return seen.orderBy(newest, "unique_key").limit(n)
 
 
-def sort_jobs(seen: DataFrame, sort: str = "posted_date", direction: str = "desc") -> DataFrame:
-    return seen.orderBy(*sort_order(sort, direction))
+def sort_jobs(
+    seen: DataFrame, sort: str = "posted_date", direction: str = "desc", order: Sequence[Column] | None = None,
+) -> DataFrame:
+    """``order`` says the same over other columns, as ``Ranked.keyed`` gives it."""
+    return seen.orderBy(*(sort_order(sort, direction) if order is None else order))
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """Listings made ready for many sorts, by ``ranked``.
+
+    ``rows`` holds key, dates, score, each text as its number among all texts of
+    its column, and ``recent``: the place by date, newest first, which is what
+    every other order falls back on.  ``bits`` is the width of ``recent`` where
+    it fits into one long beside a text's number.
+    """
+
+    rows: DataFrame
+    bits: int | None
+
+    def keyed(self, sort: str, direction: str) -> tuple[DataFrame, list[Column]]:
+        """Keys with the columns that a sort looks at, and ``sort_order`` over those."""
+        if sort in TEXTS:
+            number = F.col(sort) if direction == "asc" else -F.col(sort)
+            if self.bits is None:
+                return self.rows.select("unique_key", number.alias("number"), "recent"), [F.col("number").asc(), F.col("recent").asc()]
+            # Rows with a single number to sort by need no comparisons.
+            place = F.shiftleft(number, self.bits) + F.col("recent")
+            return self.rows.select("unique_key", place.alias("place")), [F.col("place").asc()]
+        looked_at = [sort]
+        if sort == "posted_date":
+            looked_at = ["posted_date", "first_seen"] if direction == "asc" else []
+        order = [_way(c, direction, c != "first_seen") for c in looked_at]
+        return self.rows.select("unique_key", *looked_at, "recent"), [*order, F.col("recent").asc()]
+
+
+def ranked(seen: DataFrame) -> Ranked:
+    """Make listings ready for many sorts: texts are folded and compared once
+    and become numbers, and one sort settles the order among equals."""
+    kept = [c for c in dict.fromkeys((*ORDERING, *fixed.SORT_FIELDS)) if c not in TEXTS]
+    rows = materialize(seen.select(*kept, *[flat(c).alias(c) for c in TEXTS]), "seen", "zstd")
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in TEXTS])
+    texts = materialize(with_position(rows.select(F.inline(pairs)).distinct(), ["field", "value"]), "texts")
+    for c in TEXTS:
+        numbers = texts.where(F.col("field") == c).select(F.col("value").alias(c), F.col("position").alias("_number"))
+        rows = rows.join(numbers, c).drop(c).withColumnRenamed("_number", c)
+    order = [_way("posted_date", "desc", True), F.col("first_seen").desc(), F.col("company").asc(), F.col("unique_key").asc()]
+    newest = with_position(sort_jobs(rows, "posted_date", "desc", order), order)
+    newest = materialize(newest.withColumnRenamed("position", "recent"), "ranked", "zstd")
+    bits = newest.count().bit_length()
+    return Ranked(newest, bits if bits + texts.count().bit_length() <= LONG_BITS else None)
 
 
 def query_summary(seen: DataFrame, query: BrowseQuery) -> DataFrame:

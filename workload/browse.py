@@ -93,15 +93,15 @@ _SORTS = [(sort, direction) for sort in fixed.SORT_FIELDS for direction in ("asc
     f"""(SELECT '{s}' AS sort, '{d}' AS direction, row_number() OVER (ORDER BY {order_sql(s, d)}) AS position, unique_key
     FROM seen)""" for s, d in _SORTS))
 def _(t):
-    seen = materialize(t.seen, "seen")
-    # A sort moves the columns it looks at, and of those only the key is kept.
+    ranked = b.ranked(t.seen)
+
+    def placed(sort, direction):
+        # A sort moves the columns it looks at, and of those only the key is kept.
+        rows, order = ranked.keyed(sort, direction)
+        return with_position(b.sort_jobs(rows, sort, direction, order), order, keep=["unique_key"])
+
     pages = [
-        with_position(
-            b.sort_jobs(seen.select(*dict.fromkeys([*b.ORDERING, s])), s, d), b.sort_order(s, d), keep=["unique_key"]
-        ).select(
-            F.lit(s).alias("sort"), F.lit(d).alias("direction"), "position", "unique_key"
-        )
-        for s, d in _SORTS
+        placed(s, d).select(F.lit(s).alias("sort"), F.lit(d).alias("direction"), "position", "unique_key") for s, d in _SORTS
     ]
     return reduce(DataFrame.unionByName, pages)
 
